@@ -18,7 +18,7 @@ from mrkit.operators import tasks
 from mrkit.session import checkpoint
 
 # Centres shipped to the executors at once. More are taken block by block.
-CENTER_BYTES = 64 << 20
+CENTER_BYTES = 16 << 20
 
 
 class Centers(NamedTuple):
@@ -39,6 +39,8 @@ class Centers(NamedTuple):
     def build(cls, groups: dict[int, dict[int, np.ndarray]]) -> Centers:
         """From ``{group: {cid: coordinates}}``."""
         names = np.array(sorted(groups), dtype=np.int64)
+        if not groups:
+            raise ValueError("there are no centres")
         most = max(len(members) for members in groups.values())
         dims = {len(c) for members in groups.values() for c in members.values()}
         if len(dims) != 1:
@@ -52,26 +54,31 @@ class Centers(NamedTuple):
             raise ValueError("centres must not hold NaN")
         return cls(names, cids, coords)
 
-    @classmethod
-    def collect(cls, df: DataFrame, by: str | None) -> Centers:
-        """Fetches a centre table whose size the caller has checked."""
+    @staticmethod
+    def fetch(df: DataFrame, by: str | None) -> dict[int, dict[int, np.ndarray]]:
+        """``{group: {cid: coordinates}}`` of a centre table whose size the caller has checked."""
         group = F.col(by) if by else F.lit(0)
         groups: dict[int, dict[int, np.ndarray]] = {}
         for row in df.select(group.alias("g"), "cid", F.col("c").cast("array<double>").alias("c")).collect():
             groups.setdefault(row.g, {})[row.cid] = np.array(row.c)
-        if not groups:
-            raise ValueError("there are no centres")
-        return cls.build(groups)
-
-    def to_dataframe(self, spark: SparkSession, by: str | None) -> DataFrame:
-        g, i = np.nonzero(self.cids >= 0)
-        data = {
-            "g": self.groups[g].astype(np.int32),
-            "cid": self.cids[g, i].astype(np.int32),
-            "c": pa.array(list(self.coords[g, i]), pa.list_(pa.float64())),
+        return groups
+
+    def members(self) -> dict[int, dict[int, np.ndarray]]:
+        """The inverse of ``build``."""
+        rows = zip(self.groups.tolist(), self.cids.tolist(), self.coords)
+        return {g: {cid: c for cid, c in zip(cids, coords) if cid >= 0} for g, cids, coords in rows}
+
+    def to_dataframe(self, spark: SparkSession, weights: dict[tuple[int, int], float] | None = None) -> DataFrame:
+        """``(g, cid, c)``, and ``w`` where weights are given by group and centre; those not listed are 0."""
+        rows = [(g, cid, c) for g, members in self.members().items() for cid, c in members.items()]
+        columns = {
+            "g": pa.array([g for g, _, _ in rows], pa.int32()),
+            "cid": pa.array([cid for _, cid, _ in rows], pa.int32()),
+            "c": pa.array([c for _, _, c in rows], pa.list_(pa.float64())),
         }
-        table = spark.createDataFrame(pa.table(data))
-        return table.withColumnRenamed("g", by) if by else table.drop("g")
+        if weights is not None:
+            columns["w"] = pa.array([weights.get((g, cid), 0.0) for g, cid, _ in rows], pa.float64())
+        return spark.createDataFrame(pa.table(columns))
 
     def nearest(self, v: Column, group: Column | None = None) -> Column:
         """``struct<cid, d>`` of the nearest centre of the row's group; NULL for a group without centres."""
@@ -110,7 +117,7 @@ def nearest_center(
         size = centers.agg(F.sum(F.size("c") * 8).alias("bytes")).first()["bytes"] or 0
         blocks = max(1, math.ceil(size / center_bytes))
         block = F.pmod(F.xxhash64(*[F.col(c) for c in [by, "cid"] if c]), F.lit(blocks))
-        tables = (Centers.collect(centers.where(block == b), by) for b in _occupied(centers, block, blocks))
+        tables = (Centers.build(Centers.fetch(centers.where(block == b), by)) for b in _occupied(centers, block, blocks))
         result = None
         for table in tables:
             found = table.nearest(F.col("v"), F.col(by) if by else None)
@@ -132,7 +139,7 @@ def _occupied(centers: DataFrame, block: Column, blocks: int) -> list[int]:
 
 def _nearer(a: Column, b: Column) -> Column:
     order = lambda near: F.struct(near["d"].alias("d"), near["cid"].alias("cid"))
-    return F.when(a.isNull() | (order(b) < order(a)), b).otherwise(a)
+    return F.when(b.isNotNull() & (a.isNull() | (order(b) < order(a))), b).otherwise(a)
 
 
 def center_weights(points: DataFrame, centers: DataFrame, by: str | None = None) -> DataFrame:

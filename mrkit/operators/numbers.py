@@ -33,5 +33,9 @@ def normalize_by_max(df: DataFrame, x: str = "x", out: str = "z") -> DataFrame:
 def band_probability(df: DataFrame, x: str = "x", low: float = 0.2, high: float = 0.8) -> DataFrame:
     """Share of the values whose quotient by the maximum lies in ``[low, high]``; NULL for no values."""
     values = df.select(x).where(F.col(x).isNotNull())
-    inside = F.when(F.col("z").between(low, high), 1.0).otherwise(0.0)
-    return normalize_by_max(values, x, "z").agg(F.avg(inside).alias("probability"))
+    return normalize_by_max(values, x, "z").agg(band_share("z", low, high).alias("probability"))
+
+
+def band_share(z: str, low: float = 0.2, high: float = 0.8) -> Column:
+    """Aggregate: share of the rows with ``z`` in ``[low, high]``; a NULL is outside."""
+    return F.avg(F.when(F.col(z).between(low, high), 1.0).otherwise(0.0))

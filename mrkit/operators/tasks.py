@@ -60,6 +60,11 @@ def pick(mass: np.ndarray, u: float) -> int | None:
     return int(reached[0] if len(reached) else candidates[-1])
 
 
+def group_draws(seed: int, group: int, k: int) -> list[float]:
+    """The ``k`` random numbers of a group; the same on the driver and in any task."""
+    return np.random.default_rng([seed % 2**64, group % 2**64]).random(k).tolist()
+
+
 def cluster_group(x: np.ndarray, w: np.ndarray, iters: int, draws) -> tuple[np.ndarray, np.ndarray]:
     """Centres and their weights for one group, with points in id order and one draw per centre."""
     centers, best = [], None
