@@ -16,7 +16,7 @@ from mrkit.operators import centers, numbers, seeding, words
 from mrkit.plans.clustering import weighted_kcenters
 from mrkit.plans.kmedian import mr_kmedian, partition_coreset
 from mrkit.plans.reports import number_report, word_report
-from mrkit.sources import numbers_from_lines
+from mrkit.sources import numbers_from_lines, spread_scan
 
 # Parameters of the clustering queries: centres, parts, Lloyd steps and the random number of each centre.
 K, PARTS, ITERS = 4, 4, 2
@@ -61,7 +61,7 @@ def _numbers_query(operator: Callable[..., DataFrame], table: str, *columns: str
 
 
 def _words_query(operator: Callable[..., DataFrame], *args: int) -> Callable:
-    return lambda spark, sf_dir: operator(_table(spark, sf_dir, "documents").select("doc_id", "text"), *args)
+    return lambda spark, sf_dir: operator(spread_scan(_table(spark, sf_dir, "documents").select("doc_id", "text")), *args)
 
 
 def _max_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
