@@ -101,7 +101,9 @@ class Centers(NamedTuple):
                 [pa.array(cids[g, index]), pa.array(d)], ["cid", "d"], mask=pa.array(~known)
             )
 
-        return single(v) if group is None else grouped(group, v)
+        # Otherwise a filter on the result, be it one that a join implies, would be pushed down with a second call.
+        nearest = (single if group is None else grouped).asNondeterministic()
+        return nearest(v) if group is None else nearest(group, v)
 
 
 def nearest_center(
@@ -112,7 +114,9 @@ def nearest_center(
     Centres are shipped to the executors if they fit in ``center_bytes``. A larger set is cut into blocks that fit;
     the points pass one block after the other and keep the best centre so far.
     """
-    centers = centers.persist()
+    owned = not (centers.storageLevel.useMemory or centers.storageLevel.useDisk)
+    if owned:
+        centers.persist()
     try:
         size = centers.agg(F.sum(F.size("c") * 8).alias("bytes")).first()["bytes"] or 0
         blocks = max(1, math.ceil(size / center_bytes))
@@ -126,7 +130,8 @@ def nearest_center(
             else:
                 result = checkpoint(result).withColumn("near", _nearer(F.col("near"), found))
     finally:
-        centers.unpersist()
+        if owned:
+            centers.unpersist()
     cid = F.col("near.cid").cast(centers.schema["cid"].dataType)
     return result.select(*points.columns, cid.alias("cid"), F.col("near.d").alias("d"))
 

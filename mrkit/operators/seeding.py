@@ -54,8 +54,9 @@ def weighted_pick(
         key = F.shiftright(F.col("id").cast("long"), shift).alias("key")
         totals = (
             _within(rows, ranges, draws)
+            .withColumn("mass", mass)
             .groupBy("pick_group", "u", "before", "total", key)
-            .agg(F.sum(mass).alias("mass"), F.count("*").alias("n"))
+            .agg(F.sum("mass").alias("mass"), F.count("*").alias("n"))
         )
         chosen = _first_reaching(totals, "n").collect()
         ranges = {

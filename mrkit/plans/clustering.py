@@ -70,8 +70,9 @@ def weighted_kcenters(
         large = {row.g: (row.n, row.lo, row.hi) for row in extents.where(F.col("n") > limit).collect()}
         result = _cluster_in_jobs(points, large, k, iters, seed, draws, sample.dims, pick_rows)
         if sum(n for n, *_ in large.values()) < rows:
+            # There are at most rows * dims / task_values large groups, a few bytes each.
             names = points.sparkSession.createDataFrame([(g,) for g in large], "g int")
-            small = points.join(names, "g", "left_anti")
+            small = points.join(F.broadcast(names), "g", "left_anti")
             result = result.unionByName(cluster_in_tasks(small, k, iters, seed, draws, rows * sample.dims))
     return result.withColumnRenamed("g", by) if by else result.drop("g")
 

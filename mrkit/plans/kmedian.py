@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -47,7 +48,7 @@ def partition_coreset(
 def mr_kmedian(
     points: DataFrame,
     k: int,
-    parts: int,
+    parts: int | None,
     iters: int,
     seed: int = 0,
     draws: Sequence[float] | None = None,
@@ -56,17 +57,22 @@ def mr_kmedian(
 ) -> KMedian:
     """``k`` centres of ``points(id, v)`` and the mean distance of the points to the nearest of them.
 
-    Points fall into ``parts`` parts by a hash of the id, or as the expression ``part`` says. More parts make the
-    first round lighter and the second heavier; parts of up to ``task_values`` coordinates need the fewest passes.
+    Points fall into ``parts`` parts by a hash of the id, or as the expression ``part`` with values in ``[0, parts)``
+    says. With ``parts=None`` there are as many as it takes to cluster each part in one task; fewer and larger parts
+    cost more passes over the points, more parts a larger coreset.
     """
     check_parameters(k, iters, draws)
-    points = points.select("id", "v", *([part.cast("int").alias("part")] if part is not None else []))
-    coreset = partition_coreset(
-        points if part is not None else with_part(points, parts), k, iters, seed, draws, task_values
-    )
+    dims = _dimensions(points)
+    if parts is None:
+        # Hashing spreads ids evenly; half full on average leaves no part too large.
+        parts = math.ceil(2 * points.count() * dims / task_values)
+    if part is None:
+        parted = with_part(points.select("id", "v"), parts)
+    else:
+        parted = points.select("id", "v", part.cast("int").alias("part"))
+    coreset = partition_coreset(parted, k, iters, seed, draws, task_values)
     ids = F.col("part").cast("long") * k + F.col("cid")
     reduced = coreset.select(F.lit(0).alias("g"), ids.alias("id"), "v", "w")
-    dims = points.select(F.size("v").alias("dims")).first()["dims"]
     values = parts * k * dims
     if values <= task_values:
         centers = cluster_in_tasks(reduced, k, iters, seed + 1, draws, values).drop("g")
@@ -74,3 +80,10 @@ def mr_kmedian(
         centers = weighted_kcenters(checkpoint(reduced), k, iters, None, seed + 1, draws, task_values)
     centers = points.sparkSession.createDataFrame(centers.toArrow())
     return KMedian(centers, kmedian_objective(points, centers))
+
+
+def _dimensions(points: DataFrame) -> int:
+    row = points.select(F.size("v").alias("dims")).first()
+    if row is None:
+        raise ValueError("there are no points")
+    return max(1, row.dims)

@@ -255,6 +255,21 @@ def test_kmedian_does_not_depend_on_the_partitioning(spark, cloud):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
+def test_number_of_parts_follows_from_the_room_of_a_task(spark, cloud):
+    chosen = kmedian.mr_kmedian(cloud, 3, None, 1, seed=1, task_values=400)
+    given_six = kmedian.mr_kmedian(cloud, 3, 6, 1, seed=1)
+    assert chosen.objective.first().objective == pytest.approx(given_six.objective.first().objective, rel=1e-12)
+
+
+def test_caller_keeps_cached_centres(spark, line):
+    at = _centers(spark, 0, 10).persist()
+    centers.nearest_center(line, at).collect()
+    assert at.storageLevel.useMemory
+    at.unpersist()
+    centers.nearest_center(line, at).collect()
+    assert not at.storageLevel.useMemory
+
+
 def test_more_parts_than_points(spark):
     result = kmedian.mr_kmedian(_points(spark, [0, 1, 10, 11]), 2, 50, 3)
     assert result.objective.first().n_points == 4
@@ -277,3 +292,13 @@ def test_no_points(spark, cloud):
         weighted_kcenters(cloud.where("id < 0"), 2, 1)
     with pytest.raises(ValueError, match="no centres"):
         centers.nearest_center(cloud, _centers(spark, 0).where("cid < 0"))
+
+
+def test_assignment_runs_once_per_pass(spark, line):
+    at = _centers(spark, 0, 10)
+    found = centers.nearest_center(line, at)
+    for df in (found.where("d < 1"), centers.center_weights(line, at), centers.lloyd_step(line, at)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
