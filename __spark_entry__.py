@@ -131,6 +131,13 @@ def _weighted_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coordinates(weighted_kcenters(points, K, ITERS, draws=DRAWS), ["cid", "w"], "c")
 
 
+def _weighted_kmeans_in_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as for a group too large for a task, and with more than one level of id ranges per pick."""
+    points = _points(spark, sf_dir).select("id", "v", "w")
+    found = weighted_kcenters(points, K, ITERS, draws=DRAWS, task_values=1, pick_rows=100)
+    return _coordinates(found, ["cid", "w"], "c")
+
+
 def _partition_coreset(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir).select("id", "v", "part")
     return _coordinates(partition_coreset(points, K, ITERS, draws=DRAWS), ["part", "cid", "w"], "v")
@@ -180,6 +187,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "weighted_pick_by_group": _weighted_pick_by_group,
         "weighted_seeding": _weighted_seeding,
         "weighted_kmeans": _weighted_kmeans,
+        "weighted_kmeans_in_jobs": _weighted_kmeans_in_jobs,
         "partition_coreset": _partition_coreset,
         "coreset_solve": _coreset_solve,
         "mr_kmedian": _mr_kmedian,
@@ -273,6 +281,7 @@ def oracle_sql() -> dict[str, str]:
     coreset = _clustering_sql("coreset", "points", ITERS)
     reduced = f"reduced AS MATERIALIZED (SELECT 0 AS g, g * {K} + cid AS id, c AS v, w FROM coreset)"
     solved = f"{parts}, {coreset}, {reduced}, {_clustering_sql('solved', 'reduced', ITERS)}"
+    kmeans = f"""{whole}, {_clustering_sql('solved', 'points', ITERS)} {_coordinates_sql('solved', 'cid, w', 'c')}"""
     band = "CASE WHEN {0} / mx BETWEEN CAST(0.2 AS DOUBLE) AND CAST(0.8 AS DOUBLE) THEN 1.0 ELSE 0.0 END"
     return {
         "sum_of_squares": "SELECT sum(l_quantity * l_quantity) AS sum_of_squares FROM lineitem",
@@ -313,8 +322,8 @@ def oracle_sql() -> dict[str, str]:
         "weighted_pick_by_group": f"{_LABELS_SQL} {_pick_sql('own', 'd', PICK, 'part')}",
         "weighted_seeding": f"""{whole}, {_clustering_sql('seeds', 'points', 0)}
   {_coordinates_sql('seeds', 'cid', 'c')}""",
-        "weighted_kmeans": f"""{whole}, {_clustering_sql('solved', 'points', ITERS)}
-  {_coordinates_sql('solved', 'cid, w', 'c')}""",
+        "weighted_kmeans": kmeans,
+        "weighted_kmeans_in_jobs": kmeans,
         "partition_coreset": f"""{parts}, {coreset},
   named AS (SELECT g AS part, cid, c, w FROM coreset) {_coordinates_sql('named', 'part, cid, w', 'c')}""",
         "coreset_solve": f"{solved} {_coordinates_sql('solved', 'cid, w', 'c')}",

@@ -22,37 +22,31 @@ CENTER_BYTES = 16 << 20
 
 
 class Centers(NamedTuple):
-    """A bounded set of centres on its way to the executors: ``groups[g]`` owns ``cids[g]`` at ``coords[g]``.
+    """A bounded set of centres on its way to the executors.
 
-    A group with fewer centres than others is filled up with centres at infinity, which are nearest to no point.
+    Group ``groups[g]`` owns the ``count[g]`` centres on from ``first[g]`` in ``cids`` and ``coords``, in order of cid.
     """
 
     groups: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
     cids: np.ndarray
     coords: np.ndarray
 
-    @property
-    def dims(self) -> int:
-        return self.coords.shape[2]
-
     @classmethod
     def build(cls, groups: dict[int, dict[int, np.ndarray]]) -> Centers:
         """From ``{group: {cid: coordinates}}``."""
-        names = np.array(sorted(groups), dtype=np.int64)
-        if not groups:
+        rows = [(g, cid, groups[g][cid]) for g in sorted(groups) for cid in sorted(groups[g])]
+        if not rows:
             raise ValueError("there are no centres")
-        most = max(len(members) for members in groups.values())
-        dims = {len(c) for members in groups.values() for c in members.values()}
-        if len(dims) != 1:
+        dims = {len(c) for _, _, c in rows}
+        if len(dims) > 1:
             raise ValueError(f"centres have different dimensions: {sorted(dims)}")
-        cids = np.full((len(names), most), -1, dtype=np.int64)
-        coords = np.full((len(names), most, dims.pop()), np.inf)
-        for g, name in enumerate(names):
-            for i, cid in enumerate(sorted(groups[name])):
-                cids[g, i], coords[g, i] = cid, groups[name][cid]
+        coords = np.array([c for _, _, c in rows], dtype=np.float64)
         if np.isnan(coords).any():
             raise ValueError("centres must not hold NaN")
-        return cls(names, cids, coords)
+        names, first, count = np.unique([g for g, _, _ in rows], return_index=True, return_counts=True)
+        return cls(names, first, count, np.array([cid for _, cid, _ in rows], dtype=np.int64), coords)
 
     @staticmethod
     def fetch(df: DataFrame, by: str | None) -> dict[int, dict[int, np.ndarray]]:
@@ -65,8 +59,8 @@ class Centers(NamedTuple):
 
     def members(self) -> dict[int, dict[int, np.ndarray]]:
         """The inverse of ``build``."""
-        rows = zip(self.groups.tolist(), self.cids.tolist(), self.coords)
-        return {g: {cid: c for cid, c in zip(cids, coords) if cid >= 0} for g, cids, coords in rows}
+        owned = [(g, slice(i, i + n)) for g, i, n in zip(self.groups.tolist(), self.first, self.count)]
+        return {g: dict(zip(self.cids[rows].tolist(), self.coords[rows])) for g, rows in owned}
 
     def to_dataframe(self, spark: SparkSession, weights: dict[tuple[int, int], float] | None = None) -> DataFrame:
         """``(g, cid, c)``, and ``w`` where weights are given by group and centre; those not listed are 0."""
@@ -82,13 +76,13 @@ class Centers(NamedTuple):
 
     def nearest(self, v: Column, group: Column | None = None) -> Column:
         """``struct<cid, d>`` of the nearest centre of the row's group; NULL for a group without centres."""
-        # All that the task needs, with coordinates laid out as [centre, coordinate, group].
-        names, cids, dims, layout = self.groups, self.cids, self.dims, self.coords.transpose(1, 2, 0).copy()
+        names, first, count, cids, coords = self
+        dims, columns = coords.shape[1], coords.T.copy()
 
         @F.arrow_udf("struct<cid:long,d:double>")
         def single(v: pa.Array) -> pa.Array:
-            index, d = tasks.nearest(tasks.coordinates(v, dims), layout[:, :, 0])
-            return pa.StructArray.from_arrays([pa.array(cids[0, index]), pa.array(d)], ["cid", "d"])
+            index, d = tasks.nearest(tasks.coordinates(v, dims), coords)
+            return pa.StructArray.from_arrays([pa.array(cids[index]), pa.array(d)], ["cid", "d"])
 
         @F.arrow_udf("struct<cid:long,d:double>")
         def grouped(group: pa.Array, v: pa.Array) -> pa.Array:
@@ -96,10 +90,8 @@ class Centers(NamedTuple):
             g = np.searchsorted(names, group).clip(max=len(names) - 1)
             known = names[g] == group
             x = tasks.coordinates(v, dims)
-            index, d = tasks.nearest(x, ((c[g] for c in center) for center in layout))
-            return pa.StructArray.from_arrays(
-                [pa.array(cids[g, index]), pa.array(d)], ["cid", "d"], mask=pa.array(~known)
-            )
+            index, d = tasks.nearest_of_own(x, columns, first[g], np.where(known, count[g], 0))
+            return pa.StructArray.from_arrays([pa.array(cids[index]), pa.array(d)], ["cid", "d"], mask=pa.array(~known))
 
         # Otherwise a filter on the result, be it one that a join implies, would be pushed down with a second call.
         nearest = (single if group is None else grouped).asNondeterministic()

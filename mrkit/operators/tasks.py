@@ -51,6 +51,19 @@ def nearest(x: np.ndarray, centers) -> tuple[np.ndarray, np.ndarray]:
     return index, best
 
 
+def nearest_of_own(x: np.ndarray, coords: np.ndarray, first: np.ndarray, count: np.ndarray):
+    """As ``nearest``, where column ``i`` of ``x`` may only choose from ``count[i]`` columns of ``coords`` on from
+    ``first[i]``. Columns without a choice get an infinite distance."""
+    index, best = first.copy(), np.full(x.shape[1], np.inf)
+    for i in range(count.max(initial=0)):
+        rows = np.flatnonzero(count > i)
+        candidates = first[rows] + i
+        d = distance(x if len(rows) == x.shape[1] else x[:, rows], coords[:, candidates])
+        closer = d < best[rows]
+        index[rows[closer]], best[rows[closer]] = candidates[closer], d[closer]
+    return index, best
+
+
 def pick(mass: np.ndarray, u: float) -> int | None:
     """First index with mass at which the running share of the total reaches ``u``; None without mass."""
     running, candidates = np.cumsum(mass), np.flatnonzero(mass > 0)

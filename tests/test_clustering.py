@@ -78,6 +78,16 @@ def test_groups_only_meet_their_own_centres(spark, center_bytes):
     assert _table(found, "id", "cid", "d") == [(0, 0, 9.0), (1, 1, 0.0), (2, None, None), (3, 0, 1.0)]
 
 
+def test_groups_of_different_sizes(spark):
+    rng = np.random.default_rng(10)
+    points = _points(spark, rng.normal(size=(90, 2))).withColumn("part", F.col("id").cast("int") % 3)
+    at = [(part, cid, rng.normal(size=2).tolist()) for part in range(3) for cid in range(1 + 6 * part)]
+    found = centers.nearest_center(points, spark.createDataFrame(at, "part int, cid int, c array<double>"), "part")
+    for row in found.collect():
+        d, cid = min((math.dist(row.v, c), cid) for part, cid, c in at if part == row.part)
+        assert row.cid == cid and row.d == pytest.approx(d, rel=1e-12)
+
+
 def test_distances_equal_the_column_function(spark):
     from mrkit.functions import euclidean
 
