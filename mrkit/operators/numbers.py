@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 
 def sum_of_squares(df: DataFrame, x: str = "x") -> DataFrame:
-    return df.agg(F.sum(F.col(x) * F.col(x)).alias("sum_of_squares"))
+    value = F.col(x).cast("double")
+    return df.agg(F.sum(value * value).alias("sum_of_squares"))
 
 
 def max_value(df: DataFrame, x: str = "x") -> DataFrame:
@@ -26,8 +27,8 @@ def max_by_key(df: DataFrame, *keys: str | Column) -> DataFrame:
 
 def normalize_by_max(df: DataFrame, x: str = "x", out: str = "z") -> DataFrame:
     """Adds ``x / max(x)``; NULL when the maximum is 0."""
-    largest = df.agg(F.max(x)).scalar()
-    return df.withColumn(out, F.try_divide(F.col(x), largest))
+    largest = df.agg(F.max(F.col(x).cast("double"))).scalar()
+    return df.withColumn(out, F.try_divide(F.col(x).cast("double"), largest))
 
 
 def band_probability(df: DataFrame, x: str = "x", low: float = 0.2, high: float = 0.8) -> DataFrame:

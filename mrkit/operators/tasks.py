@@ -80,15 +80,17 @@ def group_draws(seed: int, group: int, k: int) -> list[float]:
 
 def cluster_group(x: np.ndarray, w: np.ndarray, iters: int, draws) -> tuple[np.ndarray, np.ndarray]:
     """Centres and their weights for one group, with points in id order and one draw per centre."""
-    centers, best = [], None
+    centers, index, best = [], np.zeros(len(w), dtype=np.int64), None
     for u in draws:
         chosen = pick(np.ones(len(w)) if best is None else w * best, u)
         if chosen is None:
             break
         centers.append(x[:, chosen])
         d = distance(x, centers[-1])
-        best = d if best is None else np.minimum(best, d)
-    index, _ = nearest(x, centers)
+        if best is None:
+            best = d
+        closer = d < best
+        index[closer], best[closer] = len(centers) - 1, d[closer]
     for _ in range(iters):
         for i in range(len(centers)):
             members = index == i

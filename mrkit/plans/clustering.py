@@ -57,35 +57,51 @@ def weighted_kcenters(
     weight = F.col("w").cast("double") if "w" in points.columns else F.lit(1.0)
     group = (F.col(by) if by else F.lit(0)).cast("int")
     points = points.select(group.alias("g"), "id", "v", weight.alias("w"))
-    sample = points.select(F.size("v").alias("dims")).first()
-    if sample is None:
-        raise ValueError("there are no points")
-
+    dims = dimensions(points)
     extents = points.groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    limit = max(1, task_values // max(1, sample.dims))
-    rows, largest = extents.agg(F.sum("n"), F.max("n")).first()
+    limit = max(1, task_values // dims)
+    groups, rows, largest = extents.agg(F.count("*"), F.sum("n"), F.max("n")).first()
     if largest <= limit:
-        result = cluster_in_tasks(points, k, iters, seed, draws, rows * sample.dims)
+        result = cluster_in_tasks(points, k, iters, seed, draws, groups, rows, dims)
     else:
         large = {row.g: (row.n, row.lo, row.hi) for row in extents.where(F.col("n") > limit).collect()}
-        result = _cluster_in_jobs(points, large, k, iters, seed, draws, sample.dims, pick_rows)
+        result = _cluster_in_jobs(points, large, k, iters, seed, draws, dims, pick_rows)
         if sum(n for n, *_ in large.values()) < rows:
             # There are at most rows * dims / task_values large groups, a few bytes each.
             names = points.sparkSession.createDataFrame([(g,) for g in large], "g int")
             small = points.join(F.broadcast(names), "g", "left_anti")
-            result = result.unionByName(cluster_in_tasks(small, k, iters, seed, draws, rows * sample.dims))
+            result = result.unionByName(cluster_in_tasks(small, k, iters, seed, draws, groups, rows, dims))
     return result.withColumnRenamed("g", by) if by else result.drop("g")
 
 
+def dimensions(points: DataFrame) -> int:
+    """Coordinates of the first vector; whoever reads the others checks that they have as many."""
+    row = points.select(F.size("v").alias("dims")).first()
+    if row is None:
+        raise ValueError("there are no points")
+    if not row.dims or row.dims < 1:
+        raise ValueError("vectors must not be NULL or empty")
+    return row.dims
+
+
 def cluster_in_tasks(
-    points: DataFrame, k: int, iters: int, seed: int, draws: Sequence[float] | None, values: int
+    points: DataFrame,
+    k: int,
+    iters: int,
+    seed: int,
+    draws: Sequence[float] | None,
+    groups: int,
+    rows: int,
+    dims: int,
 ) -> DataFrame:
-    """``(g, cid, c, w)`` of ``points(g, id, v, w)``, whose groups each fit into one task."""
+    """``(g, cid, c, w)`` of ``points(g, id, v, w)``, whose groups each fit into one task.
+
+    The number of groups and rows, or bounds of these, say how far to spread the groups.
+    """
 
     def cluster(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        v = table["v"].combine_chunks()
-        x = tasks.coordinates(v, len(v[0]))
+        x = tasks.coordinates(table["v"], dims)
         g = key[0].as_py()
         centers, w = tasks.cluster_group(x, table["w"].to_numpy(), iters, draws or tasks.group_draws(seed, g, k))
         return pa.table(
@@ -97,9 +113,9 @@ def cluster_in_tasks(
             }
         )
 
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if values > parts * SHUFFLE_VALUES:
-        points = points.repartition(values // SHUFFLE_VALUES, "g")
+    # A given number of partitions, as adaptive execution would merge them by size although each is a lot of work.
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    points = points.repartition(min(groups, max(4 * cores, rows * dims // SHUFFLE_VALUES)), "g")
     return points.groupBy("g").applyInArrow(cluster, "g int, cid int, c array<double>, w double")
 
 

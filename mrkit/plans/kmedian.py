@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mrkit.operators.centers import kmedian_objective
-from mrkit.plans.clustering import TASK_VALUES, check_parameters, cluster_in_tasks, weighted_kcenters
+from mrkit.plans.clustering import TASK_VALUES, check_parameters, cluster_in_tasks, dimensions, weighted_kcenters
 from mrkit.session import checkpoint
 
 
@@ -62,28 +62,23 @@ def mr_kmedian(
     cost more passes over the points, more parts a larger coreset.
     """
     check_parameters(k, iters, draws)
-    dims = _dimensions(points)
+    dims = dimensions(points)
     if parts is None:
         # Hashing spreads ids evenly; half full on average leaves no part too large.
         parts = math.ceil(2 * points.count() * dims / task_values)
     if part is None:
         parted = with_part(points.select("id", "v"), parts)
     else:
-        parted = points.select("id", "v", part.cast("int").alias("part"))
+        outside = F.raise_error(F.lit(f"a part is not in [0, {parts})")).cast("int")
+        part = F.when(part.between(0, parts - 1), part.cast("int")).otherwise(outside)
+        parted = points.select("id", "v", part.alias("part"))
     coreset = partition_coreset(parted, k, iters, seed, draws, task_values)
     ids = F.col("part").cast("long") * k + F.col("cid")
     reduced = coreset.select(F.lit(0).alias("g"), ids.alias("id"), "v", "w")
-    values = parts * k * dims
-    if values <= task_values:
-        centers = cluster_in_tasks(reduced, k, iters, seed + 1, draws, values).drop("g")
+    if parts * k * dims <= task_values:
+        centers = cluster_in_tasks(reduced, k, iters, seed + 1, draws, 1, parts * k, dims).drop("g")
     else:
         centers = weighted_kcenters(checkpoint(reduced), k, iters, None, seed + 1, draws, task_values)
     centers = points.sparkSession.createDataFrame(centers.toArrow())
     return KMedian(centers, kmedian_objective(points, centers))
 
-
-def _dimensions(points: DataFrame) -> int:
-    row = points.select(F.size("v").alias("dims")).first()
-    if row is None:
-        raise ValueError("there are no points")
-    return max(1, row.dims)

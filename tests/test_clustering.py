@@ -144,7 +144,7 @@ def test_repeated_ids_fail(spark):
         seeding.weighted_pick(_points(spark, range(5), ids=[7] * 5), 0.5, "w", pick_rows=2)
 
 
-def _reference_clustering(values, weights, draws, iters):
+def _brute_force(values, weights, draws, iters):
     """Plain brute force, point by point."""
     values, chosen = [np.atleast_1d(np.array(v, float)) for v in values], []
     distance = lambda v: min(math.dist(v, c) for c in chosen)
@@ -174,7 +174,7 @@ def test_clustering_equals_brute_force(spark, sizes, iters):
     values, weights = rng.normal(size=(30, 3)), rng.integers(0, 4, 30).tolist()
     draws = [0.4, 0.95, 0.01]
     found = weighted_kcenters(_points(spark, values, weights), 3, iters, draws=draws, **sizes).orderBy("cid").collect()
-    expected = _reference_clustering(values, weights, draws, iters)
+    expected = _brute_force(values, weights, draws, iters)
     assert [(row.cid, row.w) for row in found] == [(i, w) for i, _, w in expected]
     np.testing.assert_allclose([row.c for row in found], [c for _, c, _ in expected], rtol=1e-12)
 
@@ -208,7 +208,7 @@ def test_groups_with_a_hot_one(spark, sizes):
     expected = [
         (part, cid, c, w)
         for part, values in sorted(by_part.items())
-        for cid, c, w in _reference_clustering(values, [1.0] * len(values), tasks.group_draws(9, part, 3), 1)
+        for cid, c, w in _brute_force(values, [1.0] * len(values), tasks.group_draws(9, part, 3), 1)
     ]
     assert [(row.part, row.cid, row.w) for row in found] == [(part, cid, w) for part, cid, _, w in expected]
     np.testing.assert_allclose([row.c for row in found], [c for _, _, c, _ in expected], rtol=1e-12)
@@ -297,6 +297,24 @@ def test_draws_are_checked(cloud, draws):
         weighted_kcenters(cloud, 2, 1, draws=draws)
 
 
+def test_parts_outside_of_the_range_fail(spark, cloud):
+    with pytest.raises(Exception, match="a part is not in"):
+        kmedian.mr_kmedian(cloud, 2, 3, 1, part=F.pmod("id", F.lit(4)))
+
+
+@pytest.mark.parametrize("bad", [None, []])
+def test_first_vector_must_have_coordinates(spark, bad):
+    points = spark.createDataFrame([(0, bad)], "id long, v array<double>")
+    with pytest.raises(ValueError, match="NULL or empty"):
+        weighted_kcenters(points, 1, 0)
+
+
+def test_groups_must_have_the_same_dimension(spark):
+    points = spark.createDataFrame([(0, [1.0], 0), (1, [1.0, 2.0], 1)], "id long, v array<double>, part int")
+    with pytest.raises(Exception, match="every vector must have"):
+        weighted_kcenters(points, 1, 0, "part").collect()
+
+
 def test_no_points(spark, cloud):
     with pytest.raises(ValueError, match="no points"):
         weighted_kcenters(cloud.where("id < 0"), 2, 1)

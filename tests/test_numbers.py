@@ -51,6 +51,12 @@ def test_zero_maximum_is_outside_of_the_band(spark):
     assert [row.z for row in numbers.normalize_by_max(zeros).collect()] == [None, None]
 
 
+def test_integers_are_taken_as_doubles(spark):
+    df = spark.createDataFrame([(2_000_000_000,), (500_000_000,)], "x int")
+    assert _value(numbers.sum_of_squares(df)) == 4.25e18
+    assert _value(numbers.band_probability(df)) == 0.5
+
+
 def test_no_values(spark):
     empty = spark.createDataFrame([], "x double")
     for operator in (numbers.sum_of_squares, numbers.max_value, numbers.band_probability):
