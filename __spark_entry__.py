@@ -28,6 +28,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, v, w, label, part)``, weighted by label so that weights matter."""
     return _table(spark, sf_dir, "embeddings").select(
@@ -61,7 +65,7 @@ def _numbers_query(operator: Callable[..., DataFrame], table: str, *columns: str
 
 
 def _words_query(operator: Callable[..., DataFrame], *args: int) -> Callable:
-    return lambda spark, sf_dir: operator(spread_scan(_table(spark, sf_dir, "documents").select("doc_id", "text")), *args)
+    return lambda spark, sf_dir: operator(_documents(spark, sf_dir), *args)
 
 
 def _max_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +247,8 @@ def _clustering_sql(name: str, source: str, iters: int) -> str:
     ctes = [f"{name}_near0 AS MATERIALIZED (SELECT *, 1.0 / w AS d FROM {source})"]
     for i, u in enumerate(DRAWS):
         ctes.append(f"{name}_pick{i} AS MATERIALIZED ({_pick_sql(f'{name}_near{i}', 'w * d', u, 'g')})")
-        ctes.append(f"{name}_seed{i} AS MATERIALIZED (SELECT g, v AS c FROM {source} JOIN {name}_pick{i} USING (g, id))")
+        seed = f"SELECT g, v AS c FROM {source} JOIN {name}_pick{i} USING (g, id)"
+        ctes.append(f"{name}_seed{i} AS MATERIALIZED ({seed})")
         distance = "list_distance(v, c)" if i == 0 else "least(d, list_distance(v, c))"
         ctes.append(
             f"{name}_near{i + 1} AS MATERIALIZED ("

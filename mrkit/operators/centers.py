@@ -91,7 +91,8 @@ class Centers(NamedTuple):
             known = names[g] == group
             x = tasks.coordinates(v, dims)
             index, d = tasks.nearest_of_own(x, columns, first[g], np.where(known, count[g], 0))
-            return pa.StructArray.from_arrays([pa.array(cids[index]), pa.array(d)], ["cid", "d"], mask=pa.array(~known))
+            result = [pa.array(cids[index]), pa.array(d)]
+            return pa.StructArray.from_arrays(result, ["cid", "d"], mask=pa.array(~known))
 
         # Otherwise a filter on the result, be it one that a join implies, would be pushed down with a second call.
         nearest = (single if group is None else grouped).asNondeterministic()

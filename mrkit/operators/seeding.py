@@ -78,7 +78,8 @@ def weighted_pick(
 def group_extents(points: DataFrame, by: str | None = None) -> dict[int, tuple[int, int, int]]:
     """Rows, smallest and largest id of every group. Meant for a bounded number of groups."""
     group = F.col(by) if by else F.lit(0)
-    stats = points.groupBy(group.alias("g")).agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    extent = [F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")]
+    stats = points.groupBy(group.alias("g")).agg(*extent)
     return {row.g: (row.n, row.lo, row.hi) for row in stats.collect()}
 
 

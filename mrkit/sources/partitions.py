@@ -4,10 +4,10 @@ from pyspark.sql import DataFrame
 
 
 def spread_scan(scan: DataFrame) -> DataFrame:
-    """Spreads the rows of a file scan over all cores if its files make fewer partitions than there are cores.
+    """Spreads the rows of a file scan over all cores if its partitions would leave half of the cores or more idle.
 
     Helps few files of few row groups whose rows are costly to process. Larger scans are left as they are, without a
     shuffle. Meant for plain scans: asking a plan with shuffles for its partitions would run them.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() <= cores else scan

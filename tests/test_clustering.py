@@ -241,7 +241,8 @@ def test_coreset_stands_for_the_points(spark, cloud, sizes):
     coreset = kmedian.partition_coreset(parted, 3, 1, **sizes)
     assert coreset.columns == ["part", "cid", "v", "w"]
     weights = coreset.groupBy("part").agg(F.sum("w").alias("n"), F.count("*").alias("rows"))
-    assert _table(weights, "part", "n") == _table(parted.groupBy("part").agg(F.count("*").cast("double").alias("n")), "part", "n")
+    sizes_of_parts = parted.groupBy("part").agg(F.count("*").cast("double").alias("n"))
+    assert _table(weights, "part", "n") == _table(sizes_of_parts, "part", "n")
     assert {row.rows for row in weights.collect()} == {3}
 
 
