@@ -114,19 +114,20 @@ def nearest_center(
         size = centers.agg(F.sum(F.size("c") * 8).alias("bytes")).first()["bytes"] or 0
         blocks = max(1, math.ceil(size / center_bytes))
         block = F.pmod(F.xxhash64(*[F.col(c) for c in [by, "cid"] if c]), F.lit(blocks))
-        tables = (Centers.build(Centers.fetch(centers.where(block == b), by)) for b in _occupied(centers, block, blocks))
         result = None
-        for table in tables:
+        for b in _occupied(centers, block, blocks):
+            table = Centers.build(Centers.fetch(centers.where(block == b), by))
             found = table.nearest(F.col("v"), F.col(by) if by else None)
             if result is None:
-                result = points.withColumn("near", found)
+                result = points.withColumn("nearest_center", found)
             else:
-                result = checkpoint(result).withColumn("near", _nearer(F.col("near"), found))
+                closer = _nearer(F.col("nearest_center"), found)
+                result = checkpoint(result).withColumn("nearest_center", closer)
     finally:
         if owned:
             centers.unpersist()
-    cid = F.col("near.cid").cast(centers.schema["cid"].dataType)
-    return result.select(*points.columns, cid.alias("cid"), F.col("near.d").alias("d"))
+    cid = F.col("nearest_center.cid").cast(centers.schema["cid"].dataType)
+    return result.select(*points.columns, cid.alias("cid"), F.col("nearest_center.d").alias("d"))
 
 
 def _occupied(centers: DataFrame, block: Column, blocks: int) -> list[int]:

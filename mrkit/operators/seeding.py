@@ -51,27 +51,30 @@ def weighted_pick(
         if width == 0:
             raise ValueError("ids are not unique")
         shift = max(0, width.bit_length() - PICK_RANGES.bit_length() + 1)
-        key = F.shiftright(F.col("id").cast("long"), shift).alias("key")
+        key = F.shiftright(F.col("id").cast("long"), shift).alias("pick_key")
         totals = (
             _within(rows, ranges, draws)
-            .withColumn("mass", mass)
-            .groupBy("pick_group", "u", "before", "total", key)
-            .agg(F.sum("mass").alias("mass"), F.count("*").alias("n"))
+            .withColumn("pick_mass", mass)
+            .groupBy("pick_group", "pick_u", "pick_before", "pick_total", key)
+            .agg(F.sum("pick_mass").alias("pick_mass"), F.count("*").alias("n"))
         )
         chosen = _first_reaching(totals, "n").collect()
         ranges = {
             row.pick_group: (
-                max(ranges[row.pick_group][0], row.key << shift),
-                min(ranges[row.pick_group][1], ((row.key + 1) << shift) - 1),
-                row.before,
-                row.total,
+                max(ranges[row.pick_group][0], row.pick_key << shift),
+                min(ranges[row.pick_group][1], ((row.pick_key + 1) << shift) - 1),
+                row.pick_before,
+                row.pick_total,
                 row.n,
             )
             for row in chosen
         }
 
-    found = _within(rows, ranges, draws).withColumn("mass", mass).withColumn("key", F.col("id"))
-    found = found.select("pick_group", "u", "before", "total", "key", "mass", F.struct(*points.columns).alias("row"))
+    found = _within(rows, ranges, draws).withColumn("pick_mass", mass).select(
+        *("pick_group", "pick_u", "pick_before", "pick_total", "pick_mass"),
+        F.col("id").alias("pick_key"),
+        F.struct(*points.columns).alias("row"),
+    )
     return _first_reaching(found, "row").select("row.*")
 
 
@@ -90,27 +93,27 @@ def _within(rows: DataFrame, ranges: Mapping[int, tuple], draws: Mapping[int, fl
     if len(data) == 1:
         g, lo, hi, before, total, u = data[0]
         inside = (F.col("pick_group") == g) & F.col("id").between(lo, hi)
-        constants = {"before": F.lit(before), "total": F.lit(total).cast("double"), "u": F.lit(u)}
+        constants = {"pick_before": F.lit(before), "pick_total": F.lit(total).cast("double"), "pick_u": F.lit(u)}
         return rows.where(inside).withColumns(constants)
-    schema = "pick_group long, range_lo long, range_hi long, before double, total double, u double"
+    schema = "pick_group long, pick_lo long, pick_hi long, pick_before double, pick_total double, pick_u double"
     bounds = spark.createDataFrame(data, schema)
-    inside = F.col("id").between(F.col("range_lo"), F.col("range_hi"))
-    return rows.join(F.broadcast(bounds), "pick_group").where(inside).drop("range_lo", "range_hi")
+    inside = F.col("id").between(F.col("pick_lo"), F.col("pick_hi"))
+    return rows.join(F.broadcast(bounds), "pick_group").where(inside).drop("pick_lo", "pick_hi")
 
 
 def _first_reaching(rows: DataFrame, keep: str) -> DataFrame:
     """Per group the first key, with mass, at which the running mass reaches the share ``u`` of the total."""
     group = Window.partitionBy("pick_group")
-    ahead = F.sum("mass").over(group.orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.sum("pick_mass").over(group.orderBy("pick_key").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumns(
         {
-            "total": F.coalesce("total", F.sum("mass").over(group)),
-            "before": F.col("before") + F.coalesce(ahead, F.lit(0.0)),
+            "pick_total": F.coalesce("pick_total", F.sum("pick_mass").over(group)),
+            "pick_before": F.col("pick_before") + F.coalesce(ahead, F.lit(0.0)),
         }
     )
-    row = F.struct("key", "before", "total", keep)
-    reached = F.col("before") + F.col("mass") >= F.col("u") * F.col("total")
-    massive = F.col("mass") > 0
+    row = F.struct("pick_key", "pick_before", "pick_total", keep)
+    reached = F.col("pick_before") + F.col("pick_mass") >= F.col("pick_u") * F.col("pick_total")
+    massive = F.col("pick_mass") > 0
     first, last = F.min(F.when(massive & reached, row)), F.max(F.when(massive, row))
     picked = rows.groupBy("pick_group").agg(F.coalesce(first, last).alias("picked"))
     return picked.where(F.col("picked").isNotNull()).select("pick_group", "picked.*")

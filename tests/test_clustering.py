@@ -135,6 +135,14 @@ def test_weighted_pick_by_group(spark, pick_rows):
     assert [(row.part, row.id) for row in picked] == [(0, 4)]
 
 
+@pytest.mark.parametrize("pick_rows", [2, 100])
+def test_pick_keeps_all_columns(spark, pick_rows):
+    names = ["id", "mass", "u", "before", "total", "key", "n", "row", "near"]
+    points = spark.createDataFrame([tuple(range(i, i + 9)) for i in range(5)], names)
+    picked = seeding.weighted_pick(points, 0.9, F.col("u") - F.col("id"), pick_rows=pick_rows)
+    assert picked.columns == names and tuple(picked.first()) == tuple(range(4, 13))
+
+
 def test_no_mass_no_pick(spark):
     assert seeding.weighted_pick(_points(spark, [1, 2], [0, 0]), 0.5, "w").count() == 0
 
