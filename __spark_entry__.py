@@ -49,8 +49,11 @@ def _label_means(points: DataFrame) -> DataFrame:
 
 
 def _coordinates(vectors: DataFrame, keys: list[str], v: str) -> DataFrame:
-    """One row per coordinate, rounded for comparison."""
-    exploded = vectors.select(*keys, F.posexplode(v).alias("pos", "x"))
+    """One row per coordinate, rounded for comparison.
+
+    The outer form, as the plain one adds a filter on the size of the vector, which computes it a second time.
+    """
+    exploded = vectors.select(*keys, F.posexplode_outer(v).alias("pos", "x"))
     return exploded.withColumn("x", F.round(F.col("x").cast("double"), 6) + 0.0)
 
 
