@@ -163,11 +163,25 @@ def _mr_kmedian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kmedian(spark, sf_dir).objective.withColumn("objective", F.round("objective", 6))
 
 
+def _llm():
+    """The queries for training data, or None without their package."""
+    try:
+        from mrkit.llm import queries as llm_queries
+    except ImportError:
+        return None
+    return llm_queries
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return _mr_kmedian(spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    llm = _llm()
+    return _own_queries() | (llm.queries() if llm else {})
+
+
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "sum_of_squares": _numbers_query(numbers.sum_of_squares, "lineitem", "l_quantity"),
         "max_value": _numbers_query(numbers.max_value, "lineitem", "l_extendedprice"),
@@ -283,6 +297,11 @@ def _clustering_sql(name: str, source: str, iters: int) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    llm = _llm()
+    return _own_oracle_sql() | (llm.oracle_sql() if llm else {})
+
+
+def _own_oracle_sql() -> dict[str, str]:
     word_count = f"SELECT word, count(*) AS n FROM ({_TOKENS_SQL}) GROUP BY word"
     whole = f"WITH points AS MATERIALIZED (SELECT 0 AS g, id, v, w FROM ({_POINTS_SQL}))"
     parts = f"WITH points AS MATERIALIZED (SELECT part AS g, id, v, CAST(1 AS DOUBLE) AS w FROM ({_POINTS_SQL}))"
