@@ -64,15 +64,15 @@ def repeated_words(words: list[bytes]) -> int:
     return covered
 
 
-@F.arrow_udf("struct<" + ", ".join(f"{name}: long" for name in STATISTICS) + ">")
-def _statistics(text: pa.Array) -> pa.Array:
-    columns = zip(*map(text_statistics, texts(text))) if len(text) else [()] * len(STATISTICS)
-    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], STATISTICS)
-
-
 def statistics(text: str | Column) -> Column:
     """``STATISTICS`` of a text column as a struct."""
-    return _statistics.asNondeterministic()(text)
+
+    @F.arrow_udf("struct<" + ", ".join(f"{name}: long" for name in STATISTICS) + ">")
+    def measured(text: pa.Array) -> pa.Array:
+        columns = zip(*map(text_statistics, texts(text))) if len(text) else [()] * len(STATISTICS)
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], STATISTICS)
+
+    return measured.asNondeterministic()(text)
 
 
 def base_failed(s: Column) -> Column:
