@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mrkit.llm import byte_bpe, lm_scoring, minhash, packing, quality_classifier, quality_rules
+from mrkit.llm import byte_bpe, lm_scoring, minhash, packing, quality_classifier, quality_rules, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return quality_rules.quality_rules(documents, labels)
@@ -45,6 +49,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_quality_rules": op4_quality_rules,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_byte_bpe": op6_byte_bpe,
