@@ -239,6 +239,26 @@ def _marked(documents: DataFrame, classes: DataFrame) -> DataFrame:
     return marked.where((F.col("n") == 1) & (F.size("marks") > 0)).select("key", "span", "marks")
 
 
+def _prints(size: int, smaller: int) -> Column:
+    """Fingerprints of the smaller ranges inside the given ones, as far as the span has windows there."""
+
+    @F.arrow_udf("array<struct<range: int, print: binary>>")
+    def prints(data: pa.Array, place: pa.Array, ranges: pa.Array) -> pa.Array:
+        rows = []
+        for text, anchor, alive in zip(texts(data), place.to_pylist(), ranges.to_pylist()):
+            row = []
+            for number in sorted({r * size // smaller + i for r in alive for i in range(size // smaller)}):
+                # Windows start less than LENGTH bytes in front of their anchor.
+                start = number * smaller - LENGTH + 1 + anchor
+                if start + smaller > 0 and start <= len(text) - LENGTH:
+                    common = text[start + smaller - 1 : start + LENGTH]
+                    row.append({"range": number, "print": xxhash.xxh3_128_digest(common)})
+            rows.append(row)
+        return pa.array(rows, pa.list_(pa.struct([("range", pa.int32()), ("print", pa.binary())])))
+
+    return prints.asNondeterministic()("data", "place", "ranges")
+
+
 def _marked_hot(hot: DataFrame) -> DataFrame:
     """The same for anchors with very many spans, by counting what ranges of windows have in common.
 
@@ -248,22 +268,8 @@ def _marked_hot(hot: DataFrame) -> DataFrame:
     state = hot.withColumn("ranges", F.array(F.lit(0)))
     size = LENGTH
     for smaller in (100, 25, 5, 1):
-        @F.arrow_udf("array<struct<range: int, print: binary>>")
-        def prints(data: pa.Array, place: pa.Array, ranges: pa.Array, size=size, smaller=smaller) -> pa.Array:
-            rows = []
-            for text, anchor, alive in zip(texts(data), place.to_pylist(), ranges.to_pylist()):
-                row = []
-                for number in sorted({r * size // smaller + i for r in alive for i in range(size // smaller)}):
-                    # Windows start at most LENGTH bytes in front of their anchor.
-                    start = number * smaller - LENGTH + anchor
-                    if start + smaller > 0 and start <= len(text) - LENGTH:
-                        common = text[start + smaller - 1 : start + LENGTH]
-                        row.append({"range": number, "print": xxhash.xxh3_128_digest(common)})
-                rows.append(row)
-            return pa.array(rows, pa.list_(pa.struct([("range", pa.int32()), ("print", pa.binary())])))
-
         each = checkpoint(
-            state.select("key", "span", "n", F.inline(prints.asNondeterministic()("data", "place", "ranges")))
+            state.select("key", "span", "n", F.inline(_prints(size, smaller)))
         )
         often = each.groupBy("key", "range", "print").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
         alive = each.join(often, ["key", "range", "print"], "left_semi")
@@ -274,7 +280,7 @@ def _marked_hot(hot: DataFrame) -> DataFrame:
     @F.arrow_udf(MARKS)
     def marks(place: pa.Array, ranges: pa.Array) -> pa.Array:
         rows = zip(place.to_pylist(), ranges.to_pylist())
-        found = [covered(np.sort(np.array(alive)) - LENGTH + anchor) for anchor, alive in rows]
+        found = [covered(np.sort(np.array(alive)) - LENGTH + 1 + anchor) for anchor, alive in rows]
         return pa.array([[{"lo": a, "hi": b} for a, b in places] for places in found],
                         pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
 
