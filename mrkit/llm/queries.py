@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mrkit.llm import byte_bpe, lm_scoring, minhash, packing, quality_classifier, quality_rules, suffix_dedup
+from mrkit.llm import byte_bpe, lm_scoring, minhash, packing, quality_classifier, quality_rules, suffix_dedup, vector_graph
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op10_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_graph.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_packing": op7_packing,
         "op9_lm_scoring": op9_lm_scoring,
+        "op10_vector_graph": op10_vector_graph,
     }
 
 
