@@ -7,7 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mrkit.llm import byte_bpe, lm_scoring, minhash, packing, quality_classifier, quality_rules, suffix_dedup, vector_graph
+from mrkit.llm import byte_bpe, lm_scoring, minhash, packing, pii, quality_classifier, quality_rules, suffix_dedup, vector_graph
+
+
+# The key of the surrogates; whoever uses them for real keeps another one secret.
+KEY = "surrogates of the test tables"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +46,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogate_documents(_table(spark, sf_dir, "documents"), KEY)
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_classifier": op5_quality_classifier,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_packing": op7_packing,
+        "op8_pii": op8_pii,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_vector_graph": op10_vector_graph,
     }
