@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mrkit.llm import byte_bpe, lm_scoring, minhash, packing, pii, quality_classifier, quality_rules, suffix_dedup, vector_graph
+from mrkit.llm import byte_bpe, html_content, lm_scoring, minhash, packing, pii, quality_classifier, quality_rules, suffix_dedup, vector_graph
 
 
 # The key of the surrogates; whoever uses them for real keeps another one secret.
@@ -22,6 +22,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
 
+def op2_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_content.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def op10_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
+        "op2_html_content": op2_html_content,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_quality_rules": op4_quality_rules,
         "op5_quality_classifier": op5_quality_classifier,
