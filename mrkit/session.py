@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,13 +17,65 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in a new subfolder of the checkpoint folder, read again. The files stay until ``Generations``
+    or the user deletes them."""
+    folder = f"{_ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+class Generations:
+    """State of a loop that is written anew from time to time: the next generation replaces the one before.
+
+    ``keep`` writes a DataFrame to a subfolder of the shared folder, deletes the generation before it and returns what
+    was written. Used as a context, it deletes the last one in the end too; ``release`` leaves that one to a result
+    that still reads it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, None
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        old, new = self.folder, f"{_ensure_checkpoint_dir(self.spark)}/{uuid.uuid4()}"
+        try:
+            df.write.parquet(new)
+        except BaseException:
+            _delete(self.spark, new)
+            raise
+        self.folder = new
+        if old:
+            _delete(self.spark, old)
+        return self.spark.read.schema(df.schema).parquet(new)
+
+    def release(self) -> None:
+        self.folder = None
+
+    def __enter__(self) -> Generations:
+        return self
+
+    def __exit__(self, *error) -> None:
+        if self.folder:
+            _delete(self.spark, self.folder)
+            self.folder = None
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _ensure_checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
+    # One process, so its folders are shared; local-cluster has executors of its own.
+    local = re.fullmatch(r"local(\[[^\]]*\])?", context.master) is not None
+    folder = context.getCheckpointDir()
+    if folder:
+        return folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        if not local:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="mrkit-checkpoint-")
     context.setCheckpointDir(folder)
+    return context.getCheckpointDir() or folder
