@@ -163,13 +163,15 @@ def _mr_kmedian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kmedian(spark, sf_dir).objective.withColumn("objective", F.round("objective", 6))
 
 
-def _llm():
-    """The queries for training data, or None without their package."""
+def _llm() -> tuple[dict[str, Callable], dict[str, str]]:
+    """The queries for training data and their SQL; none without their package."""
     try:
+        import corpus_pipeline
         from mrkit.llm import queries as llm_queries
     except ImportError:
-        return None
-    return llm_queries
+        return {}, {}
+    pipeline_sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return llm_queries.queries() | {"pipeline": corpus_pipeline.run}, llm_queries.oracle_sql() | pipeline_sql
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -177,8 +179,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    llm = _llm()
-    return _own_queries() | (llm.queries() if llm else {})
+    return _own_queries() | _llm()[0]
 
 
 def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -297,8 +298,7 @@ def _clustering_sql(name: str, source: str, iters: int) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    llm = _llm()
-    return _own_oracle_sql() | (llm.oracle_sql() if llm else {})
+    return _own_oracle_sql() | _llm()[1]
 
 
 def _own_oracle_sql() -> dict[str, str]:
