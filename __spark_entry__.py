@@ -16,6 +16,7 @@ from mrkit.operators import centers, numbers, seeding, words
 from mrkit.plans.clustering import weighted_kcenters
 from mrkit.plans.kmedian import mr_kmedian, partition_coreset
 from mrkit.plans.reports import number_report, word_report
+from mrkit.session import checkpoint
 from mrkit.sources import numbers_from_lines, spread_scan
 
 # Parameters of the clustering queries: centres, parts, Lloyd steps and the random number of each centre.
@@ -58,8 +59,10 @@ def _coordinates(vectors: DataFrame, keys: list[str], v: str) -> DataFrame:
 
 
 def _with_label_distance(points: DataFrame) -> DataFrame:
-    """Adds ``d``, the distance to the mean of the own label."""
-    means = _label_means(points).withColumnRenamed("cid", "label")
+    """Adds ``d``, the distance to the mean of the own label, without moving the points."""
+    means = checkpoint(_label_means(points).withColumnRenamed("cid", "label"))
+    size = means.agg(F.sum(F.size("c") * 8)).first()[0] or 0
+    means = F.broadcast(means) if size <= centers.CENTER_BYTES else means
     return points.join(means, "label").withColumn("d", euclidean("v", "c")).drop("c")
 
 

@@ -7,6 +7,7 @@ centres of its own group. Distances are plain Euclidean, not squared; of equally
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -15,10 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mrkit.operators import tasks
-from mrkit.session import checkpoint
+from mrkit.session import Generations, checkpoint
 
 # Centres shipped to the executors at once. More are taken block by block.
 CENTER_BYTES = 16 << 20
+BLOCKS_AT_ONCE = 4
 
 
 class Centers(NamedTuple):
@@ -94,9 +96,51 @@ class Centers(NamedTuple):
             result = [pa.array(cids[index]), pa.array(d)]
             return pa.StructArray.from_arrays(result, ["cid", "d"], mask=pa.array(~known))
 
-        # Otherwise a filter on the result, be it one that a join implies, would be pushed down with a second call.
-        nearest = (single if group is None else grouped).asNondeterministic()
-        return nearest(v) if group is None else nearest(group, v)
+        return single(v) if group is None else grouped(group, v)
+
+    def sums(self, points: DataFrame) -> DataFrame:
+        """``(g, cid, sums, w)``: weighted coordinate sums and weights of the ``points(g, v, w)`` nearest to each centre.
+
+        One pass: a task adds up what it reads, so it yields at most a row per centre, and these rows are added per
+        centre. No coordinate becomes a row of its own.
+        """
+        names, first, count, cids, coords = self
+        dims, columns = coords.shape[1], coords.T.copy()
+        owner = np.repeat(names, count)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums, weights = np.zeros(coords.shape), np.zeros(len(coords))
+            for batch in batches:
+                x = tasks.coordinates(batch.column("v"), dims)
+                w, group = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("w", "g"))
+                g = np.searchsorted(names, group).clip(max=len(names) - 1)
+                known = names[g] == group
+                index, _ = tasks.nearest_of_own(x, columns, first[g], np.where(known, count[g], 0))
+                index, w = index[known], w[known]
+                weights += np.bincount(index, w, len(coords))
+                for d in range(dims):
+                    sums[:, d] += np.bincount(index, w * x[d, known], len(coords))
+            used = np.flatnonzero(weights > 0)
+            columns_ = [owner[used], cids[used], pa.array(list(sums[used]), pa.list_(pa.float64())), weights[used]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns_], ["g", "cid", "sums", "w"])
+
+        def total(table: pa.Table) -> pa.Table:
+            sums = np.array(table["sums"].to_pylist()).sum(axis=0)
+            row = {"g": table["g"][0], "cid": table["cid"][0], "sums": sums, "w": sum(table["w"].to_pylist())}
+            return pa.table({name: pa.array([getattr(v, "as_py", lambda: v)()]) for name, v in row.items()})
+
+        schema = "g long, cid long, sums array<double>, w double"
+        rows = points.select(F.col("g").cast("long").alias("g"), "v", "w").mapInArrow(add, schema)
+        return rows.groupBy("g", "cid").applyInArrow(total, schema)
+
+
+def checked_weight(w: str | Column, name: str = "weights") -> Column:
+    """``w`` as a double; NULL, NaN, infinite and negative values fail."""
+    w = (F.col(w) if isinstance(w, str) else w).cast("double")
+    sound = (w >= 0) & (w < float("inf"))
+    return F.when(F.coalesce(sound, F.lit(False)), w).otherwise(
+        F.raise_error(F.concat(F.lit(f"{name} must be finite and not negative, not "), F.coalesce(w.cast("string"), F.lit("NULL")))).cast("double")
+    )
 
 
 def nearest_center(
@@ -105,34 +149,67 @@ def nearest_center(
     """Adds ``cid`` and ``d``, the nearest centre and the distance to it. No shuffle of the points.
 
     Centres are shipped to the executors if they fit in ``center_bytes``. A larger set is cut into blocks that fit;
-    the points pass one block after the other and keep the best centre so far.
+    the points pass ``BLOCKS_AT_ONCE`` of them at a time and keep the best centre so far, in one generation of files
+    that replaces the one before. Points of a group without centres get NULLs.
     """
+    return _assigned(points, centers, by, center_bytes)[0]
+
+
+def _assigned(
+    points: DataFrame, centers: DataFrame, by: str | None, center_bytes: int = CENTER_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """As ``nearest_center``, and the centres without what it takes to compute them."""
+    for name in ("cid", "d"):
+        if name in points.columns:
+            raise ValueError(f"the points have a column {name} already")
+    table, known, blocks = _fetched(centers, by, center_bytes)
+    group, type_ = F.col(by) if by else None, centers.schema["cid"].dataType
+    if table is not None:
+        # A generator, as one UDF call then serves both columns and filters on other columns pass below it.
+        near = F.inline(F.array(table.nearest(F.col("v"), group))).alias("cid", "d")
+        return points.select("*", near).withColumn("cid", F.col("cid").cast(type_)), known
+    best, state = _free(points, "best"), Generations(points.sparkSession)
+    block = F.pmod(F.xxhash64(*[F.col(c) for c in [by, "cid"] if c]), F.lit(blocks))
+    result, numbers = points.withColumn(best, F.lit(None).cast("struct<cid:long,d:double>")), _occupied(known, block)
+    for start in range(0, len(numbers), BLOCKS_AT_ONCE):
+        if start:
+            result = state.keep(result)
+        for b in numbers[start : start + BLOCKS_AT_ONCE]:
+            near = _free(result, "near")
+            found = Centers.build(Centers.fetch(known.where(block == b), by)).nearest(F.col("v"), group)
+            result = result.withColumn(near, found).withColumn(best, _nearer(F.col(best), F.col(near))).drop(near)
+    # The result still reads the last generation.
+    state.release()
+    chosen = [F.col(f"{best}.cid").cast(type_).alias("cid"), F.col(f"{best}.d").alias("d")]
+    return result.select(*points.columns, *chosen), known
+
+
+def _fetched(centers: DataFrame, by: str | None, center_bytes: int) -> tuple[Centers | None, DataFrame, int]:
+    """The centres if they fit into ``center_bytes``, a table of them that is not computed again, and how often they fit."""
     owned = not (centers.storageLevel.useMemory or centers.storageLevel.useDisk)
     if owned:
         centers.persist()
     try:
         size = centers.agg(F.sum(F.size("c") * 8).alias("bytes")).first()["bytes"] or 0
         blocks = max(1, math.ceil(size / center_bytes))
-        block = F.pmod(F.xxhash64(*[F.col(c) for c in [by, "cid"] if c]), F.lit(blocks))
-        result = None
-        for b in _occupied(centers, block, blocks):
-            table = Centers.build(Centers.fetch(centers.where(block == b), by))
-            found = table.nearest(F.col("v"), F.col(by) if by else None)
-            if result is None:
-                result = points.withColumn("nearest_center", found)
-            else:
-                closer = _nearer(F.col("nearest_center"), found)
-                result = checkpoint(result).withColumn("nearest_center", closer)
+        if blocks > 1:
+            return None, checkpoint(centers.select(*[c for c in [by, "cid", "c"] if c])), blocks
+        table = Centers.build(Centers.fetch(centers, by))
     finally:
         if owned:
             centers.unpersist()
-    cid = F.col("nearest_center.cid").cast(centers.schema["cid"].dataType)
-    return result.select(*points.columns, cid.alias("cid"), F.col("nearest_center.d").alias("d"))
+    known = table.to_dataframe(centers.sparkSession)
+    columns = [F.col("g").cast(centers.schema[by].dataType).alias(by)] if by else []
+    return table, known.select(*columns, F.col("cid").cast(centers.schema["cid"].dataType).alias("cid"), "c"), 1
+
+
+def _free(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
 
 
-def _occupied(centers: DataFrame, block: Column, blocks: int) -> list[int]:
-    if blocks == 1:
-        return [0]
+def _occupied(centers: DataFrame, block: Column) -> list[int]:
     return sorted(row.block for row in centers.select(block.alias("block")).distinct().collect())
 
 
@@ -144,9 +221,11 @@ def _nearer(a: Column, b: Column) -> Column:
 def center_weights(points: DataFrame, centers: DataFrame, by: str | None = None) -> DataFrame:
     """``(cid, w)``, the total weight of the points nearest to each centre (their number without a column ``w``)."""
     keys = [by, "cid"] if by else ["cid"]
-    weight = F.sum("w") if "w" in points.columns else F.count("*")
-    counted = nearest_center(points, centers, by).groupBy(*keys).agg(weight.alias("w"))
-    return centers.select(*keys).join(counted, keys, "left").fillna(0, ["w"])
+    weighted = "w" in points.columns
+    assigned, known = _assigned(points, centers, by)
+    weight = F.sum(checked_weight("w")) if weighted else F.count("*")
+    counted = assigned.groupBy(*keys).agg(weight.alias("w"))
+    return known.select(*keys).join(counted, keys, "left").fillna(0, ["w"])
 
 
 def kmedian_objective(points: DataFrame, centers: DataFrame) -> DataFrame:
@@ -160,9 +239,18 @@ def lloyd_step(points: DataFrame, centers: DataFrame, by: str | None = None) ->
     A centre stays where it is if no weight is nearest to it. Points without a column ``w`` weigh 1.
     """
     keys = [by, "cid"] if by else ["cid"]
-    weight = F.col("w") if "w" in points.columns else F.lit(1)
-    moved = move_centers(nearest_center(points, centers, by).withColumn("w", weight), keys)
-    joined = centers.alias("old").join(moved.alias("new"), keys, "left")
+    weight = checked_weight("w") if "w" in points.columns else F.lit(1.0)
+    group = F.col(by) if by else F.lit(0)
+    heavy = points.withColumn("w", weight).where(F.col("w") > 0)
+    table, known, _ = _fetched(centers, by, CENTER_BYTES)
+    if table is None:
+        moved = move_centers(_assigned(heavy, known, by)[0], keys)
+    else:
+        found = table.sums(heavy.select(group.alias("g"), "v", "w"))
+        names = [F.col("g").cast(centers.schema[by].dataType).alias(by)] if by else []
+        cid = F.col("cid").cast(centers.schema["cid"].dataType).alias("cid")
+        moved = found.select(*names, cid, F.transform("sums", lambda x: x / F.col("w")).alias("c"))
+    joined = known.alias("old").join(moved.alias("new"), keys, "left")
     return joined.select(*keys, F.coalesce("new.c", F.col("old.c").cast("array<double>")).alias("c"))
 
 

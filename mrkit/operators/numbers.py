@@ -27,16 +27,22 @@ def max_by_key(df: DataFrame, *keys: str | Column) -> DataFrame:
 
 def normalize_by_max(df: DataFrame, x: str = "x", out: str = "z") -> DataFrame:
     """Adds ``x / max(x)``; NULL when the maximum is 0."""
+    return df.withColumn(out, normalized(df, x))
+
+
+def normalized(df: DataFrame, x: str) -> Column:
+    """``x / max(x)`` over all rows of ``df``; NULL when the maximum is 0."""
     largest = df.agg(F.max(F.col(x).cast("double"))).scalar()
-    return df.withColumn(out, F.try_divide(F.col(x).cast("double"), largest))
+    return F.try_divide(F.col(x).cast("double"), largest)
 
 
 def band_probability(df: DataFrame, x: str = "x", low: float = 0.2, high: float = 0.8) -> DataFrame:
     """Share of the values whose quotient by the maximum lies in ``[low, high]``; NULL for no values."""
     values = df.select(x).where(F.col(x).isNotNull())
-    return normalize_by_max(values, x, "z").agg(band_share("z", low, high).alias("probability"))
+    return values.agg(band_share(normalized(values, x), low, high).alias("probability"))
 
 
-def band_share(z: str, low: float = 0.2, high: float = 0.8) -> Column:
+def band_share(z: str | Column, low: float = 0.2, high: float = 0.8) -> Column:
     """Aggregate: share of the rows with ``z`` in ``[low, high]``; a NULL is outside."""
-    return F.avg(F.when(F.col(z).between(low, high), 1.0).otherwise(0.0))
+    z = F.col(z) if isinstance(z, str) else z
+    return F.avg(F.when(z.between(low, high), 1.0).otherwise(0.0))

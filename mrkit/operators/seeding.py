@@ -14,20 +14,23 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mrkit.operators.centers import Centers
-from mrkit.session import checkpoint
+from mrkit.operators.centers import Centers, checked_weight
+from mrkit.session import Generations, checkpoint
 
 # Rows of one group that a task puts in order, and ranges that ids are cut into before that.
 PICK_ROWS = 50_000
 PICK_RANGES = 4096
 
+# Groups whose ranges and picks, some 50 bytes each, are broadcast.
+BROADCAST_ROWS = 100_000
+
 # Centres whose distances a seeding round computes anew before distances are written down.
 SEEDING_BLOCK = 16
 
 
 def weighted_pick(
     points: DataFrame,
-    u: float | Mapping[int, float],
+    u: float | Mapping[int, float] | DataFrame,
     mass: str | Column = "mass",
     by: str | None = None,
     extents: Mapping[int, tuple[int, int, int]] | None = None,
@@ -35,30 +38,28 @@ def weighted_pick(
 ) -> DataFrame:
     """The picked row of ``points(id, ...)``, or one per group when ``by`` is given and ``u`` maps groups to draws.
 
-    Rows without mass are never picked, and a group without mass yields no row. If rounding keeps the running share
-    below ``u``, the last row with mass is taken. ``extents`` gives rows, smallest and largest id of each group, where
-    these are known.
+    Rows without mass are never picked, and a group without mass yields no row. NULL, NaN, infinite and negative
+    masses fail. If rounding keeps the running share below ``u``, the last row with mass is taken. ``extents`` gives
+    rows, smallest and largest id of each group, where these are known. For very many groups ``u`` may be a table
+    ``(by, u)``; then nothing per group reaches the driver. Only ids and masses are sorted; the rows are fetched then.
     """
+    group = (F.col(by) if by else F.lit(0)).cast("long")
     mass = F.col(mass) if isinstance(mass, str) else mass
+    rows = points.select(
+        group.alias("pick_group"),
+        F.col("id").cast("long").alias("pick_id"),
+        checked_weight(mass, "masses").alias("pick_mass"),
+    )
+    if isinstance(u, DataFrame):
+        picked = _pick_distributed(rows, u.select(F.col(by).cast("long").alias("pick_group"), "u"), pick_rows)
+        return _rows_of(points, group, picked)
     draws = u if isinstance(u, Mapping) else {0: u}
-    rows = points.withColumn("pick_group", F.col(by).cast("long") if by else F.lit(0).cast("long"))
     if extents is None:
         extents = group_extents(points, by)
     ranges = {g: (lo, hi, 0.0, None, n) for g, (n, lo, hi) in extents.items() if g in draws}
-
     while ranges and max(n for *_, n in ranges.values()) > pick_rows:
-        width = max(hi - lo for lo, hi, *_ in ranges.values())
-        if width == 0:
-            raise ValueError("ids are not unique")
-        shift = max(0, width.bit_length() - PICK_RANGES.bit_length() + 1)
-        key = F.shiftright(F.col("id").cast("long"), shift).alias("pick_key")
-        totals = (
-            _within(rows, ranges, draws)
-            .withColumn("pick_mass", mass)
-            .groupBy("pick_group", "pick_u", "pick_before", "pick_total", key)
-            .agg(F.sum("pick_mass").alias("pick_mass"), F.count("*").alias("n"))
-        )
-        chosen = _first_reaching(totals, "n").collect()
+        shift = _shift(max(hi - lo for lo, hi, *_ in ranges.values()))
+        chosen = _first_reaching(_totals(_within(rows, ranges, draws), shift), "n").collect()
         ranges = {
             row.pick_group: (
                 max(ranges[row.pick_group][0], row.pick_key << shift),
@@ -69,13 +70,50 @@ def weighted_pick(
             )
             for row in chosen
         }
-
-    found = _within(rows, ranges, draws).withColumn("pick_mass", mass).select(
-        *("pick_group", "pick_u", "pick_before", "pick_total", "pick_mass"),
-        F.col("id").alias("pick_key"),
-        F.struct(*points.columns).alias("row"),
-    )
-    return _first_reaching(found, "row").select("row.*")
+    found = _first_reaching(_within(rows, ranges, draws).withColumnRenamed("pick_id", "pick_key"), "pick_mass")
+    picks = [(row.pick_group, row.pick_key) for row in found.collect()]
+    if len(picks) == 1:
+        return points.where((group == picks[0][0]) & (F.col("id") == picks[0][1]))
+    picked = points.sparkSession.createDataFrame(picks, "pick_group long, pick_key long")
+    return _rows_of(points, group, F.broadcast(picked) if len(picks) <= BROADCAST_ROWS else picked)
+
+
+def _rows_of(points: DataFrame, group: Column, picked: DataFrame) -> DataFrame:
+    return points.join(picked, (group == F.col("pick_group")) & (F.col("id") == F.col("pick_key")), "left_semi")
+
+
+def _pick_distributed(rows: DataFrame, draws: DataFrame, pick_rows: int) -> DataFrame:
+    """``(pick_group, pick_key)``; the ranges of the groups are a table."""
+    extent = [F.count("*").alias("n"), F.min("pick_id").alias("pick_lo"), F.max("pick_id").alias("pick_hi")]
+    ranges = rows.groupBy("pick_group").agg(*extent).join(draws.withColumnRenamed("u", "pick_u"), "pick_group")
+    ranges = ranges.withColumns({"pick_before": F.lit(0.0), "pick_total": F.lit(None).cast("double")})
+    with Generations(rows.sparkSession) as state:
+        ranges = state.keep(ranges)
+        while True:
+            most, width = ranges.agg(F.max("n"), F.max(F.col("pick_hi") - F.col("pick_lo"))).first()
+            inside = rows.join(ranges.drop("n"), "pick_group").where(F.col("pick_id").between(F.col("pick_lo"), F.col("pick_hi")))
+            if most is None or most <= pick_rows:
+                inside = inside.drop("pick_lo", "pick_hi").withColumnRenamed("pick_id", "pick_key")
+                return checkpoint(_first_reaching(inside, "pick_mass").select("pick_group", "pick_key"))
+            shift = _shift(width)
+            chosen = _first_reaching(_totals(inside.drop("pick_lo", "pick_hi"), shift), "n")
+            chosen = chosen.join(ranges.select("pick_group", "pick_u", "pick_lo", "pick_hi"), "pick_group")
+            start = F.shiftleft("pick_key", shift)
+            ends = {"pick_lo": F.greatest("pick_lo", start), "pick_hi": F.least("pick_hi", start + ((1 << shift) - 1))}
+            ranges = state.keep(chosen.withColumns(ends).drop("pick_key"))
+
+
+def _shift(width: int) -> int:
+    """How many low bits of an id a range spans, so that there are at most ``PICK_RANGES`` of them."""
+    if width == 0:
+        raise ValueError("ids are not unique")
+    return max(0, width.bit_length() - PICK_RANGES.bit_length() + 1)
+
+
+def _totals(inside: DataFrame, shift: int) -> DataFrame:
+    key = F.shiftright("pick_id", shift).alias("pick_key")
+    grouped = inside.groupBy("pick_group", "pick_u", "pick_before", "pick_total", key)
+    return grouped.agg(F.sum("pick_mass").alias("pick_mass"), F.count("*").alias("n"))
 
 
 def group_extents(points: DataFrame, by: str | None = None) -> dict[int, tuple[int, int, int]]:
@@ -88,17 +126,17 @@ def group_extents(points: DataFrame, by: str | None = None) -> dict[int, tuple[i
 
 def _within(rows: DataFrame, ranges: Mapping[int, tuple], draws: Mapping[int, float]) -> DataFrame:
     """The rows inside the id range of their group, with the draw, the mass before the range and the total mass."""
-    spark = rows.sparkSession
     data = [(g, lo, hi, before, total, float(draws[g])) for g, (lo, hi, before, total, _) in ranges.items()]
     if len(data) == 1:
         g, lo, hi, before, total, u = data[0]
-        inside = (F.col("pick_group") == g) & F.col("id").between(lo, hi)
+        inside = (F.col("pick_group") == g) & F.col("pick_id").between(lo, hi)
         constants = {"pick_before": F.lit(before), "pick_total": F.lit(total).cast("double"), "pick_u": F.lit(u)}
         return rows.where(inside).withColumns(constants)
     schema = "pick_group long, pick_lo long, pick_hi long, pick_before double, pick_total double, pick_u double"
-    bounds = spark.createDataFrame(data, schema)
-    inside = F.col("id").between(F.col("pick_lo"), F.col("pick_hi"))
-    return rows.join(F.broadcast(bounds), "pick_group").where(inside).drop("pick_lo", "pick_hi")
+    bounds = rows.sparkSession.createDataFrame(data, schema)
+    bounds = F.broadcast(bounds) if len(data) <= BROADCAST_ROWS else bounds
+    inside = F.col("pick_id").between(F.col("pick_lo"), F.col("pick_hi"))
+    return rows.join(bounds, "pick_group").where(inside).drop("pick_lo", "pick_hi")
 
 
 def _first_reaching(rows: DataFrame, keep: str) -> DataFrame:
@@ -138,6 +176,11 @@ def weighted_seeding(
     extents = group_extents(points, by) if extents is None else extents
     group = F.col(by) if by else None
     state = points.withColumn("known", F.lit(None).cast("double"))
+    with Generations(points.sparkSession) as generations:
+        return _seeds(state, draws, by, group, extents, pick_rows, block, generations)
+
+
+def _seeds(state, draws, by, group, extents, pick_rows, block, generations) -> Centers:
     chosen: dict[int, dict[int, np.ndarray]] = {}
     recent: dict[int, dict[int, np.ndarray]] = {}
     active = set(extents)
@@ -146,9 +189,9 @@ def weighted_seeding(
         fresh = Centers.build(recent).nearest(F.col("v"), group)["d"] if recent else F.lit(None).cast("double")
         d = F.least("known", fresh)
         if len(recent) and i % block == 0:
-            state = checkpoint(state.withColumn("known", d))
+            state = generations.keep(state.withColumn("known", d))
             d, recent = F.col("known"), {}
-        mass = F.lit(1.0) if i == 0 else F.col("w") * d
+        mass = F.lit(1.0) if i == 0 else checked_weight("w") * d
         turn = {g: draws[g][i] for g in active if i < len(draws[g])}
         picked = weighted_pick(state, turn, mass, by, extents, pick_rows)
         active = set()

@@ -14,6 +14,7 @@ from mrkit.functions import split_words
 
 def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, pos, word)``, one row per word of each document."""
+    _check_names(doc_id, "pos", "word")
     return docs.select(doc_id, F.posexplode(split_words(text)).alias("pos", "word"))
 
 
@@ -23,17 +24,19 @@ def doc_term_freq(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     All words of a document sit in one row, so they are counted there: the sorted words are cut where a new word
     starts, and a count is the distance to the next start.
     """
-    words = docs.select(doc_id, F.sort_array(split_words(text)).alias("words"))
-    starts = F.filter(
-        F.transform("words", lambda word, i: i), lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1))
+    _check_names(doc_id, "word", "n")
+    words, starts, key = "the words", "the starts", "the document"
+    sorted_words = docs.select(F.col(doc_id).alias(key), F.sort_array(split_words(text)).alias(words))
+    begins = F.filter(
+        F.transform(F.col(words), lambda word, i: i), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1))
     )
-    runs = words.select(doc_id, "words", starts.alias("starts"))
-    ends = lambda i: F.coalesce(F.get("starts", i + 1), F.size("words"))
+    runs = sorted_words.select(key, words, begins.alias(starts))
+    ends = lambda i: F.coalesce(F.get(starts, i + 1), F.size(words))
     counts = F.transform(
-        "starts",
-        lambda start, i: F.struct(F.get("words", start).alias("word"), (ends(i) - start).cast("long").alias("n")),
+        F.col(starts),
+        lambda start, i: F.struct(F.get(words, start).alias("word"), (ends(i) - start).cast("long").alias("n")),
     )
-    return runs.select(doc_id, F.inline(counts))
+    return runs.select(F.col(key).alias(doc_id), F.inline(counts))
 
 
 def word_count(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -49,8 +52,9 @@ def word_count_salted(
     The key is a seeded hash of the word's place, so a task that is run again draws the same keys.
     """
     _check_parts(k)
-    salt = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col("pos")), F.lit(k))
-    return _count_in_two_rounds(tokenize(docs, doc_id, text).select(salt.alias("key"), "word"))
+    salt = F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.col("pos")), F.lit(k))
+    placed = docs.select(F.col(doc_id).alias("id"), F.posexplode(split_words(text)).alias("pos", "word"))
+    return _count_in_two_rounds(placed.select(salt.alias("key"), "word"))
 
 
 def word_count_by_partition(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -79,6 +83,11 @@ def _count_in_two_rounds(words: DataFrame) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _check_names(doc_id: str, *made: str) -> None:
+    if doc_id.lower() in made:
+        raise ValueError(f"the id of a document cannot be called {doc_id}, as the result has a column of that name")
+
+
 def _check_parts(k: int) -> None:
     if k < 1:
         raise ValueError(f"the number of parts must be at least 1, not {k}")

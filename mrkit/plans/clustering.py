@@ -1,7 +1,8 @@
 """Weighted k-centre clustering of one or many groups of points.
 
-Groups small enough for one task are clustered there, all of them in a single pass over the data. Larger groups are
-clustered by Spark jobs over the whole cluster, one pass per centre and iteration. Both ways give the same centres.
+Groups given by a column that are small enough for one task are clustered there, all of them in a single pass over the
+data. Larger groups, and points without groups whatever their number, are clustered by Spark jobs over the whole
+cluster, one pass per centre and iteration. Both ways check weights alike and give the same centres.
 """
 
 from __future__ import annotations
@@ -9,14 +10,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mrkit.operators import tasks
-from mrkit.operators.centers import Centers, move_centers
-from mrkit.operators.seeding import PICK_ROWS, weighted_seeding
+from mrkit.operators.centers import Centers, checked_weight
+from mrkit.operators.seeding import BROADCAST_ROWS, PICK_ROWS, weighted_seeding
 from mrkit.session import checkpoint
 
 # Coordinates of a group that one task may hold, and values of centres that the driver may hold.
@@ -51,25 +53,29 @@ def weighted_kcenters(
     Seeding as in ``weighted_seeding``, then exactly ``iters`` Lloyd steps: every centre moves to the weighted mean of
     its points, or stays if it has none. Ids must be unique. With ``by``, an integer column, every group is clustered
     by itself and the result carries that column. ``draws`` fixes the ``k`` random numbers of every group; without it
-    they follow from ``seed`` and the group. Fewer distinct points than ``k`` give fewer centres.
+    they follow from ``seed`` and the group. Fewer distinct points than ``k`` give fewer centres. Weights that are
+    NULL, NaN, infinite or negative fail.
     """
     check_parameters(k, iters, draws)
-    weight = F.col("w").cast("double") if "w" in points.columns else F.lit(1.0)
+    weight = checked_weight("w") if "w" in points.columns else F.lit(1.0)
     group = (F.col(by) if by else F.lit(0)).cast("int")
     points = points.select(group.alias("g"), "id", "v", weight.alias("w"))
     dims = dimensions(points)
     extents = points.groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     limit = max(1, task_values // dims)
     groups, rows, largest = extents.agg(F.count("*"), F.sum("n"), F.max("n")).first()
-    if largest <= limit:
+    if by is None:
+        large = {row.g: (row.n, row.lo, row.hi) for row in extents.collect()}
+        result = _cluster_in_jobs(points, large, k, iters, seed, draws, dims, pick_rows)
+    elif largest <= limit:
         result = cluster_in_tasks(points, k, iters, seed, draws, groups, rows, dims)
     else:
         large = {row.g: (row.n, row.lo, row.hi) for row in extents.where(F.col("n") > limit).collect()}
         result = _cluster_in_jobs(points, large, k, iters, seed, draws, dims, pick_rows)
         if sum(n for n, *_ in large.values()) < rows:
-            # There are at most rows * dims / task_values large groups, a few bytes each.
             names = points.sparkSession.createDataFrame([(g,) for g in large], "g int")
-            small = points.join(F.broadcast(names), "g", "left_anti")
+            names = F.broadcast(names) if len(large) <= BROADCAST_ROWS else names
+            small = points.join(names, "g", "left_anti")
             result = result.unionByName(cluster_in_tasks(small, k, iters, seed, draws, groups, rows, dims))
     return result.withColumnRenamed("g", by) if by else result.drop("g")
 
@@ -130,7 +136,9 @@ def _cluster_in_jobs(
     pick_rows: int,
 ) -> DataFrame:
     """``(g, cid, c, w)`` of the ``large`` groups, as many at once as the driver can hold centres of."""
-    names, at_once = sorted(large), max(1, DRIVER_VALUES // (k * dims))
+    if k * dims > DRIVER_VALUES:
+        raise ValueError(f"{k} centres of {dims} coordinates are more than the {DRIVER_VALUES} values that a driver may hold")
+    names, at_once = sorted(large), DRIVER_VALUES // (k * dims)
     results = []
     for start in range(0, len(names), at_once):
         extents = {g: large[g] for g in names[start : start + at_once]}
@@ -139,17 +147,13 @@ def _cluster_in_jobs(
         try:
             centers = weighted_seeding(chunk, group_draws, "g", extents, pick_rows)
             for _ in range(iters):
-                moved = Centers.fetch(move_centers(_assigned(chunk, centers), ["g", "cid"]), "g")
-                centers = Centers.build({g: {**old, **moved.get(g, {})} for g, old in centers.members().items()})
-            weights = _assigned(chunk, centers).groupBy("g", "cid").agg(F.sum("w").alias("w")).collect()
+                moved = {(row.g, row.cid): np.array(row.sums) / row.w for row in centers.sums(chunk).collect()}
+                members = centers.members().items()
+                centers = Centers.build({g: {i: moved.get((g, i), c) for i, c in old.items()} for g, old in members})
+            weights = centers.sums(chunk).select("g", "cid", "w").collect()
         finally:
             chunk.unpersist()
         weights = {(row.g, row.cid): row.w for row in weights}
         result = centers.to_dataframe(points.sparkSession, weights)
         results.append(checkpoint(result) if len(names) > at_once else result)
     return reduce(DataFrame.unionByName, results)
-
-
-def _assigned(points: DataFrame, centers: Centers) -> DataFrame:
-    near = centers.nearest(F.col("v"), F.col("g"))
-    return points.withColumn("near", near).select("g", F.col("near.cid").alias("cid"), "v", "w")

@@ -10,8 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mrkit.operators.centers import kmedian_objective
-from mrkit.plans.clustering import TASK_VALUES, check_parameters, cluster_in_tasks, dimensions, weighted_kcenters
-from mrkit.session import checkpoint
+from mrkit.plans.clustering import (
+    DRIVER_VALUES,
+    TASK_VALUES,
+    check_parameters,
+    cluster_in_tasks,
+    dimensions,
+    weighted_kcenters,
+)
+from mrkit.session import Generations, checkpoint
+
+# Parts whose centres are united to one part of the next level.
+FAN_IN = 256
 
 
 class KMedian(NamedTuple):
@@ -54,14 +64,18 @@ def mr_kmedian(
     draws: Sequence[float] | None = None,
     part: Column | None = None,
     task_values: int = TASK_VALUES,
+    fan_in: int = FAN_IN,
 ) -> KMedian:
     """``k`` centres of ``points(id, v)`` and the mean distance of the points to the nearest of them.
 
     Points fall into ``parts`` parts by a hash of the id, or as the expression ``part`` with values in ``[0, parts)``
     says. With ``parts=None`` there are as many as it takes to cluster each part in one task; fewer and larger parts
-    cost more passes over the points, more parts a larger coreset.
+    cost more passes over the points, more parts a larger coreset. More than ``fan_in`` parts are reduced in a tree:
+    the centres of ``fan_in`` parts, with their weights, become one part of the next level. That holds for any size.
     """
     check_parameters(k, iters, draws)
+    if fan_in < 2:
+        raise ValueError(f"fan_in must be at least 2, not {fan_in}")
     dims = dimensions(points)
     if parts is None:
         # Hashing spreads ids evenly; half full on average leaves no part too large.
@@ -73,12 +87,28 @@ def mr_kmedian(
         part = F.when(part.between(0, parts - 1), part.cast("int")).otherwise(outside)
         parted = points.select("id", "v", part.alias("part"))
     coreset = partition_coreset(parted, k, iters, seed, draws, task_values)
-    ids = F.col("part").cast("long") * k + F.col("cid")
-    reduced = coreset.select(F.lit(0).alias("g"), ids.alias("id"), "v", "w")
-    if parts * k * dims <= task_values:
-        centers = cluster_in_tasks(reduced, k, iters, seed + 1, draws, 1, parts * k, dims).drop("g")
-    else:
-        centers = weighted_kcenters(checkpoint(reduced), k, iters, None, seed + 1, draws, task_values)
-    centers = points.sparkSession.createDataFrame(centers.toArrow())
+    with Generations(points.sparkSession) as levels:
+        coreset, parts = _reduced(coreset, parts, k, iters, seed, draws, task_values, fan_in, levels)
+        reduced = _as_points(coreset, k).select(F.lit(0).alias("g"), "id", "v", "w")
+        if parts * k * dims <= task_values:
+            centers = cluster_in_tasks(reduced, k, iters, seed + 1, draws, 1, parts * k, dims).drop("g")
+        else:
+            centers = weighted_kcenters(levels.keep(reduced), k, iters, None, seed + 1, draws, task_values)
+        held = k * dims <= DRIVER_VALUES
+        centers = points.sparkSession.createDataFrame(centers.toArrow()) if held else checkpoint(centers)
     return KMedian(centers, kmedian_objective(points, centers))
 
+
+def _as_points(coreset: DataFrame, k: int) -> DataFrame:
+    return coreset.withColumn("id", F.col("part").cast("long") * k + F.col("cid")).select("part", "id", "v", "w")
+
+
+def _reduced(coreset, parts, k, iters, seed, draws, task_values, fan_in, levels) -> tuple[DataFrame, int]:
+    """The coreset of at most ``fan_in`` parts and their number; each level replaces the files of the one before."""
+    level = 1
+    while parts > fan_in:
+        part = F.floor(F.col("part") / fan_in).cast("int")
+        united = levels.keep(_as_points(coreset, k).withColumn("part", part))
+        parts, level = -(-parts // fan_in), level + 1
+        coreset = partition_coreset(united, k, iters, seed + level, draws, task_values)
+    return coreset, parts

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mrkit.operators.numbers import band_share, normalize_by_max
+from mrkit.operators.numbers import band_share, normalized
 from mrkit.operators.words import word_count
 
 
 def number_report(df: DataFrame, x: str = "x") -> DataFrame:
     """``(n, max_value, probability)``: count, maximum and share of values within 20% to 80% of the maximum."""
-    values = normalize_by_max(df.select(x).where(F.col(x).isNotNull()), x, "z")
-    return values.agg(F.count("*").alias("n"), F.max(x).alias("max_value"), band_share("z").alias("probability"))
+    value = F.col(x)
+    quotient = normalized(df, x)
+    probability = band_share(quotient).alias("probability")
+    return df.where(value.isNotNull()).agg(F.count("*").alias("n"), F.max(value).alias("max_value"), probability)
 
 
 def word_report(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mrkit.functions import parse_vector
@@ -12,23 +12,35 @@ NUMBER_SEPARATOR = r"\p{javaWhitespace}+"
 
 
 def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One line is one document: ``(doc_id long, text string)``.
-
-    The id is the position of a line in the partitioned scan. It is unique and, for unchanged files and split
-    settings, stable; it is not a line number.
-    """
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))
+    """One line is one document: ``(doc_id long, text string)``; the id is as ``numbered_lines`` says."""
+    return numbered_lines(spark, path).withColumnsRenamed({"line_id": "doc_id", "value": "text"})
 
 
 def read_vectors(spark: SparkSession, path: str | list[str], mode: str = "failfast") -> DataFrame:
     """One line is one vector with coordinates separated by single spaces: ``(id long, v array<double>)``.
 
     ``failfast`` fails on a token that is no number (two spaces in a row make an empty one); ``permissive`` gives a
-    NULL vector for such a line.
+    NULL vector for such a line. The id is as ``numbered_lines`` says.
+    """
+    return numbered_lines(spark, path).select(F.col("line_id").alias("id"), parse_vector("value", mode).alias("v"))
+
+
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(line_id long, value string)``: lines counted from 0 through all files, in the order of the files' paths.
+
+    The number depends on the files alone, not on cores or split sizes, so several passes over a plan agree. A line's
+    place in its file split is known where it is read; how many lines come before the split takes a count of the
+    files, so they are scanned twice. What is shipped for that is one row per split.
     """
-    return spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("id"), parse_vector("value", mode).alias("v")
+    place = F.monotonically_increasing_id().alias("place")
+    split = ["file", "block"]
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), place
     )
+    counted = lines.groupBy(*split).agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select(*split, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(F.broadcast(starts), split).select((F.col("place") + F.col("shift")).alias("line_id"), "value")
 
 
 def read_numbers(spark: SparkSession, path: str | list[str]) -> DataFrame:
