@@ -61,7 +61,7 @@ KINDS = {
 }
 PATTERN = "|".join(KINDS.values())
 # No entity without one of these.
-HINT = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|AKIA|ASIA|sk-|gh[po]_|xoxb-|[a-f]{{32}}|[A-F]{{32}}|(?:{_TITLE})\.? \p{{Lu}}"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

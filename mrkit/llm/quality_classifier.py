@@ -99,7 +99,9 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, e
         weights = train(rows, epochs)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()])], ["weights"])
 
-    return np.frombuffer(rows.repartition(1).mapInArrow(learn, "weights binary").first().weights)
+    learnt = rows.repartition(1).mapInArrow(learn, "weights binary").first()
+    # An empty relation has no task.
+    return np.frombuffer(learnt.weights) if learnt else train([])
 
 
 def score(text: str | Column, weights: np.ndarray) -> Column:
