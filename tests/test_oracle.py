@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as spark_entry
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES, ORACLES = spark_entry.queries(), spark_entry.oracle_sql()
+QUERIES, ORACLES = spark_entry._own_queries(), spark_entry._own_oracle_sql()
 
 
 @pytest.fixture(scope="session")
