@@ -32,6 +32,9 @@ FALSE_REJECTION = 0.04
 ERROR = 0.05
 LADDER = 48
 
+# Cutoffs, some 50 bytes each, that are broadcast; with more, rows and cutoffs are joined by shuffling.
+BROADCAST_CUTOFFS = 20_000
+
 MIN_WORDS = 50
 
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -165,10 +168,12 @@ def learn_cutoffs(
 
 
 def _with_cutoffs(rows: DataFrame, stratum: Column, cutoffs: DataFrame, out: str) -> DataFrame:
-    """Adds the map from rule to cutoff of the row's stratum; one row per stratum, so Spark can see if it is small."""
+    """Adds the map from rule to cutoff of the row's stratum, without a shuffle of the rows if there are few cutoffs."""
     name = free_name(rows, "stratum")
     entries = F.map_from_entries(F.collect_list(F.struct("rule", "cutoff")))
     by_stratum = cutoffs.groupBy(F.col("stratum").alias(name)).agg(entries.alias(out))
+    if cutoffs.count() <= BROADCAST_CUTOFFS:
+        by_stratum = F.broadcast(by_stratum)
     rows = rows.withColumn(name + "_row", stratum)
     return rows.join(by_stratum, F.col(name + "_row").eqNullSafe(F.col(name)), "left").drop(name, name + "_row")
 
