@@ -278,8 +278,11 @@ def train(pages: DataFrame | None, train_pages: int = TRAIN_PAGES) -> Model:
     """Potentials from the module's labelled pages and at most ``train_pages`` of ``pages(page_id, html)``."""
     sample = []
     if pages is not None:
-        rows = pages.where(F.col("html").isNotNull()).orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages)
-        sample = [self_labelled(row.html) for row in rows.select("html").collect()]
+        # Ids first, so that a task answers with numbers and not with as many pages.
+        rows = pages.where(F.col("html").isNotNull() & F.col("page_id").isNotNull())
+        chosen = rows.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages).collect()
+        rows = rows.where(F.col("page_id").isin([row.page_id for row in chosen])).select("html").limit(train_pages)
+        sample = [self_labelled(row.html) for row in rows.collect()]
     return Model([labelled(page) for page in LABELLED], sample)
 
 
