@@ -1,7 +1,7 @@
 """A training corpus from raw documents: stages that each keep, change or pack what the stage before has kept.
 
-A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame. All but the last return the columns of ``docs``. ``n_chars`` follows the
-text where a stage changes it. Rows without an id stay unless the quality rules reject them.
+A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame. All but the last return the columns of ``docs``.
+``n_chars`` follows the text where a stage changes it. Rows without an id stay unless the quality rules reject them.
 """
 
 from __future__ import annotations

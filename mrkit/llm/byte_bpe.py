@@ -1,14 +1,15 @@
 """Byte-level BPE by recursive DuckDB queries inside each task.
 
 A task splits its texts by the pattern and encodes every distinct piece once. Pieces are rows ``(word, pos, token)``
-that start as bytes. A recursive query joins neighbours with the merge table and contracts, per round, each word's leftmost pair of lowest
-rank, until no word has such a pair; words that are finished leave the recursion. Ids are decoded by joining
-them with the vocabulary and putting the tokens together in an ordered aggregation.
+that start as bytes. A recursive query joins neighbours with the merge table and contracts, per round, each word's
+leftmost pair of lowest rank, until no word has such a pair; words that are finished leave the recursion. Ids are
+decoded by joining them with the vocabulary and putting the tokens together in an ordered aggregation.
 
 Pieces of more than ``LONG`` bytes would need as many rounds as they have bytes, and the whole batch with them. They
 take the same steps with a heap of pairs instead, which gives the same ids. No shuffle; each worker remembers pieces.
 
-Defined results: a NULL or empty text has no tokens. Repeated rows are encoded each by itself. Extra columns are ignored.
+Defined results: a NULL or empty text has no tokens. Repeated rows are encoded each by itself. Extra columns are
+ignored.
 """
 
 from __future__ import annotations

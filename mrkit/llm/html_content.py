@@ -1,16 +1,17 @@
 """Main text of web pages, by a tree-structured graphical model over the nodes of a page.
 
 Every block element and every run of text in one is a node that is content or not. Node potentials come from tag,
-class and id words, length, share of links and the like; parent-child potentials from how often a child of content is content. Messages
-pass upward and downward once (sum-product), which gives exact marginals on a tree; runs of text with a marginal above one
-half are the article, one line each.
+class and id words, length, share of links and the like; parent-child potentials from how often a child of content is
+content. Messages pass upward and downward once (sum-product), which gives exact marginals on a tree; runs of text
+with a marginal above one half are the article, one line each.
 
-Potentials are relative frequencies in labelled pages: a few that come with this module and name the usual parts of a page, and
-a bounded sample of the pages at hand that mark their article themselves (``article`` or ``main``). Their counts are all
-that reaches the workers. Pages are extracted row by row, without a shuffle.
+Potentials are relative frequencies in labelled pages: a few that come with this module and name the usual parts of a
+page, and a bounded sample of the pages at hand that mark their article themselves (``article`` or ``main``). Their
+counts are all that reaches the workers. Pages are extracted row by row, without a shuffle.
 
-Defined results: a NULL or empty page, or one without content, gives an empty text. Broken markup is read as browsers do in the
-main: missing end tags are implied, unknown ones skipped. ``br`` is white space in its block. Repeated rows are extracted each by itself. Extra columns are ignored.
+Defined results: a NULL or empty page, or one without content, gives an empty text. Broken markup is read as browsers
+do in the main: missing end tags are implied, unknown ones skipped. ``br`` is white space in its block. Repeated rows
+are extracted each by itself. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,22 +1,24 @@
 """Scores of texts under a bigram model that is kept as sharded Elias-Fano tries.
 
 The model backs off to single tokens by a Dirichlet prior: ``p(w | v) = (c(v w) + MASS * p(w)) / (c(v) + MASS)`` with
-``p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))``. The numerator only needs what is known of ``w``, the denominator only what is known of
-``v``. So every occurrence of a token, with the token in front of it, goes to the shard of that token, once: there it is
-counted if its document trains, and there it is scored. One shuffle serves both; its volume and the tries grow with the corpus, and
-nothing but three totals and a bounded list of very frequent tokens reaches the driver.
+``p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))``. The numerator only needs what is known of ``w``, the denominator only
+what is known of ``v``. So every occurrence of a token, with the token in front of it, goes to the shard of that
+token, once: there it is counted if its document trains, and there it is scored. One shuffle serves both; its volume
+and the tries grow with the corpus, and nothing but three totals and a bounded list of very frequent tokens reaches
+the driver.
 
 A shard keeps three levels: tokens, the tokens in front of them, and pairs of the two as numbers relative to the token
-(Elias-Fano sequences in memory maps, with monotone pointers from the token to its pairs). Logarithms of smoothed counts are quantised to
-eight bits per level. Pairs are found by successor search within the token's range.
+(Elias-Fano sequences in memory maps, with monotone pointers from the token to its pairs). Logarithms of smoothed
+counts are quantised to eight bits per level. Pairs are found by successor search within the token's range.
 
 A frequent token would overload a shard. The ``HEAVY`` most frequent ones are counted beforehand and, if they exceed a
 share of a shard, spread over shards by the token in front, which keeps the counts of pairs whole.
 
-Tokens are words in lower case (A-Z only) and one end token per text, and stand as 64-bit hashes, those in front as 48 of the bits.
+Tokens are words in lower case (A-Z only) and one end token per text, and stand as 64-bit hashes, those in front as 48
+of the bits.
 
-Defined results: a NULL or empty text is the end token alone. Repeated rows count and are scored each by itself; a NULL
-``doc_id`` hashes as an empty text. Extra columns are ignored. Without training text all counts are 0.
+Defined results: a NULL or empty text is the end token alone. Repeated rows count and are scored each by itself; a
+NULL ``doc_id`` hashes as an empty text. Extra columns are ignored. Without training text all counts are 0.
 """
 
 from __future__ import annotations

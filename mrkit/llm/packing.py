@@ -1,16 +1,17 @@
 """Packing of tokenised documents into sequences of bounded length, by minimum bin slack.
 
 Documents are tokenised word by word (words between ASCII white space do not influence each other in this tokenizer)
-and cut into full sequences and a remainder. Remainders are packed by minimum bin slack: the longest one opens a sequence, and a
-subset-sum over the multiset of the other lengths, kept as the bits of an integer, finds the filling that leaves the
-least slack; walking the bits back gives the counts per length. Where slack is left although tokens remain, the longest
-remainder is cut to fill it. What is left in the end is cut into powers of two, which need no padding.
+and cut into full sequences and a remainder. Remainders are packed by minimum bin slack: the longest one opens a
+sequence, and a subset-sum over the multiset of the other lengths, kept as the bits of an integer, finds the filling
+that leaves the least slack; walking the bits back gives the counts per length. Where slack is left although tokens
+remain, the longest remainder is cut to fill it. What is left in the end is cut into powers of two, which need no
+padding.
 
-Every task packs what it scans, a bounded number of tokens at a time, so there is no shuffle and no group. A task that is run again gets
-the same rows and numbers its sequences alike.
+Every task packs what it scans, a bounded number of tokens at a time, so there is no shuffle and no group. A task that
+is run again gets the same rows and numbers its sequences alike.
 
-Defined results: a NULL or empty text has only the end token. Repeated rows are packed each by itself, also with a NULL
-as ``doc_id``. Extra columns are ignored. No documents give no rows.
+Defined results: a NULL or empty text has only the end token. Repeated rows are packed each by itself, also with a
+NULL as ``doc_id``. Extra columns are ignored. No documents give no rows.
 """
 
 from __future__ import annotations

@@ -1,21 +1,24 @@
 """Personal data and secrets replaced by keyed surrogates, in DataFrame functions alone.
 
-One pattern finds e-mail addresses, telephone numbers, card and account numbers, social security numbers, IPv4 addresses, secrets
-and names behind a title. Each is replaced by one of its own type and layout: digits by digits, letters by letters of
-the same script and case, vowels of names by vowels. Well-known first names become others of the same gender and script.
-The check digit of a card stays right or wrong as it was; calling codes, country codes and titles stay; addresses end in a
-reserved domain.
-
-The surrogate is a keyed permutation of the contents: the two halves of the characters are numbers, and each is shifted in turn by a
-digest of the key and the other. So one entity has one surrogate wherever it occurs, however it is punctuated
-(coreference), and different ones of one type and layout have different surrogates, without a table of entities.
-Contents of more than ``2 * HALF`` characters take characters of a digest. ``collisions`` checks distinctness over a
-corpus; ``replace_private`` does so first and takes the next salt of the key if any two entities would meet.
-
-A corpus is read twice, rows stay where they are, and only entities that collide would ever reach the driver, as a count.
-
-Defined results: a NULL text stays NULL and has no entities, an empty one stays empty. Repeated rows are treated alike. Rows without
-an id are treated as any other. All columns of the documents stay as they are, but for ``text``; helper columns get names that are free.
+One pattern finds e-mail addresses, telephone numbers, card and account numbers, social security numbers, IPv4
+addresses, secrets and names behind a title. Each is replaced by one of its own type and layout: digits by digits,
+letters by letters of the same script and case, vowels of names by vowels. Well-known first names become others of the
+same gender and script. The check digit of a card stays right or wrong as it was; calling codes, country codes and
+titles stay; addresses end in a reserved domain.
+
+The surrogate is a keyed permutation of the contents: the two halves of the characters are numbers, and each is
+shifted in turn by a digest of the key and the other. So one entity has one surrogate wherever it occurs, however it
+is punctuated (coreference), and different ones of one type and layout have different surrogates, without a table of
+entities. Contents of more than ``2 * HALF`` characters take characters of a digest. ``collisions`` checks
+distinctness over a corpus; ``replace_private`` does so first and takes the next salt of the key if any two entities
+would meet.
+
+A corpus is read twice, rows stay where they are, and only entities that collide would ever reach the driver, as a
+count.
+
+Defined results: a NULL text stays NULL and has no entities, an empty one stays empty. Repeated rows are treated
+alike. Rows without an id are treated as any other. All columns of the documents stay as they are, but for ``text``;
+helper columns get names that are free.
 """
 
 from __future__ import annotations

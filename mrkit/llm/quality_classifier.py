@@ -1,9 +1,9 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader.
 
-A text is the set of its words and word pairs, hashed into ``2 ** BITS`` coordinates; runs of letters and
-digits and runs of other characters are words of their own. Labelled rows that are not held out train it, at most
-``train_rows`` of them, those with the smallest hash of their id. Their features are made where the texts are; one task then passes over
-these few rows. Scores are sparse dot products with the weights, 2 MB that travel with the function.
+A text is the set of its words and word pairs, hashed into ``2 ** BITS`` coordinates; runs of letters and digits and
+runs of other characters are words of their own. Labelled rows that are not held out train it, at most ``train_rows``
+of them, those with the smallest hash of their id. Their features are made where the texts are; one task then passes
+over these few rows. Scores are sparse dot products with the weights, 2 MB that travel with the function.
 
 Defined results: a NULL or empty text has only the coordinate of its length and gets a score like any other. Repeated
 rows are scored each by itself; of repeated labels of a document the lowest counts; NULL labels and ids train nothing.

@@ -2,15 +2,15 @@
 
 Every rule rejects documents with a statistic above a cutoff. A cutoff comes from a fixed ladder, from lenient to
 strict. For each stratum and rule the labelled good documents test, step by step, the hypothesis "this cutoff rejects
-more than the allowed share"; an exact binomial tail decides, and the first hypothesis that stands ends the walk (fixed
-sequence testing, so the steps of one ladder need no correction). Over strata and rules the error level is divided
-(Bonferroni), and so is the allowed share over the rules, as a document may fall to any of them. With probability
-``1 - error`` no stratum loses more than ``false_rejection`` of its good documents.
+more than the allowed share"; an exact binomial tail decides, and the first hypothesis that stands ends the walk
+(fixed sequence testing, so the steps of one ladder need no correction). Over strata and rules the error level is
+divided (Bonferroni), and so is the allowed share over the rules, as a document may fall to any of them. With
+probability ``1 - error`` no stratum loses more than ``false_rejection`` of its good documents.
 
 Defined results: a NULL or empty text has no words and fails the base rule. NULL as stratum is a stratum of its own.
-Strata without enough labelled good documents get no cutoff and lose nothing to the rules. Repeated rows are judged row by row;
-of repeated labels of a document the lowest counts. Labels that are NULL are not used. Extra columns are ignored by
-``quality_rules`` and passed on by ``filter_documents``.
+Strata without enough labelled good documents get no cutoff and lose nothing to the rules. Repeated rows are judged
+row by row; of repeated labels of a document the lowest counts. Labels that are NULL are not used. Extra columns are
+ignored by ``quality_rules`` and passed on by ``filter_documents``.
 """
 
 from __future__ import annotations

@@ -1,17 +1,18 @@
 """Approximate nearest neighbours by inner product, with a robust-pruned directed graph per shard.
 
-Inner product search is nearest-neighbour search after one more coordinate that gives all vectors of a shard one length. A shard's graph
-is built in batches: greedy searches over the graph so far propose neighbours, and pruning keeps, from near to far,
-those that are not much nearer to a kept one than to the point itself (the factor ``ALPHA`` relaxes this and leaves longer edges);
-edges back are pruned alike. A query runs a beam search in every shard; the shards' best are merged.
-
-Every vector is indexed. Equal vectors are one point, which carries its ``k + 1`` smallest ids: more of them can not be
-among the k nearest of any query, in the order of ties. Queries are dealt out in blocks, against all shards, and
+Inner product search is nearest-neighbour search after one more coordinate that gives all vectors of a shard one
+length. A shard's graph is built in batches: greedy searches over the graph so far propose neighbours, and pruning
+keeps, from near to far, those that are not much nearer to a kept one than to the point itself (the factor ``ALPHA``
+relaxes this and leaves longer edges); edges back are pruned alike. A query runs a beam search in every shard; the
+shards' best are merged.
+
+Every vector is indexed. Equal vectors are one point, which carries its ``k + 1`` smallest ids: more of them can not
+be among the k nearest of any query, in the order of ties. Queries are dealt out in blocks, against all shards, and
 scores are computed anew in double precision. Shards have a bounded size, so only their number grows.
 
 Defined results: vectors that are NULL, zero or hold NULL, NaN or infinity take no part, as candidate or as query.
-Repeated rows of an id count once if their vector is the same too. Rows without an id take no part. Extra columns are ignored. With fewer than
-``k`` candidates all found ones are returned.
+Repeated rows of an id count once if their vector is the same too. Rows without an id take no part. Extra columns are
+ignored. With fewer than ``k`` candidates all found ones are returned.
 """
 
 from __future__ import annotations
