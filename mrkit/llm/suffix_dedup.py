@@ -180,17 +180,16 @@ def _repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     scanned = documents.select("doc_id", "doc", _scan(F.col("text")).alias("s")).select("doc_id", "doc", "s.*")
     scanned = checkpoint(scanned)
     occurrences = scanned.select("doc", "hash", F.inline("spans"))
-    shared = occurrences.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # Written down, so that both sides of the join are plain shuffles and a hot key can be split.
+    shared = checkpoint(occurrences.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     occurrences = checkpoint(occurrences.join(shared, "key", "left_semi"))
 
     at = F.min(F.struct("doc", "hash", "lo", "hi")).alias("at")
     classes = occurrences.groupBy("key", "span", "place").agg(F.count("*").alias("n"), at)
-    per_key = classes.groupBy("key").agg(F.count("*").alias("spans"))
-    classes = classes.join(per_key, "key").select("key", "span", "place", "n", "at.*", "spans")
-    classes = checkpoint(classes)
+    classes = checkpoint(classes.select("key", "span", "place", "n", "at.*"))
+    per_key = checkpoint(classes.groupBy("key").agg(F.count("*").alias("spans")).where("spans > 1"))
     whole = classes.where("n > 1").select("key", "span", F.array(_interval(F.lit(0), F.col("hi") - F.col("lo"))).alias("marks"))
-    single = classes.where("spans > 1")
-    marks = whole.union(_marked(documents, single))
+    marks = whole.union(_marked(documents, classes.join(per_key, "key")))
     marked = occurrences.join(marks, ["key", "span"])
     absolute = F.transform("marks", lambda m: _interval(m["lo"] + F.col("lo"), m["hi"] + F.col("lo")))
     per_text = marked.select("doc", "hash", F.inline(absolute)).toDF("doc", "hash", "a", "b").distinct()
