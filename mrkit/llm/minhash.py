@@ -136,7 +136,9 @@ def near_duplicates(documents: DataFrame, words: int = 4, similarity: int = SIMI
 
 def _components(documents: DataFrame, classes: DataFrame, words: int, similarity: int) -> DataFrame:
     buckets = classes.select("rep", F.explode("bands").alias("band"))
+    # Written down, so that both sides of the join are plain shuffles and a hot bucket can be split.
     shared = buckets.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).where("size > 1")
+    shared = checkpoint(shared)
     members = checkpoint(buckets.join(shared, "band"))
     candidates = members.select("rep").distinct().join(classes.select("rep", "name"), "rep")
     texts_again = documents.join(candidates.withColumnRenamed("rep", "doc_id"), "doc_id")
@@ -151,7 +153,7 @@ def _components(documents: DataFrame, classes: DataFrame, words: int, similarity
     placed = members.join(components.toDF("rep", "component"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
     spread = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_bands = spread.where("lo <> hi").select("band")
+    open_bands = checkpoint(spread.where("lo <> hi").select("band"))
     still = checkpoint(placed.join(open_bands, "band"))
     more = _verified(_small_pairs(still.where(F.col("size") <= SMALL)), sets, similarity)
     large = still.where(F.col("size") > SMALL)
@@ -218,7 +220,7 @@ def _tiled(large: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     rest = rest.groupBy("grp").agg(F.sum("k").alias("rest_k"), F.sum("n").alias("rest_n"))
     tiles = lambda k, n: F.ceil(F.greatest(F.col(k) / TILE_CLASSES, F.col(n) / TILE_SHINGLES)).cast("int")
     grid = groups.join(rest, "grp").select("grp", "main", tiles("rest_k", "rest_n").alias("down"), tiles("k", "n").alias("across"))
-    placed = nodes.join(grid, "grp")
+    placed = nodes.join(checkpoint(grid), "grp")
     block = lambda count: F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     left = placed.where(F.col("component") != F.col("main")).withColumn("i", block("down"))
