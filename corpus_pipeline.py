@@ -17,6 +17,10 @@ from mrkit.session import written
 # Words of a shingle, and the similarity in percent from which documents are near duplicates.
 WORDS, SIMILARITY = 5, 80
 
+# Repeated strings go from 50 words or 400 bytes, whichever comes first: a word and the white space after it count as
+# WORD_BYTES at least, and 8 less than 400 as the first word of a string may be cut and count differently.
+PASSAGE_BYTES, WORD_BYTES = 392, 8
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; the labels certify the cutoffs."""
@@ -30,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes in strings that also start elsewhere are cut out; documents of which nothing is left go."""
-    return _counted(suffix_dedup.remove_repeated(docs))
+    return _counted(suffix_dedup.remove_repeated(docs, length=PASSAGE_BYTES, word_bytes=WORD_BYTES))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,10 @@ index of everything in one place:
 Texts that share no anchor with another are not moved again. Loops and tables that are read twice lie in the
 checkpoint folder.
 
+``length`` sets another number of bytes. With ``word_bytes`` all of this is done on widened texts, in which the white
+space after a word is repeated until both have that many bytes; so short words count as much as longer ones, and
+``length / word_bytes`` words always match. What is cut are the bytes of the text itself.
+
 Defined results: a NULL or empty text has no bytes. Repeated rows repeat their text, so all of it goes if it is long
 enough. Rows without ``doc_id`` take part. Extra columns are ignored by ``repeated_bytes`` and passed on by
 ``remove_repeated``.
@@ -33,13 +37,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mrkit.llm.common import free_name, texts
+from mrkit.llm.common import SPACES, free_name, texts
 from mrkit.llm.run_index import RunIndex
 from mrkit.session import checkpoint
 
 LENGTH = 400
 SEED = 128
 
+# Ranges of windows that are counted one after another for hot anchors; each divides the one before.
+RANGES = (100, 25, 5, 1)
+
 # Bytes of spans in one index, and different spans of one anchor that may meet there.
 BUCKET_BYTES = 1 << 20
 HOT_SPANS = 1024
@@ -67,24 +74,58 @@ def _powers_up_to(base: int, n: int) -> np.ndarray:
     return _tables[base][:n]
 
 
-def seed_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the ``SEED`` bytes at every place."""
+_IS_SPACE = bytes(b in SPACES for b in range(256))
+
+
+def widths(text: bytes, word_bytes: int) -> np.ndarray:
+    """How often every byte stands in the widened text: once, but for the white space after a word that is too short."""
+    space = np.frombuffer(text.translate(_IS_SPACE), dtype=bool)
+    found = np.ones(len(space), dtype=np.int64)
+    ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    starts = np.flatnonzero(~space & np.append(True, space[:-1])[: len(space)])[: len(ends)]
+    found[ends] = np.maximum(1, word_bytes - (ends - starts))
+    return found
+
+
+def widened(text: bytes, word_bytes: int) -> bytes:
+    if word_bytes <= 1:
+        return text
+    return np.repeat(np.frombuffer(text, dtype=np.uint8), widths(text, word_bytes)).tobytes()
+
+
+def narrowed(runs: list[tuple[int, int]], text: bytes, word_bytes: int) -> list[tuple[int, int]]:
+    """The runs of bytes of a text that runs of its widened form touch."""
+    if word_bytes <= 1 or not runs:
+        return runs
+    ends = np.cumsum(widths(text, word_bytes))
+    lo, hi = np.array(runs).T
+    first, last = np.searchsorted(ends, lo, side="right"), np.searchsorted(ends, hi - 1, side="right")
+    return merged([{"a": a, "b": b + 1} for a, b in zip(first.tolist(), last.tolist())])
+
+
+def seed_bytes(length: int) -> int:
+    return max(1, min(SEED, length // 3))
+
+
+def seed_hashes(data: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """A hash of the ``seed`` bytes at every place."""
     n = len(data)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers_up_to(BASE, n), out=sums[1:])
-    hashed = (sums[SEED:] - sums[:-SEED]) * _powers_up_to(pow(BASE, -1, 1 << 64), n - SEED + 1)
+    hashed = (sums[seed:] - sums[:-seed]) * _powers_up_to(pow(BASE, -1, 1 << 64), n - seed + 1)
     hashed ^= hashed >> np.uint64(32)
     hashed *= np.uint64(0xD6E8FEB86659FD93)
     return hashed ^ (hashed >> np.uint64(29))
 
 
-def spans(text: bytes) -> tuple[np.ndarray, ...]:
+def spans(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Key of the anchor, first window, last window and place of the anchor, for every span of a text."""
     found = [np.zeros((0, 4), dtype=np.int64)]
-    width = LENGTH - SEED + 1
-    for start in range(0, len(text) - LENGTH + 1, PART):
-        data = np.frombuffer(text, dtype=np.uint8)[start : start + PART + LENGTH - 1]
-        hashed = seed_hashes(data)
+    seed = seed_bytes(length)
+    width = length - seed + 1
+    for start in range(0, len(text) - length + 1, PART):
+        data = np.frombuffer(text, dtype=np.uint8)[start : start + PART + length - 1]
+        hashed = seed_hashes(data, seed)
         # The smallest of each window, the leftmost of equals: prefix and suffix minima of blocks as wide as a window.
         n = len(hashed)
         blocks = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -105,20 +146,26 @@ def _text_hash(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def _scan(text: Column) -> Column:
+def _scan(text: Column, length: int, word_bytes: int) -> Column:
     """Hash, length and digest of a text, and its spans; ``span`` is a hash of the bytes and the anchor's place."""
 
     @F.arrow_udf(f"struct<hash: long, n_bytes: long, sha256: string, spans: {SPANS}>")
     def scan(text: pa.Array) -> pa.Array:
-        rows = []
+        rows, found = [], [np.zeros((5, 0), dtype=np.int64)]
         for data in texts(text):
-            listed = []
-            for key, lo, last, anchor in zip(*(c.tolist() for c in spans(data))):
-                name = xxhash.xxh3_64_intdigest(data[lo : last + LENGTH], seed=anchor - lo) - (1 << 63)
-                listed.append({"key": key, "span": name, "place": anchor - lo, "lo": lo, "hi": last + LENGTH})
-            digest = hashlib.sha256(data).hexdigest()
-            rows.append({"hash": _text_hash(data), "n_bytes": len(data), "sha256": digest, "spans": listed})
-        return pa.array(rows, _SCAN_TYPE)
+            wide = widened(data, word_bytes)
+            key, lo, last, anchor = spans(wide, length)
+            place, hi = anchor - lo, last + length
+            cuts = zip(lo.tolist(), hi.tolist(), place.tolist())
+            names = np.array([xxhash.xxh3_64_intdigest(wide[a:b], seed=at) for a, b, at in cuts], dtype=np.uint64)
+            found.append(np.stack([key, (names ^ np.uint64(1 << 63)).view(np.int64), place, lo, hi]))
+            rows.append((_text_hash(data), len(data), hashlib.sha256(data).hexdigest()))
+        # As arrays and not as Python objects, of which there would be hundreds of bytes to each span.
+        columns = [pa.array(c).cast(field.type) for c, field in zip(np.concatenate(found, axis=1), _SPAN_TYPE)]
+        ends = np.cumsum([0, *(f.shape[1] for f in found[1:])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, fields=list(_SPAN_TYPE)))
+        of_text = [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 3, _SCAN_TYPE)]
+        return pa.StructArray.from_arrays([*of_text, lists], fields=list(_SCAN_TYPE))
 
     return scan.asNondeterministic()(text)
 
@@ -139,15 +186,15 @@ def _hash_of(text: Column) -> Column:
     return hash_of.asNondeterministic()(text)
 
 
-def covered(starts: np.ndarray) -> list[tuple[int, int]]:
+def covered(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal runs of the bytes that windows at these sorted places cover."""
     if not len(starts):
         return []
-    gaps = np.flatnonzero(starts[1:] > starts[:-1] + LENGTH)
-    return [*zip(starts[np.append(0, gaps + 1)].tolist(), (starts[np.append(gaps, len(starts) - 1)] + LENGTH).tolist())]
+    gaps = np.flatnonzero(starts[1:] > starts[:-1] + length)
+    return [*zip(starts[np.append(0, gaps + 1)].tolist(), (starts[np.append(gaps, len(starts) - 1)] + length).tolist())]
 
 
-def repeated_windows(rows: list[dict]) -> list[list[tuple[int, int]]]:
+def repeated_windows(rows: list[dict], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """For every span ``(doc, hash, lo, hi, data)`` the places, from its start, of bytes in windows that are also elsewhere."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i]["doc"], rows[i]["hash"], rows[i]["lo"], rows[i]["hi"]))
     regions, where, owner = [], {}, None
@@ -166,18 +213,18 @@ def repeated_windows(rows: list[dict]) -> list[list[tuple[int, int]]]:
     for i, row in enumerate(rows):
         region, offset = where[i]
         begin = index.starts[region] + offset
-        windows = statistics[begin : begin + row["hi"] - row["lo"] - LENGTH + 1]
-        found.append(covered(np.flatnonzero(windows >= LENGTH)))
+        windows = statistics[begin : begin + row["hi"] - row["lo"] - length + 1]
+        found.append(covered(np.flatnonzero(windows >= length), length))
     return found
 
 
 MARKS = "array<struct<lo: int, hi: int>>"
 
 
-def _repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _repeats(documents: DataFrame, length: int, word_bytes: int) -> tuple[DataFrame, DataFrame]:
     """The scanned documents ``(doc_id, doc, hash, n_bytes, sha256)`` and ``(doc, hash, marks)`` of those with repeats."""
     documents = documents.select("doc_id", F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"), "text")
-    scanned = documents.select("doc_id", "doc", _scan(F.col("text")).alias("s")).select("doc_id", "doc", "s.*")
+    scanned = documents.select("doc_id", "doc", _scan(F.col("text"), length, word_bytes).alias("s")).select("doc_id", "doc", "s.*")
     scanned = checkpoint(scanned)
     occurrences = scanned.select("doc", "hash", F.inline("spans"))
     # Written down, so that both sides of the join are plain shuffles and a hot key can be split.
@@ -189,7 +236,7 @@ def _repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = checkpoint(classes.select("key", "span", "place", "n", "at.*"))
     per_key = checkpoint(classes.groupBy("key").agg(F.count("*").alias("spans")).where("spans > 1"))
     whole = classes.where("n > 1").select("key", "span", F.array(_interval(F.lit(0), F.col("hi") - F.col("lo"))).alias("marks"))
-    marks = whole.union(_marked(documents, classes.join(per_key, "key")))
+    marks = whole.union(_marked(documents, classes.join(per_key, "key"), length, word_bytes))
     marked = occurrences.join(marks, ["key", "span"])
     absolute = F.transform("marks", lambda m: _interval(m["lo"] + F.col("lo"), m["hi"] + F.col("lo")))
     per_text = marked.select("doc", "hash", F.inline(absolute)).toDF("doc", "hash", "a", "b").distinct()
@@ -201,7 +248,7 @@ def _interval(lo: Column, hi: Column) -> Column:
     return F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
 
 
-def _marked(documents: DataFrame, classes: DataFrame) -> DataFrame:
+def _marked(documents: DataFrame, classes: DataFrame, length: int, word_bytes: int) -> DataFrame:
     """``(key, span, marks)`` for classes of one member whose anchor has other spans too."""
     wanted = classes.groupBy("doc", "hash").agg(
         F.collect_list(F.struct("key", "span", "place", "n", "lo", "hi", "spans")).alias("wanted")
@@ -211,7 +258,7 @@ def _marked(documents: DataFrame, classes: DataFrame) -> DataFrame:
 
     @F.arrow_udf("array<binary>")
     def cut(text: pa.Array, wanted: pa.Array) -> pa.Array:
-        rows = zip(texts(text), wanted.to_pylist())
+        rows = zip((widened(data, word_bytes) for data in texts(text)), wanted.to_pylist())
         return pa.array([[data[w["lo"] : w["hi"]] for w in spans] for data, spans in rows], pa.list_(pa.binary()))
 
     pieces = F.inline(F.arrays_zip(F.col("wanted"), cut.asNondeterministic()("text", "wanted").alias("data")))
@@ -225,7 +272,7 @@ def _marked(documents: DataFrame, classes: DataFrame) -> DataFrame:
 
     def mark(bucket: pa.Table) -> pa.Table:
         rows = bucket.select(["doc", "hash", "lo", "hi", "data"]).to_pylist()
-        found = [[{"lo": a, "hi": b} for a, b in places] for places in repeated_windows(rows)]
+        found = [[{"lo": a, "hi": b} for a, b in places] for places in repeated_windows(rows, length)]
         marks = pa.array(found, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
         return pa.table({"key": bucket["key"], "span": bucket["span"], "n": bucket["n"], "marks": marks})
 
@@ -233,12 +280,12 @@ def _marked(documents: DataFrame, classes: DataFrame) -> DataFrame:
     marked = cold.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(mark, schema)
     hot = spans_.where(F.col("spans") > HOT_SPANS)
     if hot.limit(1).count():
-        marked = marked.union(_marked_hot(hot))
+        marked = marked.union(_marked_hot(hot, length))
     # Classes with more members are marked as a whole already.
     return marked.where((F.col("n") == 1) & (F.size("marks") > 0)).select("key", "span", "marks")
 
 
-def _prints(size: int, smaller: int) -> Column:
+def _prints(size: int, smaller: int, length: int) -> Column:
     """Fingerprints of the smaller ranges inside the given ones, as far as the span has windows there."""
 
     @F.arrow_udf("array<struct<range: int, print: binary>>")
@@ -247,10 +294,10 @@ def _prints(size: int, smaller: int) -> Column:
         for text, anchor, alive in zip(texts(data), place.to_pylist(), ranges.to_pylist()):
             row = []
             for number in sorted({r * size // smaller + i for r in alive for i in range(size // smaller)}):
-                # Windows start less than LENGTH bytes in front of their anchor.
-                start = number * smaller - LENGTH + 1 + anchor
-                if start + smaller > 0 and start <= len(text) - LENGTH:
-                    common = text[start + smaller - 1 : start + LENGTH]
+                # Windows start less than ``length`` bytes in front of their anchor.
+                start = number * smaller - length + 1 + anchor
+                if start + smaller > 0 and start <= len(text) - length:
+                    common = text[start + smaller - 1 : max(0, start + length)]
                     row.append({"range": number, "print": xxhash.xxh3_128_digest(common)})
             rows.append(row)
         return pa.array(rows, pa.list_(pa.struct([("range", pa.int32()), ("print", pa.binary())])))
@@ -258,17 +305,17 @@ def _prints(size: int, smaller: int) -> Column:
     return prints.asNondeterministic()("data", "place", "ranges")
 
 
-def _marked_hot(hot: DataFrame) -> DataFrame:
+def _marked_hot(hot: DataFrame, length: int) -> DataFrame:
     """The same for anchors with very many spans, by counting what ranges of windows have in common.
 
     A range is numbered by the place of its windows relative to the anchor. Every window in it holds the bytes from
     the start of the last to the end of the first, so a range whose bytes occur once has no repeated window.
     """
     state = hot.withColumn("ranges", F.array(F.lit(0)))
-    size = LENGTH
-    for smaller in (100, 25, 5, 1):
+    size = -(-length // RANGES[0]) * RANGES[0]
+    for smaller in RANGES:
         each = checkpoint(
-            state.select("key", "span", "n", F.inline(_prints(size, smaller)))
+            state.select("key", "span", "n", F.inline(_prints(size, smaller, length)))
         )
         often = each.groupBy("key", "range", "print").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
         alive = each.join(often, ["key", "range", "print"], "left_semi")
@@ -279,7 +326,7 @@ def _marked_hot(hot: DataFrame) -> DataFrame:
     @F.arrow_udf(MARKS)
     def marks(place: pa.Array, ranges: pa.Array) -> pa.Array:
         rows = zip(place.to_pylist(), ranges.to_pylist())
-        found = [covered(np.sort(np.array(alive)) - LENGTH + 1 + anchor) for anchor, alive in rows]
+        found = [covered(np.sort(np.array(alive)) - length + 1 + anchor, length) for anchor, alive in rows]
         return pa.array([[{"lo": a, "hi": b} for a, b in places] for places in found],
                         pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
 
@@ -302,9 +349,9 @@ def without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def repeated_bytes(documents: DataFrame) -> DataFrame:
+def repeated_bytes(documents: DataFrame, length: int = LENGTH, word_bytes: int = 1) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` per document."""
-    scanned, repeats = _repeats(documents)
+    scanned, repeats = _repeats(documents, length, word_bytes)
     texts_again = documents.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"), "text")
     texts_again = texts_again.join(repeats.withColumnRenamed("hash", "h"), "doc")
     texts_again = texts_again.where(_hash_of(F.col("text")) == F.col("h"))
@@ -313,7 +360,7 @@ def repeated_bytes(documents: DataFrame) -> DataFrame:
     def removed(text: pa.Array, marks: pa.Array) -> pa.Array:
         rows = []
         for data, given in zip(texts(text), marks.to_pylist()):
-            runs = merged(given)
+            runs = narrowed(merged(given), data, word_bytes)
             digest = hashlib.sha256(without(data, runs)).hexdigest()
             rows.append({"n_removed": sum(b - a for a, b in runs), "n_spans": len(runs), "kept_sha256": digest})
         return pa.array(rows, pa.struct([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
@@ -330,12 +377,14 @@ def repeated_bytes(documents: DataFrame) -> DataFrame:
     )
 
 
-def remove_repeated(documents: DataFrame, drop_empty: bool = True) -> DataFrame:
+def remove_repeated(
+    documents: DataFrame, drop_empty: bool = True, length: int = LENGTH, word_bytes: int = 1
+) -> DataFrame:
     """``documents`` with the repeated bytes taken out of ``text``, all other columns as they are.
 
     A character that is cut loses its remaining bytes too. With ``drop_empty``, texts of which nothing is left go.
     """
-    _, repeats = _repeats(documents)
+    _, repeats = _repeats(documents, length, word_bytes)
     doc, hash_, marks = (free_name(documents, name) for name in ("doc", "hash", "marks"))
     rows = documents.withColumns({doc: F.coalesce("doc_id", F.lit(0)).cast("long"), hash_: _hash_of(F.col("text"))})
     rows = rows.join(repeats.toDF(doc, hash_, marks), [doc, hash_], "left")
@@ -343,7 +392,8 @@ def remove_repeated(documents: DataFrame, drop_empty: bool = True) -> DataFrame:
     @F.arrow_udf("string")
     def rest(text: pa.Array, marks: pa.Array) -> pa.Array:
         rows = zip(texts(text), marks.to_pylist())
-        return pa.array([without(d, merged(m or [])).decode(errors="ignore") for d, m in rows], pa.string())
+        kept = [without(d, narrowed(merged(m or []), d, word_bytes)) for d, m in rows]
+        return pa.array([data.decode(errors="ignore") for data in kept], pa.string())
 
     # Texts without marks do not pass through Python.
     changed = rows.where(F.col(marks).isNotNull())

@@ -55,3 +55,18 @@ def test_stages(spark, corpus):
     packed = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in packed} == {1, 3, 4, 8}
     assert all(sum(r.length for r in packed if r.doc_id == i) == next(r.doc_tokens for r in packed if r.doc_id == i) for i in (1, 3, 4, 8))
+
+
+def test_passages_of_51_short_words_go(spark):
+    rng = random.Random(5)
+    text = lambda n, size: " ".join("".join(rng.choices("abcdefghij", k=size)) for _ in range(n))
+    # 400 bytes go however few words they are, also if they begin inside a word.
+    passages = [text(51, 5), text(51, 1), text(36, 10) + " and on", text(45, 5)]
+    assert len(passages[0]) < 400 <= len(passages[2])
+    rows = [(i, f"{text(60, 6)} {'xyz'[i // 4:]}{passages[i % 4]} {text(60, 6)}") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, docs, "").collect()}
+    for i, whole in rows:
+        words = left[i].split()
+        assert words[:60] == whole.split()[:60] and words[-59:] == whole.split()[-59:]
+        assert left[i] == whole if i % 4 == 3 else len(words) <= 122

@@ -98,3 +98,31 @@ def test_stage_removes_passages_and_keeps_the_rest(docs):
     texts = {r.doc_id: r.text for r in left.collect()}
     assert texts[8] == " and more of it in this one" and texts[9] == "before it came "
     assert {10, 11, 12}.isdisjoint(texts) and texts[1] is None and texts[2] == ""
+
+
+@pytest.mark.parametrize("text", [b"", b" ", b"a", b"ab c", b" a  bb\nccccccccc d ", b"ccccccccc"])
+def test_widened_texts(text):
+    wide = suffix_dedup.widened(text, 4)
+    expected, word = b"", 0
+    for i, byte in enumerate(text):
+        space = bytes([byte]).isspace()
+        expected += bytes([byte]) * (max(1, 4 - word) if space and word else 1)
+        word = 0 if space else word + 1
+    assert wide == expected
+    ends = np.cumsum(suffix_dedup.widths(text, 4))
+    for i, end in enumerate(ends.tolist()):
+        assert suffix_dedup.narrowed([(end - 1, end)], text, 4) == [(i, i + 1)]
+    assert suffix_dedup.narrowed([(0, len(wide))] if wide else [], text, 4) == ([(0, len(text))] if text else [])
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_SPANS, 1], ids=["index", "ranges"])
+@pytest.mark.parametrize("length", [40, 101, 392])
+def test_other_lengths(spark, monkeypatch, hot, length):
+    monkeypatch.setattr(suffix_dedup, "HOT_SPANS", hot)
+    monkeypatch.setitem(globals(), "L", length)
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(map(chr, rng.integers(97, 101, n)))
+    passages = [word(n) for n in (length - 1, length, length + 30)]
+    rows = [(i, "".join(word(rng.integers(0, 200)) + passages[p] for p in rng.integers(0, 3, 2))) for i in range(12)]
+    found = suffix_dedup.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), length=length)
+    assert _found(found) == _expected(rows)
