@@ -7,6 +7,11 @@ more than the allowed share"; an exact binomial tail decides, and the first hypo
 divided (Bonferroni), and so is the allowed share over the rules, as a document may fall to any of them. With
 probability ``1 - error`` no stratum loses more than ``false_rejection`` of its good documents.
 
+This holds for all certified cutoffs at once, so any of them may be chosen. The labelled bad documents choose: rule by
+rule, those that reject most good documents first, a cutoff becomes as lenient as it can while it still rejects the
+bad documents that no other rule rejects, and a rule without such documents gets none. What the strictest cutoffs
+reject of the labelled bad documents is still rejected. A stratum without labelled bad documents keeps the strictest.
+
 Defined results: a NULL or empty text has no words and fails the base rule. NULL as stratum is a stratum of its own.
 Strata without enough labelled good documents get no cutoff and lose nothing to the rules. Repeated rows are judged
 row by row; of repeated labels of a document the lowest counts. Labels that are NULL are not used. Extra columns are
@@ -128,11 +133,51 @@ def learn_cutoffs(
     error: float = ERROR,
     ladder: int = LADDER,
 ) -> DataFrame:
-    """``(stratum, rule, cutoff)`` for the strata and rules with a certified cutoff.
+    """``(stratum, rule, cutoff)`` for the strata and rules with a certified cutoff that serves.
 
     ``labelled`` has a stratum, the struct of ``statistics`` and whether the document is good. Only counts per stratum,
     rule and step are gathered.
     """
+    bad = labelled.where(~F.col(good) & ~base_failed(F.col(statistic)))
+    bad = bad.select(F.col(stratum).alias("stratum"), F.col(statistic).alias("s"))
+    certified = _certified_cutoffs(labelled, stratum, statistic, good, false_rejection, error, ladder)
+    return _chosen_cutoffs(certified, bad, ladder)
+
+
+def _chosen_cutoffs(certified: DataFrame, bad: DataFrame, ladder: int) -> DataFrame:
+    """The certified cutoffs ``(stratum, rule, cutoff, lost)``, as lenient as the bad documents ``(stratum, s)`` allow."""
+    bad, some = checkpoint(bad), F.lit(True).alias("some")
+    costly = Window.partitionBy("stratum").orderBy(F.desc("lost"), "rule")
+    with_bad = bad.select(F.col("stratum").alias("of"), some).distinct()
+    cutoffs = certified.withColumn("turn", F.row_number().over(costly))
+    cutoffs = cutoffs.join(with_bad, F.col("stratum").eqNullSafe(F.col("of")), "left")
+    cutoffs = checkpoint(cutoffs.select("stratum", "rule", "cutoff", "turn", F.coalesce("some", F.lit(False)).alias("some")))
+    last = cutoffs.where("some").agg(F.max("turn")).first()[0] or 0
+    for turn in range(1, last + 1):
+        both = cutoffs.select("stratum", "rule", F.struct("cutoff", "turn").alias("cutoff"))
+        rows = _with_cutoffs(bad, F.col("stratum"), both, "cutoffs").where(F.col("cutoffs").isNotNull())
+        rejecting = []
+        for rule, value in rules(F.col("s")).items():
+            at = F.element_at("cutoffs", rule)
+            rejecting.append(F.when(value > at["cutoff"], F.struct(F.lit(rule).alias("rule"), value.alias("value"), at["turn"].alias("turn"))))
+        rows = rows.select("stratum", F.array_compact(F.array(*rejecting)).alias("by"))
+        alone = rows.where((F.size("by") == 1) & (F.col("by")[0]["turn"] == turn)).select(F.col("stratum").alias("of"), F.col("by")[0]["value"].alias("value"))
+        least = alone.groupBy("of").agg(F.min("value").alias("least"))
+        # The highest step below the least value to reject; the second case is for rounding.
+        step = F.ceil(F.col("least") * ladder) - 1
+        lenient = F.when(F.col("least") > step / ladder, step / ladder).otherwise((step - 1) / ladder)
+        found = least.select("of", F.greatest(lenient, F.lit(0.0)).alias("lenient"))
+        cutoffs = cutoffs.join(found, F.col("stratum").eqNullSafe(F.col("of")), "left")
+        now = F.col("some") & (F.col("turn") == turn)
+        cutoffs = cutoffs.withColumn("cutoff", F.when(now, F.when(F.col("lenient").isNotNull(), F.greatest("cutoff", "lenient"))).otherwise(F.col("cutoff")))
+        cutoffs = checkpoint(cutoffs.where("cutoff IS NOT NULL").drop("of", "lenient"))
+    return cutoffs.select("stratum", "rule", "cutoff")
+
+
+def _certified_cutoffs(
+    labelled: DataFrame, stratum: str, statistic: str, good: str, false_rejection: float, error: float, ladder: int
+) -> DataFrame:
+    """``(stratum, rule, cutoff, lost)``: the strictest certified cutoffs and how many labelled good documents they reject."""
     values = rules(F.col(statistic))
     share = false_rejection / len(values)
 
@@ -159,12 +204,12 @@ def learn_cutoffs(
     tested = (
         ladders.select("stratum", "rule", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(ladder - 1)),
                        lambda i: F.struct(i.alias("i"), above(i).alias("rejected")))).alias("t"))
-        .select("stratum", "rule", "t.i", certified("t.rejected", "n", F.lit(error) / tests).alias("ok"))
+        .select("stratum", "rule", "t.i", "t.rejected", certified("t.rejected", "n", F.lit(error) / tests).alias("ok"))
     )
     # The strictest cutoff such that it and all more lenient ones are certified.
     lenient = Window.partitionBy("stratum", "rule").orderBy(F.desc("i"))
     walked = tested.withColumn("ok", F.min("ok").over(lenient)).where("ok")
-    return walked.groupBy("stratum", "rule").agg((F.min("i") / F.lit(ladder)).alias("cutoff"))
+    return walked.groupBy("stratum", "rule").agg((F.min("i") / F.lit(ladder)).alias("cutoff"), F.max("rejected").alias("lost"))
 
 
 def _with_cutoffs(rows: DataFrame, stratum: Column, cutoffs: DataFrame, out: str) -> DataFrame:

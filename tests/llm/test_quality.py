@@ -62,6 +62,23 @@ def test_cutoffs_follow_the_tests_of_every_stratum(spark):
     assert found["a", "symbols"] == expected and (values > expected).mean() <= share
 
 
+def test_bad_labels_choose_among_certified_cutoffs(spark):
+    """Good texts of few words are not rejected if no junk needs that; what only one rule catches is still caught."""
+    rng = np.random.default_rng(2)
+    words = rng.integers(52, 400, 3000).tolist()
+    good = [(s, w, 5 * w, w // 50, 10, 0, 0, True) for w in words for s in ("a", None)]
+    bad = [("a", 300, 1500, n, 10, 0, 0, False) for n in (90, 120, 150)] + [(None, 300, 1500, 90, 10, 0, 0, False)]
+    bad += [("a", 300, 1500, 6, 10, 6, 0, False), ("a", 300, 1500, 6, 10, 0, 0, False), ("a", 10, 50, 6, 10, 0, 0, False)]
+    names = ["stratum", *quality_rules.STATISTICS, "good"]
+    df = spark.createDataFrame(good + bad, names).select("stratum", "good", F.struct(*quality_rules.STATISTICS).alias("s"))
+    found = {(r.stratum, r.rule): r.cutoff for r in quality_rules.learn_cutoffs(df, "stratum", "s", "good").collect()}
+    ladder = quality_rules.LADDER
+    assert found == {("a", "symbols"): 14 / ladder, (None, "symbols"): 14 / ladder, ("a", "dup_lines"): 28 / ladder}
+    certified = quality_rules._certified_cutoffs(df, "stratum", "s", "good", 0.04, 0.05, ladder).collect()
+    strictest = {(r.stratum, r.rule): r.cutoff for r in certified}
+    assert strictest["a", "few_words"] < 1 and all(strictest[k] <= c for k, c in found.items())
+
+
 def test_filter_keeps_rows_and_columns(docs, no_docs):
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
     kept = quality_rules.filter_documents(docs, labels)
