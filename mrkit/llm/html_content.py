@@ -10,7 +10,8 @@ page, and a bounded sample of the pages at hand that mark their article themselv
 counts are all that reaches the workers. Pages are extracted row by row, without a shuffle.
 
 Defined results: a NULL or empty page, or one without content, gives an empty text. Broken markup is read as browsers
-do in the main: missing end tags are implied, unknown ones skipped. ``br`` is white space in its block. Repeated rows
+do in the main: missing end tags are implied, unknown ones skipped. Hidden elements end with the block they are in at
+the latest. Formulas and what stands in an ``object`` for want of it are text. ``br`` is white space in its block. Repeated rows
 are extracted each by itself. Extra columns are ignored.
 """
 
@@ -34,9 +35,17 @@ LEAST_CHANGE = {0: 0.003, 1: 0.05}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub "
-    "sup time tt u var wbr".split()
+    "sup time tt u var wbr object param embed source track math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror "
+    "mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr "
+    "mlabeledtr mtd maction semantics".split()
 )
-HIDDEN = set("script style noscript template head title iframe object svg math textarea select datalist".split())
+HIDDEN = set("script style noscript template title iframe svg textarea select datalist annotation annotation-xml".split())
+# Blocks that cannot be in a drawing or formula, so that their start ends it, and elements in which they can.
+OUTSIDE = set(
+    "blockquote center dd div dl dt h1 h2 h3 h4 h5 h6 hr li menu nav ol p pre table ul article aside footer form header main section".split()
+)
+HOLDERS = {"foreignobject", "desc", "annotation-xml"}
+LISTS = {"select", "datalist"}
 RAW = re.compile(r"script|style|textarea|title|noscript|iframe|template", re.I)
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 BARRIERS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
@@ -62,7 +71,9 @@ def parse(page: str) -> list[Node]:
     """The block elements and runs of text of a page, parents before their children."""
     root = Node("html", None)
     nodes, block, inline, run = [root], root, [], None
-    end, links, hidden = 0, 0, 0
+    end, links = 0, 0
+    # Elements that are open from a hidden one on.
+    hidden: list[str] = []
 
     def add(text: str) -> None:
         nonlocal run
@@ -89,6 +100,19 @@ def parse(page: str) -> list[Node]:
             block, run = at.parent, None
             inline.clear()
 
+    def is_open(tag: str) -> bool:
+        at = block
+        while at is not None and at.tag != tag:
+            at = at.parent
+        return at is not None and at.parent is not None
+
+    def ends_hidden(tag: str) -> bool:
+        """Whether the start of this element ends the hidden ones, or the block they are in."""
+        if not HOLDERS.isdisjoint(hidden):
+            return False
+        listed = not LISTS.isdisjoint(hidden)
+        return tag in OUTSIDE and (block.tag == "p" or not listed) or block.tag in SAME.get(tag, ())
+
     position = 0
     while match := TOKEN.search(page, position):
         start, position = match.span()
@@ -98,21 +122,29 @@ def parse(page: str) -> list[Node]:
         closing, tag = match[1], (match[2] or "").lower()
         if not tag:
             continue
-        if tag in HIDDEN and not closing and not match[3].endswith("/"):
-            if RAW.fullmatch(tag):
-                stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, position)
-                position = end = len(page) if stop is None else page.find(">", stop.start()) + 1 or len(page)
-            else:
-                hidden += 1
-            continue
-        if tag in HIDDEN:
-            hidden = max(0, hidden - 1)
+        open_ = not closing and not match[3].endswith("/")
+        if open_ and RAW.fullmatch(tag):
+            stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, position)
+            position = end = len(page) if stop is None else page.find(">", stop.start()) + 1 or len(page)
             continue
-        if tag == "body" or tag == "html":
-            # A body ends a head that was left open.
-            hidden = 0
+        if tag in ("head", "body", "html"):
+            # What a head may hold is never shown, so other text and tags are outside of it, closed or not.
+            hidden.clear()
             continue
         if hidden:
+            if closing and tag in hidden:
+                while hidden.pop() != tag:
+                    pass
+                continue
+            if closing and is_open(tag) or open_ and ends_hidden(tag):
+                hidden.clear()
+            else:
+                if open_ and tag not in VOID and tag != hidden[-1] or tag in HIDDEN and open_:
+                    hidden.append(tag)
+                continue
+        if tag in HIDDEN:
+            if open_:
+                hidden.append(tag)
             continue
         if tag in INLINE:
             if tag == "br":

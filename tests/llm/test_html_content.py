@@ -68,3 +68,25 @@ def test_awkward_rows(spark):
     found = html_content.main_text(pages).collect()
     assert len(found) == 6 and [r.text for r in found[:2]] == ["", ""] and found[3].n_chars == 20_000 * 15 - 1
     assert html_content.main_text(pages.where("page_id < 0")).collect() == []
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>t</title><article><p>text</p></article>", "text"),
+        ("<html><head><meta charset=x><style>p{}</style><link href=y><article><p>text</p></article>", "text"),
+        ("<head><title>t</title></head><body><article><p>text</p></article>", "text"),
+        ("<article><p>One <select><option>a<option>b</p><p>Two.</p></article>", "One\nTwo."),
+        ("<article><div><svg><g><path d=x></div><p>Two.</p></article>", "Two."),
+        ("<article><svg><title>t</title><g><text>no</text><p>Two.</p></article>", "Two."),
+        ("<article><div><svg><foreignObject><div>no</div>no</foreignObject>no</svg><p>Yes.</p></div></article>", "Yes."),
+        ("<article><p>One <svg><foreignObject><p>no</p></foreignObject></svg> two.</p></article>", "One two."),
+        ("<article><div><datalist><option>no</div><p>Two.</p></article>", "Two."),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> be.</p></article>", "Let x=2 be."),
+        ("<article><p>See <object data=x><param name=y>the film</object> here.</p><object><p>Two.</article>", "See the film here.\nTwo."),
+        ("<article><p>a <svg/> b <svg><svg/></svg> c</p></article>", "a b c"),
+        ("<article><p>a <select><option>no<option>no</select> b</p></article>", "a b"),
+    ],
+)
+def test_hidden_elements_end(model, page, text):
+    assert model.extract(page) == text
