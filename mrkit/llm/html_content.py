@@ -308,13 +308,15 @@ def self_labelled(page: str) -> list[Node]:
 
 
 def train(pages: DataFrame | None, train_pages: int = TRAIN_PAGES) -> Model:
-    """Potentials from the module's labelled pages and at most ``train_pages`` of ``pages(page_id, html)``."""
+    """Potentials from the module's labelled pages and at most ``train_pages`` of ``pages(page_id, html)`` that
+    mark their article; of repeated ids the first page in the order of text."""
     sample = []
     if pages is not None:
         # Ids first, so that a task answers with numbers and not with as many pages.
-        rows = pages.where(F.col("html").isNotNull() & F.col("page_id").isNotNull())
-        chosen = rows.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages).collect()
-        rows = rows.where(F.col("page_id").isin([row.page_id for row in chosen])).select("html").limit(train_pages)
+        rows = pages.where(F.col("html").rlike(r"(?i)<(article|main)[\s/>]") & F.col("page_id").isNotNull())
+        chosen = rows.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages).collect()
+        rows = rows.where(F.col("page_id").isin([row.page_id for row in chosen]))
+        rows = rows.groupBy("page_id").agg(F.min("html").alias("html"))
         sample = [self_labelled(row.html) for row in rows.collect()]
     return Model([labelled(page) for page in LABELLED], sample)
 

@@ -90,3 +90,12 @@ def test_awkward_rows(spark):
 )
 def test_hidden_elements_end(model, page, text):
     assert model.extract(page) == text
+
+
+def test_the_bound_counts_pages_that_mark_their_article(spark):
+    marked = [(i, f"<ARTICLE class=a{chr(97 + i)}><p>Some words {i}, as usual.</ARTICLE>") for i in range(4)]
+    rows = [(i, "<div><p>No mark.</div>") for i in range(100, 300)] + marked + marked[:1] * 200
+    found = html_content.train(spark.createDataFrame(rows, "page_id long, html string"), 4)
+    labelled = [html_content.labelled(page) for page in html_content.LABELLED]
+    expected = html_content.Model(labelled, [html_content.self_labelled(page) for _, page in marked])
+    assert found.features == expected.features and found.edges == expected.edges
