@@ -7,8 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mrkit.llm import byte_bpe, html_content, lm_scoring, minhash, packing, pii, quality_classifier, quality_rules, suffix_dedup, vector_graph
-
+from mrkit.llm import (
+    byte_bpe,
+    html_content,
+    lexical_search,
+    lm_scoring,
+    minhash,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    suffix_dedup,
+    vector_graph,
+)
+from mrkit.sources import spread_scan
 
 # The key of the surrogates; whoever uses them for real keeps another one secret.
 KEY = "surrogates of the test tables"
@@ -63,6 +75,11 @@ def op10_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_graph.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spread_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lexical_search.search(documents, _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
@@ -75,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_vector_graph": op10_vector_graph,
+        "op11_lexical_search": op11_lexical_search,
     }
 
 
@@ -100,5 +118,35 @@ SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_
 FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id"""
 
 
+LEXICAL_SEARCH_SQL = r"""WITH
+  cut AS MATERIALIZED (
+    SELECT *, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM (SELECT true AS is_item, item_id AS id, text FROM benchmark UNION ALL SELECT false, doc_id, text FROM documents)),
+  items AS MATERIALIZED (
+    SELECT id AS item_id, term, count(*) AS repeats
+    FROM (SELECT DISTINCT id, terms FROM cut WHERE is_item), unnest(terms) AS t(term) GROUP BY ALL),
+  docs AS MATERIALIZED (
+    SELECT row_number() OVER () AS doc, id AS doc_id, terms, len(terms) AS n FROM cut WHERE NOT is_item AND len(terms) > 0),
+  totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs),
+  counts AS MATERIALIZED (
+    SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM docs)
+    WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+  weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), totals),
+  impacts AS MATERIALIZED (
+    SELECT doc, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))) AS impact
+    FROM counts JOIN docs USING (doc) JOIN weights USING (term), totals),
+  scores AS (
+    SELECT item_id, doc, CAST(sum(repeats * impact) AS BIGINT) AS score FROM items JOIN impacts USING (term) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score,
+             row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank
+      FROM scores JOIN docs USING (doc) WHERE score > 0)
+WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": NEAR_DUPLICATES_SQL}
+    return {"op1_minhash": NEAR_DUPLICATES_SQL, "op11_lexical_search": LEXICAL_SEARCH_SQL}
