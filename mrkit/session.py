@@ -3,6 +3,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +62,16 @@ class Generations:
             self.folder = None
 
 
+@contextmanager
+def shared_folder(spark: SparkSession) -> Iterator[str]:
+    """The name of a new subfolder of the checkpoint folder; it is deleted in the end with all that was written to it."""
+    folder = f"{_ensure_checkpoint_dir(spark)}/{uuid.uuid4()}"
+    try:
+        yield folder
+    finally:
+        _delete(spark, folder)
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -28,3 +28,14 @@ def test_checkpoint_lands_in_the_folder_and_cuts_the_lineage(spark):
     assert [row.id for row in df.orderBy("id").collect()] == [0, 2, 4, 6, 8]
     assert "Project" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert spark.sparkContext.getCheckpointDir().split(":")[-1].startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_shared_folder_is_deleted_with_its_files(spark):
+    with session.shared_folder(spark) as folder:
+        spark.range(3).write.parquet(folder)
+        assert spark.read.parquet(folder).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(folder)
+    # A folder that was never written to is no error.
+    with session.shared_folder(spark):
+        pass
