@@ -19,6 +19,7 @@ from mrkit.llm import (
     quality_rules,
     suffix_dedup,
     vector_graph,
+    warc,
 )
 from mrkit.sources import spread_scan
 
@@ -80,6 +81,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(documents, _table(spark, sf_dir, "benchmark"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
@@ -93,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_lm_scoring": op9_lm_scoring,
         "op10_vector_graph": op10_vector_graph,
         "op11_lexical_search": op11_lexical_search,
+        "op12_warc": op12_warc,
     }
 
 
@@ -148,5 +154,21 @@ FROM (SELECT item_id, doc_id, score,
 WHERE rank <= 10"""
 
 
+WARC_SQL = """WITH
+  payloads AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+  groups AS (SELECT payload, min(page_id) AS first FROM payloads GROUP BY payload)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31), 1)), '')
+    AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM payloads JOIN groups USING (payload)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": NEAR_DUPLICATES_SQL, "op11_lexical_search": LEXICAL_SEARCH_SQL}
+    return {
+        "op1_minhash": NEAR_DUPLICATES_SQL,
+        "op11_lexical_search": LEXICAL_SEARCH_SQL,
+        "op12_warc": WARC_SQL,
+    }
