@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mrkit.llm import (
     byte_bpe,
+    conversation_trie,
     html_content,
     lexical_search,
     lm_scoring,
@@ -85,6 +86,10 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
@@ -99,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_vector_graph": op10_vector_graph,
         "op11_lexical_search": op11_lexical_search,
         "op12_warc": op12_warc,
+        "op13_conversation_trie": op13_conversation_trie,
     }
 
 
@@ -166,9 +172,52 @@ SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
 FROM payloads JOIN groups USING (payload)"""
 
 
+# The checksum is taken bit by bit over the digits of the id.
+CONVERSATION_TRIE_SQL = r"""WITH
+  own AS MATERIALIZED (
+    SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+      sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn,
+      len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+    FROM conversations WHERE conv_id IS NOT NULL),
+  convs AS MATERIALIZED (
+    SELECT conv, conv - conv % 20 AS base,
+      xor(list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT),
+                     list_transform(string_split(CAST(conv AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+        lambda crc, c: list_reduce(
+          list_prepend(xor(crc, c), list_transform(range(8), lambda i: CAST(0 AS BIGINT))),
+          lambda x, i: xor(x >> 1, (x & 1) * CAST(3988292384 AS BIGINT)))), CAST(4294967295 AS BIGINT)) % 4 AS heads
+    FROM (SELECT DISTINCT conv FROM own)),
+  rebuilt AS MATERIALIZED (
+    SELECT conv, list(turn ORDER BY part, pos) AS turns, list(words ORDER BY part, pos) AS words
+    FROM (SELECT c.conv, 0 AS part, pos, turn, words FROM convs c JOIN own ON own.conv = c.base AND pos <= heads
+          UNION ALL SELECT c.conv, 1, pos, turn, words FROM convs c JOIN own ON own.conv = c.conv AND pos > heads)
+    GROUP BY conv),
+  lists AS (SELECT conv, coalesce(turns, []) AS turns, coalesce(words, []) AS words FROM convs LEFT JOIN rebuilt USING (conv)),
+  paths AS MATERIALIZED (
+    SELECT conv, depth, len(turns) AS length, array_to_string(turns[1:depth], ',') AS path,
+      array_to_string(turns[1:depth - 1], ',') AS above, CASE WHEN depth = 0 THEN 0 ELSE words[depth] END AS words
+    FROM (SELECT *, unnest(range(len(turns) + 1)) AS depth FROM lists)),
+  nodes AS MATERIALIZED (
+    SELECT depth, path, any_value(above) AS above, min(conv) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+      coalesce(string_agg(CAST(conv AS VARCHAR), ',' ORDER BY conv) FILTER (WHERE length = depth), '') AS ends
+    FROM paths GROUP BY depth, path),
+  kids AS (SELECT depth - 1 AS depth, above AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+  counted AS MATERIALIZED (
+    SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (depth, path)),
+  subtrees AS (
+    SELECT p.depth, p.path, count(*) FILTER (WHERE n_children = 0) AS n_leaves,
+      CAST(sum((n_convs - 1) * c.words) AS BIGINT) AS saved_tokens
+    FROM counted c JOIN paths p ON p.conv = c.conv_id AND p.depth <= c.depth GROUP BY ALL)
+SELECT c.conv_id, c.depth, a.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens,
+  sha256(c.ends) AS ends_sha256
+FROM counted c JOIN subtrees USING (depth, path) LEFT JOIN nodes a ON a.depth = c.depth - 1 AND a.path = c.above"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash": NEAR_DUPLICATES_SQL,
         "op11_lexical_search": LEXICAL_SEARCH_SQL,
         "op12_warc": WARC_SQL,
+        "op13_conversation_trie": CONVERSATION_TRIE_SQL,
     }
