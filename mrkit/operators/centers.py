@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mrkit.operators import tasks
+from mrkit.operators.reduce import FAN_IN, TASK, merge_partials, tasks_of, with_task
 from mrkit.session import Generations, checkpoint
 
 # Centres shipped to the executors at once. More are taken block by block.
@@ -98,15 +99,14 @@ class Centers(NamedTuple):
 
         return single(v) if group is None else grouped(group, v)
 
-    def sums(self, points: DataFrame) -> DataFrame:
+    def sums(self, points: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
         """``(g, cid, sums, w)``: weighted coordinate sums and weights of the ``points(g, v, w)`` nearest to each centre.
 
-        One pass: a task adds up what it reads, so it yields at most a row per centre, and these rows are added per
-        centre. No coordinate becomes a row of its own.
+        One pass: a task adds up what it reads, so it yields at most a row per centre. Rows of one centre are added
+        ``fan_in`` at a time, level by level. No coordinate becomes a row of its own.
         """
         names, first, count, cids, coords = self
         dims, columns = coords.shape[1], coords.T.copy()
-        owner = np.repeat(names, count)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums, weights = np.zeros(coords.shape), np.zeros(len(coords))
@@ -116,22 +116,31 @@ class Centers(NamedTuple):
                 g = np.searchsorted(names, group).clip(max=len(names) - 1)
                 known = names[g] == group
                 index, _ = tasks.nearest_of_own(x, columns, first[g], np.where(known, count[g], 0))
-                index, w = index[known], w[known]
-                weights += np.bincount(index, w, len(coords))
-                for d in range(dims):
-                    sums[:, d] += np.bincount(index, w * x[d, known], len(coords))
-            used = np.flatnonzero(weights > 0)
-            columns_ = [owner[used], cids[used], pa.array(list(sums[used]), pa.list_(pa.float64())), weights[used]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns_], ["g", "cid", "sums", "w"])
-
-        def total(table: pa.Table) -> pa.Table:
-            sums = np.array(table["sums"].to_pylist()).sum(axis=0)
-            row = {"g": table["g"][0], "cid": table["cid"][0], "sums": sums, "w": sum(table["w"].to_pylist())}
-            return pa.table({name: pa.array([getattr(v, "as_py", lambda: v)()]) for name, v in row.items()})
-
-        schema = "g long, cid long, sums array<double>, w double"
-        rows = points.select(F.col("g").cast("long").alias("g"), "v", "w").mapInArrow(add, schema)
-        return rows.groupBy("g", "cid").applyInArrow(total, schema)
+                tasks.add_to(sums, weights, x[:, known], w[known], index[known])
+            yield self.partial_sums(sums, weights)
+
+        rows = points.select(F.col("g").cast("long").alias("g"), "v", "w")
+        return total_sums(rows.mapInArrow(add, PARTIAL_SUMS), tasks_of(rows), fan_in)
+
+    def partial_sums(self, sums: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+        """What a task has for the centres that got weight there, as ``PARTIAL_SUMS``."""
+        used = np.flatnonzero(weights > 0)
+        lists = pa.ListArray.from_arrays(np.arange(len(used) + 1, dtype=np.int32) * sums.shape[1], pa.array(sums[used].ravel()))
+        columns = [np.repeat(self.groups, self.count)[used], self.cids[used], lists, weights[used]]
+        return with_task(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "cid", "sums", "w"]))
+
+
+PARTIAL_SUMS = f"g long, cid long, sums array<double>, w double, {TASK} long"
+
+
+def total_sums(partials: DataFrame, n_tasks: int, fan_in: int = FAN_IN) -> DataFrame:
+    """``(g, cid, sums, w)`` from the ``PARTIAL_SUMS`` of tasks."""
+
+    def total(table: pa.Table) -> pa.Table:
+        sums = table["sums"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).sum(axis=0)
+        return pa.table({"sums": pa.array([sums]), "w": [table["w"].to_numpy().sum()]})
+
+    return merge_partials(partials, ["g", "cid"], total, n_tasks, fan_in)
 
 
 def checked_weight(w: str | Column, name: str = "weights") -> Column:

@@ -64,6 +64,13 @@ def nearest_of_own(x: np.ndarray, coords: np.ndarray, first: np.ndarray, count:
     return index, best
 
 
+def add_to(sums: np.ndarray, weights: np.ndarray, x: np.ndarray, w: np.ndarray, index: np.ndarray) -> None:
+    """Adds weights and weighted coordinates of the columns of ``x`` to the rows of ``sums`` that ``index`` names."""
+    weights += np.bincount(index, w, len(sums))
+    for d, row in enumerate(x):
+        sums[:, d] += np.bincount(index, w * row, len(sums))
+
+
 def pick(mass: np.ndarray, u: float) -> int | None:
     """First index with mass at which the running share of the total reaches ``u``; None without mass."""
     running, candidates = np.cumsum(mass), np.flatnonzero(mass > 0)
