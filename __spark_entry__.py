@@ -6,6 +6,9 @@ import sys
 from collections.abc import Callable
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from mrkit.functions import euclidean, parse_vector
 from mrkit.operators import centers, numbers, seeding, words
+from mrkit.operators.reduce import best_row, reduce_columns
 from mrkit.plans.clustering import weighted_kcenters
 from mrkit.plans.kmedian import mr_kmedian, partition_coreset
 from mrkit.plans.reports import number_report, word_report
@@ -84,6 +88,27 @@ def _normalize_by_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbers.normalize_by_max(parts, "p_retailprice").select("p_partkey", "z")
 
 
+def _reduce_by_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two figures under one function: how far quantities are spread, and all line numbers put together bit by bit."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_quantity", "l_orderkey")
+
+    def both(rows: pa.Table) -> pa.Table:
+        keys = rows["keys"].to_numpy()
+        return pa.table({"least": [pc.min(rows["least"]).as_py()], "most": [pc.max(rows["most"]).as_py()], "keys": [np.bitwise_xor.reduce(keys)]})
+
+    def prepare(rows: pa.Table) -> pa.Table:
+        return pa.table({"least": rows["l_quantity"], "most": rows["l_quantity"], "keys": rows["l_orderkey"]})
+
+    reduced = reduce_columns(lines, both, "least double, most double, keys long", prepare)
+    return reduced.select((F.col("most") - F.col("least")).alias("spread"), "keys")
+
+
+def _best_by_comparator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    value = lambda rows: pc.divide(rows["l_extendedprice"], rows["l_quantity"])
+    return best_row(lines, value, ["l_orderkey", "l_linenumber"])
+
+
 def _parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "lineitem").select(F.concat_ws("\t ", "l_quantity", "l_extendedprice").alias("line"))
     return numbers_from_lines(lines, "line")
@@ -193,6 +218,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "normalize_by_max": _normalize_by_max,
         "band_probability": _numbers_query(numbers.band_probability, "lineitem", "l_quantity"),
         "number_report": _numbers_query(number_report, "lineitem", "l_extendedprice"),
+        "reduce_by_function": _reduce_by_function,
+        "best_by_comparator": _best_by_comparator,
         "parse_numbers": _parse_numbers,
         "tokenize": _words_query(words.tokenize),
         "doc_term_freq": _words_query(words.doc_term_freq),
@@ -323,6 +350,10 @@ def _own_oracle_sql() -> dict[str, str]:
         "number_report": f"""SELECT count(*) AS n, max(l_extendedprice) AS max_value,
   avg({band.format('l_extendedprice')}) AS probability
   FROM lineitem, (SELECT max(l_extendedprice) AS mx FROM lineitem)""",
+        "reduce_by_function": """SELECT max(l_quantity) - min(l_quantity) AS spread, bit_xor(l_orderkey) AS keys
+  FROM lineitem""",
+        "best_by_comparator": """SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem
+  ORDER BY l_extendedprice / l_quantity DESC, l_orderkey, l_linenumber LIMIT 1""",
         "parse_numbers": """SELECT l_quantity AS x FROM lineitem UNION ALL SELECT l_extendedprice FROM lineitem""",
         "tokenize": f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, word FROM ({_TOKENS_SQL})",
         "doc_term_freq": f"SELECT doc_id, word, count(*) AS n FROM ({_TOKENS_SQL}) GROUP BY doc_id, word",

@@ -99,28 +99,35 @@ class Centers(NamedTuple):
 
         return single(v) if group is None else grouped(group, v)
 
-    def sums(self, points: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    def moved(self, sums: list) -> Centers:
+        """Centres at the weighted means of their points, from rows ``(g, cid, sums, w)``; others stay where they are."""
+        means = {(row.g, row.cid): np.array(row.sums) / row.w for row in sums if row.w > 0}
+        owners = zip(np.repeat(self.groups, self.count).tolist(), self.cids.tolist(), self.coords)
+        return self._replace(coords=np.array([means.get((g, cid), c) for g, cid, c in owners]))
+
+    def sums(self, points: DataFrame, fan_in: int = FAN_IN, n_tasks: int | None = None, coordinates: bool = True) -> DataFrame:
         """``(g, cid, sums, w)``: weighted coordinate sums and weights of the ``points(g, v, w)`` nearest to each centre.
 
         One pass: a task adds up what it reads, so it yields at most a row per centre. Rows of one centre are added
-        ``fan_in`` at a time, level by level. No coordinate becomes a row of its own.
+        ``fan_in`` at a time, level by level. No coordinate becomes a row of its own, and without ``coordinates`` only
+        weights are added up.
         """
         names, first, count, cids, coords = self
         dims, columns = coords.shape[1], coords.T.copy()
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums, weights = np.zeros(coords.shape), np.zeros(len(coords))
+            sums, weights = np.zeros((len(coords), dims if coordinates else 0)), np.zeros(len(coords))
             for batch in batches:
                 x = tasks.coordinates(batch.column("v"), dims)
                 w, group = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("w", "g"))
                 g = np.searchsorted(names, group).clip(max=len(names) - 1)
                 known = names[g] == group
                 index, _ = tasks.nearest_of_own(x, columns, first[g], np.where(known, count[g], 0))
-                tasks.add_to(sums, weights, x[:, known], w[known], index[known])
+                tasks.add_to(sums, weights, x[: sums.shape[1], known], w[known], index[known])
             yield self.partial_sums(sums, weights)
 
         rows = points.select(F.col("g").cast("long").alias("g"), "v", "w")
-        return total_sums(rows.mapInArrow(add, PARTIAL_SUMS), tasks_of(rows), fan_in)
+        return total_sums(rows.mapInArrow(add, PARTIAL_SUMS), n_tasks or tasks_of(rows), fan_in)
 
     def partial_sums(self, sums: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
         """What a task has for the centres that got weight there, as ``PARTIAL_SUMS``."""
@@ -134,11 +141,12 @@ PARTIAL_SUMS = f"g long, cid long, sums array<double>, w double, {TASK} long"
 
 
 def total_sums(partials: DataFrame, n_tasks: int, fan_in: int = FAN_IN) -> DataFrame:
-    """``(g, cid, sums, w)`` from the ``PARTIAL_SUMS`` of tasks."""
+    """``(g, cid, sums, w)`` from the ``PARTIAL_SUMS`` of tasks; further columns are added up too."""
 
     def total(table: pa.Table) -> pa.Table:
         sums = table["sums"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).sum(axis=0)
-        return pa.table({"sums": pa.array([sums]), "w": [table["w"].to_numpy().sum()]})
+        others = {name: [table[name].to_numpy().sum()] for name in table.column_names if name != "sums"}
+        return pa.table({"sums": pa.array([sums]), **others})
 
     return merge_partials(partials, ["g", "cid"], total, n_tasks, fan_in)
 

@@ -11,9 +11,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from mrkit.operators import tasks
 from mrkit.operators.centers import Centers, checked_weight
 from mrkit.session import Generations, checkpoint
 
@@ -21,6 +24,9 @@ from mrkit.session import Generations, checkpoint
 PICK_ROWS = 50_000
 PICK_RANGES = 4096
 
+# Rows whose vectors are put in order with them, rather than fetched in a job of their own.
+CARRY_ROWS = 4096
+
 # Groups whose ranges and picks, some 50 bytes each, are broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -54,8 +60,16 @@ def weighted_pick(
         picked = _pick_distributed(rows, u.select(F.col(by).cast("long").alias("pick_group"), "u"), pick_rows)
         return _rows_of(points, group, picked)
     draws = u if isinstance(u, Mapping) else {0: u}
-    if extents is None:
-        extents = group_extents(points, by)
+    extents = group_extents(points, by) if extents is None else extents
+    picks = [(row.pick_group, row.pick_key) for row in _picks(rows, draws, extents, pick_rows)]
+    return _rows_of(points, group, picks)
+
+
+def _picks(rows: DataFrame, draws: Mapping[int, float], extents: Mapping, pick_rows: int, carry: str | None = None) -> list[Row]:
+    """``(pick_group, pick_key, ...)`` of the picked ``rows(pick_group, pick_id, pick_mass)``.
+
+    With ``carry`` the picks have that column too, if there are at most ``CARRY_ROWS`` rows to put in order.
+    """
     ranges = {g: (lo, hi, 0.0, None, n) for g, (n, lo, hi) in extents.items() if g in draws}
     while ranges and max(n for *_, n in ranges.values()) > pick_rows:
         shift = _shift(max(hi - lo for lo, hi, *_ in ranges.values()))
@@ -70,16 +84,18 @@ def weighted_pick(
             )
             for row in chosen
         }
-    found = _first_reaching(_within(rows, ranges, draws).withColumnRenamed("pick_id", "pick_key"), "pick_mass")
-    picks = [(row.pick_group, row.pick_key) for row in found.collect()]
-    if len(picks) == 1:
-        return points.where((group == picks[0][0]) & (F.col("id") == picks[0][1]))
-    picked = points.sparkSession.createDataFrame(picks, "pick_group long, pick_key long")
-    return _rows_of(points, group, F.broadcast(picked) if len(picks) <= BROADCAST_ROWS else picked)
+    carry = carry if carry and sum(n for *_, n in ranges.values()) <= CARRY_ROWS else "pick_mass"
+    return _first_reaching(_within(rows, ranges, draws).withColumnRenamed("pick_id", "pick_key"), carry).collect()
 
 
-def _rows_of(points: DataFrame, group: Column, picked: DataFrame) -> DataFrame:
-    return points.join(picked, (group == F.col("pick_group")) & (F.col("id") == F.col("pick_key")), "left_semi")
+def _rows_of(points: DataFrame, group: Column, picks: list[tuple[int, int]] | DataFrame) -> DataFrame:
+    if isinstance(picks, list):
+        if len(picks) == 1:
+            return points.where((group == picks[0][0]) & (F.col("id") == picks[0][1]))
+        few = len(picks) <= BROADCAST_ROWS
+        picks = points.sparkSession.createDataFrame(picks, "pick_group long, pick_key long")
+        picks = F.broadcast(picks) if few else picks
+    return points.join(picks, (group == F.col("pick_group")) & (F.col("id") == F.col("pick_key")), "left_semi")
 
 
 def _pick_distributed(rows: DataFrame, draws: DataFrame, pick_rows: int) -> DataFrame:
@@ -129,32 +145,33 @@ def _within(rows: DataFrame, ranges: Mapping[int, tuple], draws: Mapping[int, fl
     data = [(g, lo, hi, before, total, float(draws[g])) for g, (lo, hi, before, total, _) in ranges.items()]
     if len(data) == 1:
         g, lo, hi, before, total, u = data[0]
-        inside = (F.col("pick_group") == g) & F.col("pick_id").between(lo, hi)
-        constants = {"pick_before": F.lit(before), "pick_total": F.lit(total).cast("double"), "pick_u": F.lit(u)}
-        return rows.where(inside).withColumns(constants)
+        # As text, since every part of an expression built in Python is a call to the JVM.
+        total = "CAST(NULL AS DOUBLE)" if total is None else f"{float(total)!r}D"
+        constants = f"{float(before)!r}D AS pick_before", f"{total} AS pick_total", f"{u!r}D AS pick_u"
+        return rows.where(f"pick_group = {g} AND pick_id BETWEEN {lo} AND {hi}").selectExpr("*", *constants)
     schema = "pick_group long, pick_lo long, pick_hi long, pick_before double, pick_total double, pick_u double"
     bounds = rows.sparkSession.createDataFrame(data, schema)
     bounds = F.broadcast(bounds) if len(data) <= BROADCAST_ROWS else bounds
-    inside = F.col("pick_id").between(F.col("pick_lo"), F.col("pick_hi"))
-    return rows.join(bounds, "pick_group").where(inside).drop("pick_lo", "pick_hi")
+    return rows.join(bounds, "pick_group").where("pick_id BETWEEN pick_lo AND pick_hi").drop("pick_lo", "pick_hi")
 
 
 def _first_reaching(rows: DataFrame, keep: str) -> DataFrame:
     """Per group the first key, with mass, at which the running mass reaches the share ``u`` of the total."""
-    group = Window.partitionBy("pick_group")
-    ahead = F.sum("pick_mass").over(group.orderBy("pick_key").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumns(
-        {
-            "pick_total": F.coalesce("pick_total", F.sum("pick_mass").over(group)),
-            "pick_before": F.col("pick_before") + F.coalesce(ahead, F.lit(0.0)),
-        }
+    group = "OVER (PARTITION BY pick_group"
+    ahead = f"sum(pick_mass) {group} ORDER BY pick_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    rows = rows.selectExpr(
+        "pick_group",
+        "pick_key",
+        "pick_u",
+        "pick_mass",
+        *([keep] if keep != "pick_mass" else []),
+        f"coalesce(pick_total, sum(pick_mass) {group})) AS pick_total",
+        f"pick_before + coalesce({ahead}, 0D) AS pick_before",
     )
-    row = F.struct("pick_key", "pick_before", "pick_total", keep)
-    reached = F.col("pick_before") + F.col("pick_mass") >= F.col("pick_u") * F.col("pick_total")
-    massive = F.col("pick_mass") > 0
-    first, last = F.min(F.when(massive & reached, row)), F.max(F.when(massive, row))
-    picked = rows.groupBy("pick_group").agg(F.coalesce(first, last).alias("picked"))
-    return picked.where(F.col("picked").isNotNull()).select("pick_group", "picked.*")
+    row = f"struct(pick_key, pick_before, pick_total, {keep})"
+    first = f"min(CASE WHEN pick_mass > 0 AND pick_before + pick_mass >= pick_u * pick_total THEN {row} END)"
+    picked = f"coalesce({first}, max(CASE WHEN pick_mass > 0 THEN {row} END)) AS picked"
+    return rows.groupBy("pick_group").agg(F.expr(picked)).where("picked IS NOT NULL").select("pick_group", "picked.*")
 
 
 def weighted_seeding(
@@ -169,36 +186,67 @@ def weighted_seeding(
 
     The first is uniform over the points; each later one is drawn with a mass of weight times distance (not squared)
     to the nearest one chosen so far. A group with fewer distinct points than draws yields only those.
-    Distances are computed anew in each round and written down after ``block`` rounds, so neither the plan nor the
-    work of a round grows with the number of centres.
+    Distances are written down after ``block`` rounds, so neither the plan nor the work of a round grows with the number
+    of centres. In between, centres are taken in anew, but each only by points that may be nearer to it than to their own.
     """
     draws = draws if isinstance(draws, Mapping) else {0: draws}
     extents = group_extents(points, by) if extents is None else extents
-    group = F.col(by) if by else None
-    state = points.withColumn("known", F.lit(None).cast("double"))
+    group = F.col(by).cast("long") if by else F.lit(0).cast("long")
+    state = points.withColumns({"w": checked_weight("w"), "known": F.lit(None).cast(NEAREST)})
+    chosen: dict[int, dict[int, np.ndarray]] = {}
+    active, written = set(extents), 0
     with Generations(points.sparkSession) as generations:
-        return _seeds(state, draws, by, group, extents, pick_rows, block, generations)
+        for i in range(max(len(u) for u in draws.values())):
+            if i - written == block:
+                state = generations.keep(state.withColumn("known", _improved(chosen, written, i)(group, "v", "known")))
+                written = i
+            near = F.col("known") if i == written else _improved(chosen, written, i)(group, "v", "known")
+            mass = F.lit(1.0) if i == 0 else F.col("w") * near["d"]
+            rows = state.select(group.alias("pick_group"), F.col("id").cast("long").alias("pick_id"), mass.alias("pick_mass"), "v")
+            turn = {g: draws[g][i] for g in active if i < len(draws[g])}
+            picks = _picks(rows, turn, extents, pick_rows, "v")
+            if picks and "v" not in picks[0]:
+                fetched = _rows_of(state, group, [(row.pick_group, row.pick_key) for row in picks])
+                picks = fetched.select(group.alias("pick_group"), "v").collect()
+            if not picks:
+                break
+            for row in picks:
+                chosen.setdefault(row.pick_group, {})[i] = np.array(row.v, dtype=np.float64)
+            active = {row.pick_group for row in picks}
+    return Centers.build(chosen)
 
 
-def _seeds(state, draws, by, group, extents, pick_rows, block, generations) -> Centers:
-    chosen: dict[int, dict[int, np.ndarray]] = {}
-    recent: dict[int, dict[int, np.ndarray]] = {}
-    active = set(extents)
-
-    for i in range(max(len(u) for u in draws.values())):
-        fresh = Centers.build(recent).nearest(F.col("v"), group)["d"] if recent else F.lit(None).cast("double")
-        d = F.least("known", fresh)
-        if len(recent) and i % block == 0:
-            state = generations.keep(state.withColumn("known", d))
-            d, recent = F.col("known"), {}
-        mass = F.lit(1.0) if i == 0 else checked_weight("w") * d
-        turn = {g: draws[g][i] for g in active if i < len(draws[g])}
-        picked = weighted_pick(state, turn, mass, by, extents, pick_rows)
-        active = set()
-        for row in picked.select((group if by else F.lit(0)).alias("g"), "v").collect():
-            for centers in (chosen, recent):
-                centers.setdefault(row.g, {})[i] = np.array(row.v, dtype=np.float64)
-            active.add(row.g)
-        if not active:
-            break
-    return Centers.build(chosen)
+NEAREST = "struct<c: long, d: double>"
+
+
+def _improved(chosen: Mapping[int, Mapping[int, np.ndarray]], since: int, until: int):
+    """A function of group, vector and ``NEAREST`` so far that takes in the centres of the draws from ``since`` on.
+
+    A centre is only compared with points that it can be nearer to than their own centre, see ``tasks.improve``.
+    """
+    groups = sorted(chosen)
+    count = np.array([len(chosen[g]) for g in groups])
+    first = np.cumsum(count) - count
+    coords = np.array([c for g in groups for c in chosen[g].values()])
+    owner = np.repeat(np.arange(len(groups)), count)
+    rounds = []
+    for i in range(since, until):
+        # Draws of a group are counted on from 0, so the draw is also the place among its centres.
+        new = np.where(count > i, first + i, -1)
+        gaps = tasks.distance(coords.T, coords[new[owner]].T)
+        rounds.append((new, np.where(new[owner] < 0, np.inf, gaps)))
+    names, columns = np.array(groups), coords.T.copy()
+
+    @F.arrow_udf(NEAREST)
+    def improved(group: pa.Array, v: pa.Array, known: pa.Array) -> pa.Array:
+        x = tasks.coordinates(v, len(columns))
+        g = np.searchsorted(names, group.to_numpy(zero_copy_only=False)).clip(max=len(names) - 1)
+        own = pc.fill_null(known.field("c"), -1).to_numpy(zero_copy_only=False).copy()
+        d = pc.fill_null(known.field("d"), np.inf).to_numpy(zero_copy_only=False).copy()
+        # Places of centres are counted within the group outside of this function.
+        own = np.where(own < 0, -1, own + first[g])
+        tasks.improve(x, g, own, d, columns, rounds)
+        own = np.where(own < 0, -1, own - first[g])
+        return pa.StructArray.from_arrays([pa.array(own), pa.array(d)], ["c", "d"])
+
+    return improved

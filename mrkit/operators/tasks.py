@@ -17,6 +17,10 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+# By how much bounds are widened, relatively; distances are rounded by some 1e-14.
+SLACK = 1 + 1e-9
+
+
 def coordinates(v: pa.Array, dims: int) -> np.ndarray:
     """A list array as a ``(dims, n)`` matrix of doubles."""
     if isinstance(v, pa.ChunkedArray):
@@ -55,15 +59,87 @@ def nearest_of_own(x: np.ndarray, coords: np.ndarray, first: np.ndarray, count:
     """As ``nearest``, where column ``i`` of ``x`` may only choose from ``count[i]`` columns of ``coords`` on from
     ``first[i]``. Columns without a choice get an infinite distance."""
     index, best = first.copy(), np.full(x.shape[1], np.inf)
-    for i in range(count.max(initial=0)):
-        rows = np.flatnonzero(count > i)
-        candidates = first[rows] + i
-        d = distance(x if len(rows) == x.shape[1] else x[:, rows], coords[:, candidates])
+    for rows, candidates, d in _each_own(x, coords, first, count):
         closer = d < best[rows]
-        index[rows[closer]], best[rows[closer]] = candidates[closer], d[closer]
+        index[rows] = np.where(closer, candidates, index[rows])
+        best[rows] = np.where(closer, d, best[rows])
     return index, best
 
 
+def _each_own(x: np.ndarray, coords: np.ndarray, first: np.ndarray, count: np.ndarray):
+    """One candidate after the other: the columns that have it, which it is, and the distances."""
+    one_group = len(first) > 0 and first.min() == first.max() and count.min() == count.max()
+    for i in range(count.max(initial=0)):
+        if one_group:
+            # A single centre is not copied for every point.
+            yield slice(None), first + i, distance(x, coords[:, first[0] + i])
+        else:
+            rows = np.flatnonzero(count > i)
+            yield rows, first[rows] + i, distance(x if len(rows) == x.shape[1] else x[:, rows], coords[:, first[rows] + i])
+
+
+def two_nearest_of_own(x: np.ndarray, coords: np.ndarray, first: np.ndarray, count: np.ndarray):
+    """As ``nearest_of_own``, and the distance to the second nearest as well."""
+    index, best, second = first.copy(), np.full(x.shape[1], np.inf), np.full(x.shape[1], np.inf)
+    for rows, candidates, d in _each_own(x, coords, first, count):
+        closer = d < best[rows]
+        second[rows] = np.where(closer, best[rows], np.minimum(second[rows], d))
+        index[rows] = np.where(closer, candidates, index[rows])
+        best[rows] = np.where(closer, d, best[rows])
+    return index, best, second
+
+
+def longest_of_others(way: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For every centre the longest way that another one of its group went."""
+    longest = np.zeros(len(way))
+    for begin, n in zip(first.tolist(), count.tolist()):
+        if n > 1:
+            own = way[begin : begin + n]
+            top = np.argsort(own, kind="stable")[-2:]
+            longest[begin : begin + n] = own[top[1]]
+            longest[begin + top[1]] = own[top[0]]
+    return longest
+
+
+def tighten(x, own, upper, lower, coords, first, count, way, others) -> np.ndarray:
+    """Brings centre and bounds of every point up to date after the centres went their ways; all are changed in place.
+
+    Gives the number of distances that were computed for each point: none if the bounds stay apart, one if the exact
+    distance to the own centre keeps them apart, and all otherwise. Slack makes up for rounding.
+    """
+    upper[:] = (upper + way[own]) * SLACK
+    lower[:] = lower - others[own] * SLACK
+    computed = np.zeros(len(own), dtype=np.int64)
+    rows = np.flatnonzero(~(upper * SLACK < lower))
+    upper[rows] = distance(x[:, rows], coords[:, own[rows]])
+    computed[rows] = 1
+    rows = rows[~(upper[rows] * SLACK < lower[rows])]
+    own[rows], upper[rows], lower[rows] = two_nearest_of_own(x[:, rows], coords, first[rows], count[rows])
+    computed[rows] += count[rows]
+    return computed
+
+
+def improve(x: np.ndarray, group: np.ndarray, own: np.ndarray, d: np.ndarray, coords: np.ndarray, rounds: list) -> int:
+    """Takes new centres in: ``own`` and ``d``, index of and distance to the nearest centre, are changed in place.
+
+    Each round has, per group, the column of ``coords`` that is new (-1 if there is none), and the distance of every
+    centre to the new one of its group. A new centre that is at least twice as far from a point's own centre as the
+    point is cannot be nearer; its distance is not computed. Rounding is far below the slack. Gives the number of
+    distances that were.
+    """
+    computed = 0
+    for new, gaps in rounds:
+        near = (own < 0) | (gaps[own] < 2 * SLACK * d)
+        rows = np.flatnonzero(near & (new[group] >= 0))
+        computed += len(rows)
+        candidates = new[group[rows]]
+        same = len(rows) and len(new) == 1
+        found = distance(x if len(rows) == len(d) else x[:, rows], coords[:, candidates[0]] if same else coords[:, candidates])
+        closer = found < d[rows]
+        own[rows[closer]], d[rows[closer]] = candidates[closer], found[closer]
+    return computed
+
+
 def add_to(sums: np.ndarray, weights: np.ndarray, x: np.ndarray, w: np.ndarray, index: np.ndarray) -> None:
     """Adds weights and weighted coordinates of the columns of ``x`` to the rows of ``sums`` that ``index`` names."""
     weights += np.bincount(index, w, len(sums))

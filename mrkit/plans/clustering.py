@@ -10,15 +10,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mrkit.operators import tasks
-from mrkit.operators.centers import Centers, checked_weight
-from mrkit.operators.seeding import BROADCAST_ROWS, PICK_ROWS, weighted_seeding
+from mrkit.operators.centers import checked_weight
+from mrkit.operators.lloyd import lloyd_iterations
+from mrkit.operators.seeding import BROADCAST_ROWS, PICK_ROWS, group_extents, weighted_seeding
 from mrkit.session import checkpoint
 
 # Coordinates of a group that one task may hold, and values of centres that the driver may hold.
@@ -61,13 +61,13 @@ def weighted_kcenters(
     group = (F.col(by) if by else F.lit(0)).cast("int")
     points = points.select(group.alias("g"), "id", "v", weight.alias("w"))
     dims = dimensions(points)
+    if by is None:
+        result = _cluster_in_jobs(points, group_extents(points), k, iters, seed, draws, dims, pick_rows)
+        return result.drop("g")
     extents = points.groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     limit = max(1, task_values // dims)
     groups, rows, largest = extents.agg(F.count("*"), F.sum("n"), F.max("n")).first()
-    if by is None:
-        large = {row.g: (row.n, row.lo, row.hi) for row in extents.collect()}
-        result = _cluster_in_jobs(points, large, k, iters, seed, draws, dims, pick_rows)
-    elif largest <= limit:
+    if largest <= limit:
         result = cluster_in_tasks(points, k, iters, seed, draws, groups, rows, dims)
     else:
         large = {row.g: (row.n, row.lo, row.hi) for row in extents.where(F.col("n") > limit).collect()}
@@ -77,7 +77,7 @@ def weighted_kcenters(
             names = F.broadcast(names) if len(large) <= BROADCAST_ROWS else names
             small = points.join(names, "g", "left_anti")
             result = result.unionByName(cluster_in_tasks(small, k, iters, seed, draws, groups, rows, dims))
-    return result.withColumnRenamed("g", by) if by else result.drop("g")
+    return result.withColumnRenamed("g", by)
 
 
 def dimensions(points: DataFrame) -> int:
@@ -145,15 +145,10 @@ def _cluster_in_jobs(
         group_draws = {g: draws or tasks.group_draws(seed, g, k) for g in extents}
         chunk = points.where(F.col("g").isin(list(extents))).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            centers = weighted_seeding(chunk, group_draws, "g", extents, pick_rows)
-            for _ in range(iters):
-                moved = {(row.g, row.cid): np.array(row.sums) / row.w for row in centers.sums(chunk).collect()}
-                members = centers.members().items()
-                centers = Centers.build({g: {i: moved.get((g, i), c) for i, c in old.items()} for g, old in members})
-            weights = centers.sums(chunk).select("g", "cid", "w").collect()
+            seeds = weighted_seeding(chunk, group_draws, "g", extents, pick_rows)
+            found = lloyd_iterations(chunk, seeds, iters, chunk._jdf.queryExecution().toRdd().getNumPartitions())
         finally:
             chunk.unpersist()
-        weights = {(row.g, row.cid): row.w for row in weights}
-        result = centers.to_dataframe(points.sparkSession, weights)
+        result = found.centers.to_dataframe(points.sparkSession, found.weights)
         results.append(checkpoint(result) if len(names) > at_once else result)
     return reduce(DataFrame.unionByName, results)
