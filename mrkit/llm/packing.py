@@ -17,13 +17,14 @@ NULL as ``doc_id``. Extra columns are ignored. No documents give no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -32,17 +33,20 @@ from mrkit.llm.common import chunked, kept_in_process, texts
 CAPACITY = 4096
 END = 2
 
-# Fixed values of the tokenizer: what the last token of a piece ends in, and how it cuts lower-case text into pieces.
+# Fixed values of the tokenizer: what the last token of a piece ends in, and how it cuts lower-case text into pieces. Letters
+# and numbers are those of the first 256 characters, as others do not come here.
 END_OF_PIECE = "</w>"
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+LETTERS, NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+").findall
 
-# Words of these characters are cut into pieces here, as they have no other normal form; the tokenizer does all others.
-SIMPLE = regex.compile(r"[\x21-\x7e\xa1-\xff]+").fullmatch
-WORDS_AT_ONCE = 256
+# Texts of these characters are cut into pieces here, as they have no other normal form; the tokenizer does all others.
+PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e\xa1-\xff]*").fullmatch
+WHOLE = "\0"
+PIECES_AT_ONCE = 256
 
-# Tokens that a task packs together, and words whose tokens a worker remembers.
+# Tokens that a task packs together, and pieces whose tokens a worker remembers.
 WINDOW_TOKENS = 1 << 22
-WORDS_KEPT = 1 << 19
+PIECES_KEPT = 1 << 18
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -50,18 +54,28 @@ SCHEMA = (
 
 
 class WordTokenizer:
-    """Token ids of texts as little-endian unsigned 32-bit integers; remembers the ids of words."""
+    """Token ids of texts as little-endian unsigned 32-bit integers; remembers the ids of pieces.
+
+    A plain text is cut into pieces as a whole. Any other is taken word by word, and a word that the tokenizer has to see
+    itself stands behind a mark that no piece has. Every piece has a number, and the ids of all of them lie in one array,
+    so a text is a lookup per piece and a gathering of ids.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.pieces = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(END_OF_PIECE)]] = True
         added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, added)) or "(?!)").search
+        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)").search
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.ids, self.starts = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -71,38 +85,54 @@ class WordTokenizer:
         return loaded[path]
 
     def encode(self, some: list[bytes]) -> list[bytes]:
-        split = [text.split() for text in some]
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        unseen = list(set().union(*split).difference(self.words)) if split else []
-        simple, others = [], []
-        for word in unseen:
-            text = word.decode()
-            plain = SIMPLE(text) and not self.special(text)
-            (simple if plain else others).append((word, text))
-        split_words = [(word, PIECES(text.lower())) for word, text in simple]
-        if len(self.pieces) > WORDS_KEPT:
-            self.pieces.clear()
-        fresh = set().union(*(pieces for _, pieces in split_words)).difference(self.pieces)
-        for chunk in chunked(fresh, WORDS_AT_ONCE):
-            self.pieces.update(zip(chunk, self._encode_pieces(chunk)))
-        ids = self.pieces.__getitem__
-        self.words.update((word, b"".join(map(ids, pieces))) for word, pieces in split_words)
-        self.words.update((word, self._ids(text).tobytes()) for word, text in others)
-        ids = self.words.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
+        cut = [self._cut(text) for text in some]
+        pieces = list(chain.from_iterable(cut))
+        if len(self.numbers) > PIECES_KEPT:
+            self._forget()
+        numbers = self._look_up(pieces)
+        unseen = np.flatnonzero(numbers < 0).tolist()
+        if unseen:
+            missing = [pieces[i] for i in unseen]
+            self._learn(set(missing))
+            numbers[unseen] = self._look_up(missing)
+        begin, sizes = self.starts[numbers], self.starts[numbers + 1] - self.starts[numbers]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        data = self.ids[np.repeat(begin - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        edges = (4 * ends[np.cumsum([0, *map(len, cut)])]).tolist()
+        return [data[a:b] for a, b in zip(edges, edges[1:])]
+
+    def _cut(self, text: bytes) -> list[str]:
+        whole = text.decode()
+        if PLAIN(whole) and not self.special(whole):
+            return PIECES(whole.lower())
+        words = (word.decode() for word in text.split())
+        simple = lambda word: PLAIN(word) and not self.special(word)
+        return [piece for word in words for piece in (PIECES(word.lower()) if simple(word) else [WHOLE + word])]
+
+    def _look_up(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+
+    def _learn(self, pieces: set[str]) -> None:
+        whole = [piece for piece in pieces if piece.startswith(WHOLE)]
+        chunks = list(chunked(pieces.difference(whole), PIECES_AT_ONCE))
+        encoded = [self._encode_pieces(chunk) for chunk in chunks]
+        encoded += [(ids, [len(ids)]) for ids in (self._ids(word.removeprefix(WHOLE)) for word in whole)]
+        first = len(self.starts) - 1
+        self.numbers.update(zip(chain(chain.from_iterable(chunks), whole), count(first)))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([n for _, n in encoded]))])
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in encoded)])
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Many pieces as one text; the last token of each is one that ends a piece."""
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pieces as one text, and how many each has; the last token of each is one that ends a piece."""
         ids = self._ids(" ".join(pieces))
-        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(pieces):
-            return [self._ids(piece).tobytes() for piece in pieces]
-        data = ids.tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+            each = [self._ids(piece) for piece in pieces]
+            return np.concatenate(each), np.array([len(own) for own in each])
+        return ids, np.diff(ends, prepend=0)
 
 
 def fill(lengths: list[int], counts: dict[int, int], capacity: int) -> dict[int, int]:
