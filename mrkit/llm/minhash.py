@@ -104,9 +104,13 @@ def _described(words: int, text: Column) -> Column:
 
 
 def _full_set(words: int, text: Column) -> Column:
-    @F.arrow_udf("binary")
+    """The set, and its name as ``_described`` gives it; both in one function, as each takes a worker beside the task."""
+
+    @F.arrow_udf("struct<set: binary, name: binary>")
     def full_set(text: pa.Array) -> pa.Array:
-        return pa.array([shingles(each, words).tobytes() for each in texts(text)], pa.binary())
+        sets = [shingles(each, words).tobytes() for each in texts(text)]
+        names = [xxhash.xxh3_128_digest(each) for each in sets]
+        return pa.StructArray.from_arrays([pa.array(sets, pa.binary()), pa.array(names, pa.binary())], ["set", "name"])
 
     return full_set.asNondeterministic()(text)
 
@@ -142,9 +146,9 @@ def _components(documents: DataFrame, classes: DataFrame, words: int, similarity
     members = checkpoint(buckets.join(shared, "band"))
     candidates = members.select("rep").distinct().join(classes.select("rep", "name"), "rep")
     texts_again = documents.join(candidates.withColumnRenamed("rep", "doc_id"), "doc_id")
-    sets = texts_again.select(F.col("doc_id").alias("rep"), "name", _full_set(words, F.col("text")).alias("set"))
+    sets = texts_again.select(F.col("doc_id").alias("rep"), "name", _full_set(words, F.col("text")).alias("s"))
     # A repeated id can have another text.
-    sets = checkpoint(sets.where(_named("set") == F.col("name")).select("rep", "set"))
+    sets = checkpoint(sets.where(F.col("s.name") == F.col("name")).select("rep", "s.set"))
 
     pairs = members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     links = checkpoint(_verified(pairs, sets, similarity))
@@ -163,14 +167,6 @@ def _components(documents: DataFrame, classes: DataFrame, words: int, similarity
     return connected_components(links.union(more)) if more.limit(1).count() else components
 
 
-def _named(set_: str) -> Column:
-    @F.arrow_udf("binary")
-    def named(sets: pa.Array) -> pa.Array:
-        return pa.array([xxhash.xxh3_128_digest(each.as_buffer()) for each in sets], pa.binary())
-
-    return named(set_)
-
-
 def _small_pairs(still: DataFrame) -> DataFrame:
     """Pairs of different components in one bucket of bounded size that the leader was not part of."""
     a, b = still.alias("a"), still.alias("b")

@@ -44,6 +44,9 @@ from mrkit.session import checkpoint
 LENGTH = 400
 SEED = 128
 
+# Words of a passage whose repeats are told although they may be shorter, and of what stands for it.
+PASSAGE_WORDS, PASSAGE_SEED = 51, 34
+
 # Ranges of windows that are counted one after another for hot anchors; each divides the one before.
 RANGES = (100, 25, 5, 1)
 
@@ -142,14 +145,23 @@ def spans(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(found).T)
 
 
-def _text_hash(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+def word_anchors(text: bytes, words: int = PASSAGE_WORDS, seed: int = PASSAGE_SEED) -> np.ndarray:
+    """Hashes of the ``seed`` words with the smallest hash in every string of so many words, once per place."""
+    split = text.split()
+    if len(split) < words:
+        return np.zeros(0, dtype=np.int64)
+    hashed = seed_hashes(np.fromiter(map(xxhash.xxh3_64_intdigest, split), dtype=np.uint64, count=len(split)), seed)
+    windows = np.lib.stride_tricks.sliding_window_view(hashed, words - seed + 1)
+    return hashed[np.unique(windows.argmin(axis=1) + np.arange(len(windows)))].view(np.int64)
+
 
+def _scan(text: Column, length: int, word_bytes: int, passages: bool) -> Column:
+    """Length and digest of a text, its spans and, if ``passages`` are wanted, the anchors of its words.
 
-def _scan(text: Column, length: int, word_bytes: int) -> Column:
-    """Hash, length and digest of a text, and its spans; ``span`` is a hash of the bytes and the anchor's place."""
+    ``span`` is a hash of the bytes and the anchor's place.
+    """
 
-    @F.arrow_udf(f"struct<hash: long, n_bytes: long, sha256: string, spans: {SPANS}>")
+    @F.arrow_udf(f"struct<n_bytes: long, sha256: string, anchors: array<long>, spans: {SPANS}>")
     def scan(text: pa.Array) -> pa.Array:
         rows, found = [], [np.zeros((5, 0), dtype=np.int64)]
         for data in texts(text):
@@ -159,7 +171,7 @@ def _scan(text: Column, length: int, word_bytes: int) -> Column:
             cuts = zip(lo.tolist(), hi.tolist(), place.tolist())
             names = np.array([xxhash.xxh3_64_intdigest(wide[a:b], seed=at) for a, b, at in cuts], dtype=np.uint64)
             found.append(np.stack([key, (names ^ np.uint64(1 << 63)).view(np.int64), place, lo, hi]))
-            rows.append((_text_hash(data), len(data), hashlib.sha256(data).hexdigest()))
+            rows.append((len(data), hashlib.sha256(data).hexdigest(), word_anchors(data) if passages else ()))
         # As arrays and not as Python objects, of which there would be hundreds of bytes to each span.
         columns = [pa.array(c).cast(field.type) for c, field in zip(np.concatenate(found, axis=1), _SPAN_TYPE)]
         ends = np.cumsum([0, *(f.shape[1] for f in found[1:])]).astype(np.int32)
@@ -174,18 +186,10 @@ _SPAN_TYPE = pa.struct(
     [("key", pa.int64()), ("span", pa.int64()), ("place", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]
 )
 _SCAN_TYPE = pa.struct(
-    [("hash", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string()), ("spans", pa.list_(_SPAN_TYPE))]
+    [("n_bytes", pa.int64()), ("sha256", pa.string()), ("anchors", pa.list_(pa.int64())), ("spans", pa.list_(_SPAN_TYPE))]
 )
 
 
-def _hash_of(text: Column) -> Column:
-    @F.arrow_udf("long")
-    def hash_of(text: pa.Array) -> pa.Array:
-        return pa.array([_text_hash(data) for data in texts(text)], pa.int64())
-
-    return hash_of.asNondeterministic()(text)
-
-
 def covered(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal runs of the bytes that windows at these sorted places cover."""
     if not len(starts):
@@ -221,10 +225,13 @@ def repeated_windows(rows: list[dict], length: int = LENGTH) -> list[list[tuple[
 MARKS = "array<struct<lo: int, hi: int>>"
 
 
-def _repeats(documents: DataFrame, length: int, word_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """The scanned documents ``(doc_id, doc, hash, n_bytes, sha256)`` and ``(doc, hash, marks)`` of those with repeats."""
-    documents = documents.select("doc_id", F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"), "text")
-    scanned = documents.select("doc_id", "doc", _scan(F.col("text"), length, word_bytes).alias("s")).select("doc_id", "doc", "s.*")
+def _repeats(
+    documents: DataFrame, length: int, word_bytes: int, passages: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The scanned documents ``(doc_id, doc, hash, n_bytes, sha256, anchors)`` and ``(doc, hash, marks)`` of those with repeats."""
+    documents = _named(documents).select("doc_id", "doc", "hash", "text")
+    scanned = documents.select("doc_id", "doc", "hash", _scan(F.col("text"), length, word_bytes, passages).alias("s"))
+    scanned = scanned.select("doc_id", "doc", "hash", "s.*")
     scanned = checkpoint(scanned)
     occurrences = scanned.select("doc", "hash", F.inline("spans"))
     # Written down, so that both sides of the join are plain shuffles and a hot key can be split.
@@ -244,6 +251,11 @@ def _repeats(documents: DataFrame, length: int, word_bytes: int) -> tuple[DataFr
     return scanned, checkpoint(per_text)
 
 
+def _named(documents: DataFrame, doc: str = "doc", hash_: str = "hash") -> DataFrame:
+    """Adds the names of a text: its id, and a hash, as ids may be missing or stand for several texts."""
+    return documents.withColumns({doc: F.coalesce("doc_id", F.lit(0)).cast("long"), hash_: F.xxhash64("text")})
+
+
 def _interval(lo: Column, hi: Column) -> Column:
     return F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
 
@@ -253,8 +265,7 @@ def _marked(documents: DataFrame, classes: DataFrame, length: int, word_bytes: i
     wanted = classes.groupBy("doc", "hash").agg(
         F.collect_list(F.struct("key", "span", "place", "n", "lo", "hi", "spans")).alias("wanted")
     )
-    texts_again = documents.join(wanted.withColumnRenamed("hash", "h"), "doc")
-    texts_again = texts_again.where(_hash_of(F.col("text")) == F.col("h")).dropDuplicates(["doc", "h"])
+    texts_again = documents.join(wanted, ["doc", "hash"]).dropDuplicates(["doc", "hash"])
 
     @F.arrow_udf("array<binary>")
     def cut(text: pa.Array, wanted: pa.Array) -> pa.Array:
@@ -262,7 +273,7 @@ def _marked(documents: DataFrame, classes: DataFrame, length: int, word_bytes: i
         return pa.array([[data[w["lo"] : w["hi"]] for w in spans] for data, spans in rows], pa.list_(pa.binary()))
 
     pieces = F.inline(F.arrays_zip(F.col("wanted"), cut.asNondeterministic()("text", "wanted").alias("data")))
-    spans_ = texts_again.select("doc", F.col("h").alias("hash"), pieces).select("doc", "hash", "wanted.*", F.col("data"))
+    spans_ = texts_again.select("doc", "hash", pieces).select("doc", "hash", "wanted.*", F.col("data"))
     spans_ = checkpoint(spans_)
 
     cold = spans_.where(F.col("spans") <= HOT_SPANS)
@@ -350,11 +361,14 @@ def without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def repeated_bytes(documents: DataFrame, length: int = LENGTH, word_bytes: int = 1) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` per document."""
-    scanned, repeats = _repeats(documents, length, word_bytes)
-    texts_again = documents.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"), "text")
-    texts_again = texts_again.join(repeats.withColumnRenamed("hash", "h"), "doc")
-    texts_again = texts_again.where(_hash_of(F.col("text")) == F.col("h"))
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages)`` per document.
+
+    ``n_passages`` says how many different strings of ``PASSAGE_SEED`` words, one or more out of each string of
+    ``PASSAGE_WORDS`` words, also occur elsewhere. So it is above 0 wherever more than fifty words are repeated, also if
+    they have less than ``length`` bytes and stay.
+    """
+    scanned, repeats = _repeats(documents, length, word_bytes, passages=True)
+    texts_again = _named(documents.select("doc_id", "text")).join(repeats, ["doc", "hash"])
 
     @F.arrow_udf("struct<n_removed: long, n_spans: long, kept_sha256: string>")
     def removed(text: pa.Array, marks: pa.Array) -> pa.Array:
@@ -365,18 +379,28 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH, word_bytes: int =
             rows.append({"n_removed": sum(b - a for a, b in runs), "n_spans": len(runs), "kept_sha256": digest})
         return pa.array(rows, pa.struct([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
-    changed = texts_again.select("doc", F.col("h").alias("hash"), removed.asNondeterministic()("text", "marks").alias("r"))
+    changed = texts_again.select("doc", "hash", removed.asNondeterministic()("text", "marks").alias("r"))
     changed = changed.groupBy("doc", "hash").agg(F.first("r").alias("r"))
-    rows = scanned.drop("spans").join(changed, ["doc", "hash"], "left")
+    rows = scanned.drop("spans", "anchors").join(changed, ["doc", "hash"], "left")
+    rows = rows.join(_passages(scanned), ["doc", "hash"], "left")
     return rows.select(
         "doc_id",
         "n_bytes",
         F.coalesce("r.n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("r.n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("r.kept_sha256", "sha256").alias("kept_sha256"),
+        F.coalesce("n_passages", F.lit(0)).alias("n_passages"),
     )
 
 
+def _passages(scanned: DataFrame) -> DataFrame:
+    """``(doc, hash, n_passages)`` of the texts with anchors of words that occur more than once."""
+    anchors = scanned.select("doc", "hash", F.explode("anchors").alias("anchor"))
+    often = checkpoint(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    again = checkpoint(anchors.join(often, "anchor", "left_semi"))
+    return again.distinct().groupBy("doc", "hash").agg(F.count("*").alias("n_passages"))
+
+
 def remove_repeated(
     documents: DataFrame, drop_empty: bool = True, length: int = LENGTH, word_bytes: int = 1
 ) -> DataFrame:
@@ -386,7 +410,7 @@ def remove_repeated(
     """
     _, repeats = _repeats(documents, length, word_bytes)
     doc, hash_, marks = (free_name(documents, name) for name in ("doc", "hash", "marks"))
-    rows = documents.withColumns({doc: F.coalesce("doc_id", F.lit(0)).cast("long"), hash_: _hash_of(F.col("text"))})
+    rows = _named(documents, doc, hash_)
     rows = rows.join(repeats.toDF(doc, hash_, marks), [doc, hash_], "left")
 
     @F.arrow_udf("string")

@@ -126,3 +126,24 @@ def test_other_lengths(spark, monkeypatch, hot, length):
     rows = [(i, "".join(word(rng.integers(0, 200)) + passages[p] for p in rng.integers(0, 3, 2))) for i in range(12)]
     found = suffix_dedup.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), length=length)
     assert _found(found) == _expected(rows)
+
+
+def test_passages_of_fifty_one_short_words_are_told(spark):
+    """Each has less than 400 bytes; fifty words of it are not always told, fifty-one are."""
+    words = [f"w{i * 7919 % 2003}" for i in range(2000)]
+    passage = words[:51]
+    rows = [(i, " ".join(words[100 * i : 100 * i + 60] + (passage if i in (3, 7) else []) + words[100 * i + 60 : 100 * i + 90])) for i in range(1, 12)]
+    rows += [(20, " ".join(words[1500:1530] + passage[:33])), (21, None), (22, " ".join(passage)), (23, " ".join(passage[:50]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in suffix_dedup.repeated_bytes(docs).collect()}
+    assert all(r.n_removed == 0 for r in found.values())
+    assert all((found[i].n_passages > 0) == (i in (3, 7, 22)) for i in found if i != 23)
+
+
+def test_many_rows_without_an_id(spark):
+    """Texts are found by id and hash together, so rows that share an id do not meet each other."""
+    long = " ".join(f"word{i}" for i in range(90))
+    rows = [(None, f"{i} " + long if i % 2 else f"short {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = suffix_dedup.repeated_bytes(docs).collect()
+    assert len(found) == 2000 and sum(r.n_removed > 0 for r in found) == 1000
