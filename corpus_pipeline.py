@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mrkit.llm import minhash, packing, pii, quality_rules, suffix_dedup
 from mrkit.llm.queries import KEY
-from mrkit.session import written
+from mrkit.session import Generations
 
 # Words of a shingle, and the similarity in percent from which documents are near duplicates.
 WORDS, SIMILARITY = 5, 80
@@ -67,10 +67,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet to the shared folder and read again by the next."""
+    """All stages over ``documents``, each written as Parquet to the shared folder and read again by the next.
+
+    What a stage has written is deleted when the next one is; the result still reads the last of these tables.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tables = Generations(spark)
     for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES):
-            docs = written(docs)
+            docs = tables.keep(docs)
+    tables.release()
     return docs
