@@ -9,6 +9,22 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Bytes of a batch on its way to a Python worker; a worker and its task hold several copies of it at once.
+BATCH_BYTES = 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> Iterator[None]:
+    """Bounds the batches of what is planned and run meanwhile, whatever the rows hold; the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(batch_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the checkpoint folder of the session and cuts its lineage there.
 
@@ -16,14 +32,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     setting gets a temporary folder.
     """
     _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as Parquet in a new subfolder of the checkpoint folder, read again. The files stay until ``Generations``
     or the user deletes them."""
     folder = f"{_ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4()}"
-    df.write.parquet(folder)
+    with small_batches(df.sparkSession):
+        df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
@@ -41,7 +59,8 @@ class Generations:
     def keep(self, df: DataFrame) -> DataFrame:
         old, new = self.folder, f"{_ensure_checkpoint_dir(self.spark)}/{uuid.uuid4()}"
         try:
-            df.write.parquet(new)
+            with small_batches(self.spark):
+                df.write.parquet(new)
         except BaseException:
             _delete(self.spark, new)
             raise

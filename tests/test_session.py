@@ -1,5 +1,6 @@
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from mrkit import session
@@ -39,3 +40,12 @@ def test_shared_folder_is_deleted_with_its_files(spark):
     # A folder that was never written to is no error.
     with session.shared_folder(spark):
         pass
+
+
+def test_batches_are_bounded_while_tables_are_written(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [batch.num_rows]}) for batch in batches)
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('x', 10000) AS text")
+    assert max(row.n for row in session.checkpoint(rows.mapInArrow(sizes, "n long")).collect()) < 1500
+    assert spark.conf.get(name) == before
