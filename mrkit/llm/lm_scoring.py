@@ -188,23 +188,26 @@ class Trie:
     Tokens that are spread over shards have the counts of all shards, also where ``asked`` has them and training not.
     """
 
-    def __init__(self, words: np.ndarray, fronts: np.ndarray, asked: np.ndarray, totals: Totals):
+    def __init__(self, words: np.ndarray, fronts: np.ndarray, counts: np.ndarray, totals: Totals):
+        """From the pairs that occur here, in order of word and front, and how often each occurs in training."""
         self.totals = totals
-        known = np.union1d(words, np.intersect1d(asked, totals.heavy))
+        trained = counts > 0
+        asked = np.unique(words)
+        known = np.union1d(words[trained], np.intersect1d(asked, totals.heavy))
+        words, fronts, counts = words[trained], fronts[trained], counts[trained]
         word = np.searchsorted(known, words)
-        n = np.bincount(word, minlength=len(known))
+        n = np.bincount(word, counts, len(known)).astype(np.int64)
         spread, at = totals.known_heavy(known)
         if spread.any():
             n = np.where(spread, totals.heavy_n[at], n)
         front_names, front = np.unique(fronts, return_inverse=True)
         self.width = np.uint64(len(front_names) + 1)
-        pairs, n_pairs = np.unique(word.astype(np.uint64) * self.width + front.astype(np.uint64), return_counts=True)
-        owner = (pairs // self.width).astype(np.int64)
+        pairs = word.astype(np.uint64) * self.width + front.astype(np.uint64)
         self.words, self.fronts, self.pairs = EliasFano(known), EliasFano(front_names), EliasFano(pairs)
-        self.pointers = EliasFano(np.searchsorted(owner, np.arange(len(known) + 1)))
+        self.pointers = EliasFano(np.searchsorted(word, np.arange(len(known) + 1)))
         self.counts = EliasFano(np.concatenate([[0], np.cumsum(n)]))
         self.alone = Quantised(np.log10(MASS * totals.unigram(n)))
-        self.together = Quantised(np.log10(n_pairs + MASS * totals.unigram(n[owner])))
+        self.together = Quantised(np.log10(counts + MASS * totals.unigram(n[word])))
         self.as_front = Quantised(np.log10(n + MASS))
 
     def lookup(self, words: np.ndarray, fronts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,29 +233,30 @@ def score_shard(rows: pa.Table, totals: Totals) -> pa.Table:
     """``SCORES`` of one shard: sums per document of each chunk over the occurrences here."""
     rows = rows.to_pylist()
     docs = [np.frombuffer(zlib.decompress(row["docs"]), dtype="<u4").reshape(2, -1) for row in rows]
-    words = [
-        np.frombuffer(row["words"], dtype=np.uint64)[
-            np.frombuffer(zlib.decompress(row["at"]), dtype="<u2" if len(row["words"]) <= 8 << 16 else "<u4")
-        ]
-        for row in rows
-    ]
-    words = np.concatenate(words)
+    own = [np.frombuffer(row["words"], dtype=np.uint64) for row in rows]
+    at = [np.frombuffer(zlib.decompress(row["at"]), dtype="<u2" if len(o) <= 1 << 16 else "<u4") for row, o in zip(rows, own)]
+    names, place = np.unique(np.concatenate(own), return_inverse=True)
+    words = np.concatenate([p[a] for p, a in zip(np.split(place, np.cumsum([len(o) for o in own])[:-1]), at)])
     fronts = np.zeros((len(words), 8), dtype=np.uint8)
     fronts[:, :6] = np.frombuffer(b"".join(row["fronts"] for row in rows), dtype=np.uint8).reshape(-1, 6)
     fronts = fronts.reshape(-1).view("<u8")
     n = np.concatenate([d[1] for d in docs])
     owner = np.repeat(np.arange(len(n)), n >> 1)
     training = (n & 1).astype(bool)[owner]
-    trie = Trie(words[training], fronts[training], words, totals)
-    scores, base, known = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n), np.int64)
-    for start in range(0, len(words), 1 << 19):
+    # Every pair is looked up once, in order, however often it occurs.
+    front_names, front = np.unique(fronts, return_inverse=True)
+    pairs, pair = np.unique(words.astype(np.int64) * len(front_names) + front, return_inverse=True)
+    words, fronts = names[pairs // len(front_names)], front_names[pairs % len(front_names)]
+    trie = Trie(words, fronts, np.bincount(pair[training], minlength=len(pairs)), totals)
+    value, log_base, counted = np.empty(len(pairs)), np.empty(len(pairs)), np.empty(len(pairs), dtype=bool)
+    for start in range(0, len(pairs), 1 << 19):
         part = slice(start, start + (1 << 19))
-        c, pair, front = trie.lookup(words[part], fronts[part])
+        c, together, alone = trie.lookup(words[part], fronts[part])
         # The end token is in front of nothing.
-        value = pair - np.where(words[part] == np.uint64(END), 0, front)
-        scores += np.bincount(owner[part], value, len(n))
-        base += np.bincount(owner[part], np.log10(totals.unigram(c)), len(n))
-        known += np.bincount(owner[part], c > 0, len(n)).astype(np.int64)
+        value[part] = together - np.where(words[part] == np.uint64(END), 0, alone)
+        log_base[part], counted[part] = np.log10(totals.unigram(c)), c > 0
+    scores, base = (np.bincount(owner, values[pair], len(n)) for values in (value, log_base))
+    known = np.bincount(owner, counted[pair], len(n)).astype(np.int64)
     ends = np.cumsum([d.shape[1] for d in docs])[:-1]
     parts = zip(rows, docs, *(np.split(values, ends) for values in (scores, base, known.astype("<u4"))))
     return pa.Table.from_pylist(
