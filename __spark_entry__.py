@@ -20,8 +20,8 @@ from mrkit.operators.reduce import best_row, reduce_columns
 from mrkit.plans.clustering import weighted_kcenters
 from mrkit.plans.kmedian import mr_kmedian, partition_coreset
 from mrkit.plans.reports import number_report, word_report
-from mrkit.session import checkpoint
-from mrkit.sources import numbers_from_lines, spread_scan
+from mrkit.session import checkpoint, shared_folder
+from mrkit.sources import numbers_from_lines, read_documents, spread_scan
 
 # Parameters of the clustering queries: centres, parts, Lloyd steps and the random number of each centre.
 K, PARTS, ITERS = 4, 4, 2
@@ -78,6 +78,15 @@ def _words_query(operator: Callable[..., DataFrame], *args: int) -> Callable:
     return lambda spark, sf_dir: operator(_documents(spark, sf_dir), *args)
 
 
+def _text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as files and read again, one document per line; ids become how many lines have the same text."""
+    with shared_folder(spark) as folder:
+        _documents(spark, sf_dir).select("text").write.text(folder)
+        lines = read_documents(spark, folder)
+        grouped = lines.groupBy("text").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"))
+        return checkpoint(grouped)
+
+
 def _max_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
     return numbers.max_by_key(parts, "p_retailprice", "p_partkey")
@@ -221,6 +230,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "reduce_by_function": _reduce_by_function,
         "best_by_comparator": _best_by_comparator,
         "parse_numbers": _parse_numbers,
+        "text_documents": _text_documents,
         "tokenize": _words_query(words.tokenize),
         "doc_term_freq": _words_query(words.doc_term_freq),
         "word_count": _words_query(words.word_count),
@@ -355,6 +365,8 @@ def _own_oracle_sql() -> dict[str, str]:
         "best_by_comparator": """SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem
   ORDER BY l_extendedprice / l_quantity DESC, l_orderkey, l_linenumber LIMIT 1""",
         "parse_numbers": """SELECT l_quantity AS x FROM lineitem UNION ALL SELECT l_extendedprice FROM lineitem""",
+        "text_documents": r"""SELECT text, count(*) AS n, count(*) AS ids
+  FROM (SELECT unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS text FROM documents) GROUP BY text""",
         "tokenize": f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, word FROM ({_TOKENS_SQL})",
         "doc_term_freq": f"SELECT doc_id, word, count(*) AS n FROM ({_TOKENS_SQL}) GROUP BY doc_id, word",
         "word_count": word_count,

@@ -142,9 +142,9 @@ def test_line_numbers_do_not_depend_on_the_cores(spark, tmp_path):
         spark.conf.set("spark.sql.leafNodeDefaultParallelism", cores)
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
         try:
-            points = read_vectors(spark, str(tmp_path))
+            points = read_vectors(spark, str(tmp_path), ids="number")
             found.append([(r.id, *r.v) for r in points.orderBy("id").collect()])
-            assert read_documents(spark, str(tmp_path)).agg(F.max("doc_id")).first()[0] == 3999
+            assert read_documents(spark, str(tmp_path), "number").agg(F.max("doc_id")).first()[0] == 3999
         finally:
             spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
