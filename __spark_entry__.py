@@ -18,7 +18,7 @@ from mrkit.functions import euclidean, parse_vector
 from mrkit.operators import centers, numbers, seeding, words
 from mrkit.operators.reduce import best_row, reduce_columns
 from mrkit.plans.clustering import weighted_kcenters
-from mrkit.plans.kmedian import mr_kmedian, partition_coreset
+from mrkit.plans.kmedian import mr_kmedian, partition_coreset, scan_coreset
 from mrkit.plans.reports import number_report, word_report
 from mrkit.session import checkpoint, shared_folder
 from mrkit.sources import numbers_from_lines, read_documents, spread_scan
@@ -192,6 +192,22 @@ def _kmedian(spark: SparkSession, sf_dir: str):
     return mr_kmedian(_points(spark, sf_dir), K, PARTS, ITERS, draws=DRAWS, part=part)
 
 
+def _written_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objective as the write of the assignment sees it, and what was written."""
+    points = _points(spark, sf_dir)
+    with shared_folder(spark) as folder:
+        measured = centers.write_assignment(points.select("id", "v"), _label_means(points), folder)
+        written = spark.read.parquet(folder).groupBy("cid").agg(F.count("*").alias("w"))
+        figures = {"n_points": F.lit(measured.n_points).cast("long"), "objective": F.round(F.lit(measured.objective), 6)}
+        return checkpoint(written.withColumns({name: value for name, value in figures.items()}))
+
+
+def _scan_coreset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the weights of a coreset of whole tasks add up to; blocks of few points, so that coresets are merged too."""
+    points = _points(spark, sf_dir).select("id", "v", "w")
+    return scan_coreset(points, K, ITERS, draws=DRAWS, block_values=5000).agg(F.sum("w").alias("w"), F.max("cid").alias("last"))
+
+
 def _coreset_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coordinates(_kmedian(spark, sf_dir).centers, ["cid", "w"], "c")
 
@@ -251,6 +267,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "weighted_kmeans": _weighted_kmeans,
         "weighted_kmeans_in_jobs": _weighted_kmeans_in_jobs,
         "partition_coreset": _partition_coreset,
+        "written_assignment": _written_assignment,
+        "scan_coreset": _scan_coreset,
         "coreset_solve": _coreset_solve,
         "mr_kmedian": _mr_kmedian,
     }
@@ -399,6 +417,9 @@ def _own_oracle_sql() -> dict[str, str]:
         "weighted_kmeans_in_jobs": kmeans,
         "partition_coreset": f"""{parts}, {coreset},
   named AS (SELECT g AS part, cid, c, w FROM coreset) {_coordinates_sql('named', 'part, cid, w', 'c')}""",
+        "written_assignment": f"""{_LABELS_SQL} SELECT cid, count(*) AS w,
+  (SELECT count(*) FROM near) AS n_points, (SELECT round(avg(d), 6) FROM near) AS objective FROM near GROUP BY cid""",
+        "scan_coreset": f"SELECT sum(w) AS w, CAST({K - 1} AS INTEGER) AS last FROM ({_POINTS_SQL})",
         "coreset_solve": f"{solved} {_coordinates_sql('solved', 'cid, w', 'c')}",
         "mr_kmedian": f"""{solved}
   SELECT count(*) AS n_points, round(avg(d), 6) AS objective

@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mrkit.operators import tasks
@@ -23,6 +23,9 @@ from mrkit.session import Generations, checkpoint
 CENTER_BYTES = 16 << 20
 BLOCKS_AT_ONCE = 4
 
+# Centres without groups from which on an index of them is shipped as well.
+BALLS_FROM = 1024
+
 
 class Centers(NamedTuple):
     """A bounded set of centres on its way to the executors.
@@ -81,10 +84,12 @@ class Centers(NamedTuple):
         """``struct<cid, d>`` of the nearest centre of the row's group; NULL for a group without centres."""
         names, first, count, cids, coords = self
         dims, columns = coords.shape[1], coords.T.copy()
+        balls = tasks.BallIndex(coords) if group is None and len(coords) >= BALLS_FROM else None
 
         @F.arrow_udf("struct<cid:long,d:double>")
         def single(v: pa.Array) -> pa.Array:
-            index, d = tasks.nearest(tasks.coordinates(v, dims), coords)
+            x = tasks.coordinates(v, dims)
+            index, d = tasks.nearest(x, coords) if balls is None else balls.nearest(x)[:2]
             return pa.StructArray.from_arrays([pa.array(cids[index]), pa.array(d)], ["cid", "d"])
 
         @F.arrow_udf("struct<cid:long,d:double>")
@@ -250,6 +255,27 @@ def kmedian_objective(points: DataFrame, centers: DataFrame) -> DataFrame:
     return nearest_center(points, centers).agg(F.count("*").alias("n_points"), F.avg("d").alias("objective"))
 
 
+class Measured(NamedTuple):
+    """The number of points and the mean distance to the nearest centre (NULL without points)."""
+
+    n_points: int
+    objective: float | None
+
+
+def write_assignment(points: DataFrame, centers: DataFrame, folder: str, by: str | None = None) -> Measured:
+    """Writes ``nearest_center`` of the points as Parquet, and measures it on the way: one pass over the points for both.
+
+    The figures are those of ``kmedian_objective``; they come with the write and not from reading what was written.
+    """
+    seen = Observation()
+    figures = F.count(F.lit(1)).alias("n_points"), F.avg("d").alias("objective")
+    nearest_center(points, centers, by).observe(seen, *figures).write.parquet(folder)
+    # An empty plan is not run, so nothing is seen of it.
+    if points.sparkSession.read.parquet(folder).isEmpty():
+        return Measured(0, None)
+    return Measured(**seen.get)
+
+
 def lloyd_step(points: DataFrame, centers: DataFrame, by: str | None = None) -> DataFrame:
     """``(cid, c)`` with each centre moved to the weighted mean of the points nearest to it.
 

@@ -55,6 +55,49 @@ def nearest(x: np.ndarray, centers) -> tuple[np.ndarray, np.ndarray]:
     return index, best
 
 
+class BallIndex:
+    """Centres in balls, so that a point is only compared with those of balls that can hold its nearest centre.
+
+    Some centres are pivots, and every centre is in the ball of its nearest pivot. A ball is out for a point if its
+    surface is farther away than the best centre so far; rounding is far below the slack. What is found, and which of
+    equals, is what ``nearest`` finds.
+    """
+
+    def __init__(self, centers: np.ndarray):
+        n_balls = max(1, int(len(centers) ** 0.5))
+        pivots = centers[np.linspace(0, len(centers) - 1, n_balls).astype(int)]
+        ball, d = nearest(np.ascontiguousarray(centers.T), pivots)
+        used, ball = np.unique(ball, return_inverse=True)
+        self.members = np.argsort(ball, kind="stable")
+        self.bounds = np.searchsorted(ball[self.members], np.arange(len(used) + 1))
+        self.centers, self.pivots = centers[self.members], pivots[used]
+        self.radii = np.maximum.reduceat(d[self.members], self.bounds[:-1])
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """As the function ``nearest``, and how many distances that took."""
+        n = x.shape[1]
+        to_pivots = np.array([distance(x, pivot) for pivot in self.pivots])
+        index, best = np.full(n, np.iinfo(np.int64).max), np.full(n, np.inf)
+        first, computed = to_pivots.argmin(axis=0), to_pivots.size
+        for b in np.unique(first):
+            computed += self._look_into(b, np.flatnonzero(first == b), x, index, best)
+        for b, (away, radius) in enumerate(zip(to_pivots, self.radii)):
+            near = away - radius * SLACK <= best * SLACK
+            computed += self._look_into(b, np.flatnonzero(near & (first != b)), x, index, best)
+        return index, best, computed
+
+    def _look_into(self, ball: int, rows: np.ndarray, x: np.ndarray, index: np.ndarray, best: np.ndarray) -> int:
+        if not len(rows):
+            return 0
+        inside, own, d = x[:, rows], index[rows], best[rows]
+        for place in range(self.bounds[ball], self.bounds[ball + 1]):
+            found, member = distance(inside, self.centers[place]), self.members[place]
+            closer = (found < d) | (found == d) & (member < own)
+            own[closer], d[closer] = member, found[closer]
+        index[rows], best[rows] = own, d
+        return len(rows) * int(self.bounds[ball + 1] - self.bounds[ball])
+
+
 def nearest_of_own(x: np.ndarray, coords: np.ndarray, first: np.ndarray, count: np.ndarray):
     """As ``nearest``, where column ``i`` of ``x`` may only choose from ``count[i]`` columns of ``coords`` on from
     ``first[i]``. Columns without a choice get an infinite distance."""
