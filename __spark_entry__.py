@@ -160,6 +160,12 @@ def _weighted_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeding.weighted_pick(points, PICK).select("id")
 
 
+def _weighted_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many draws at once, with ranges of ids that are narrowed more than once."""
+    points = _with_label_distance(_points(spark, sf_dir)).select("id", F.col("d").alias("mass"))
+    return seeding.weighted_picks(points, [i / 50 for i in range(50)], pick_rows=20).select("draw", "id")
+
+
 def _weighted_pick_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _with_label_distance(_points(spark, sf_dir)).select("id", "part", F.col("d").alias("mass"))
     return seeding.weighted_pick(points, dict.fromkeys(range(PARTS), PICK), by="part").select("part", "id")
@@ -262,6 +268,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kmedian_objective": _kmedian_objective,
         "lloyd_step": _lloyd_step,
         "weighted_pick": _weighted_pick,
+        "weighted_picks": _weighted_picks,
         "weighted_pick_by_group": _weighted_pick_by_group,
         "weighted_seeding": _weighted_seeding,
         "weighted_kmeans": _weighted_kmeans,
@@ -410,6 +417,9 @@ def _own_oracle_sql() -> dict[str, str]:
   {_coordinates_sql('moved', 'cid', 'c')}""",
         "weighted_pick": f"""{_LABELS_SQL}, keyed AS (SELECT 0 AS g, * FROM own)
   SELECT id FROM ({_pick_sql('keyed', 'd', PICK, 'g')})""",
+        "weighted_picks": f"""{_LABELS_SQL}, draws AS (SELECT CAST(i AS INTEGER) AS draw, i / 50.0 AS u FROM range(50) t(i)),
+  running AS (SELECT id, d, sum(d) OVER () AS total, sum(d) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS running FROM own)
+  SELECT draw, min(id) AS id FROM draws JOIN running ON d > 0 AND running >= CAST(u AS DOUBLE) * total GROUP BY draw""",
         "weighted_pick_by_group": f"{_LABELS_SQL} {_pick_sql('own', 'd', PICK, 'part')}",
         "weighted_seeding": f"""{whole}, {_clustering_sql('seeds', 'points', 0)}
   {_coordinates_sql('seeds', 'cid', 'c')}""",

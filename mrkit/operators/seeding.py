@@ -30,6 +30,10 @@ CARRY_ROWS = 4096
 # Groups whose ranges and picks, some 50 bytes each, are broadcast.
 BROADCAST_ROWS = 100_000
 
+# Draws that narrow their ranges together.
+DRAWS_AT_ONCE = 10_000
+RANGES_PER_DRAW = 16
+
 # Centres whose distances a seeding round computes anew before distances are written down.
 SEEDING_BLOCK = 16
 
@@ -119,6 +123,91 @@ def _pick_distributed(rows: DataFrame, draws: DataFrame, pick_rows: int) -> Data
             ranges = state.keep(chosen.withColumns(ends).drop("pick_key"))
 
 
+def weighted_picks(
+    points: DataFrame, us: Sequence[float], mass: str | Column = "mass", pick_rows: int = PICK_ROWS
+) -> DataFrame:
+    """``(draw, ...)``: for every draw of ``us``, by its place there, the row that ``weighted_pick`` gives for it.
+
+    All draws narrow their id ranges together, so many take as many passes over the points as one. A pass adds up at most
+    ``PICK_RANGES`` ranges, and ``RANGES_PER_DRAW`` more for each range that draws are in; their totals, and at most
+    ``DRAWS_AT_ONCE`` draws, are on the driver. Draws without a row, as nothing has mass, are left out.
+    """
+    if len(us) > DRAWS_AT_ONCE:
+        raise ValueError(f"at most {DRAWS_AT_ONCE} draws at once, not {len(us)}")
+    if not all(0 <= u < 1 for u in us):
+        raise ValueError("draws must be in [0, 1)")
+    mass = F.col(mass) if isinstance(mass, str) else mass
+    rows = points.select(F.col("id").cast("long").alias("pick_id"), checked_weight(mass, "masses").alias("pick_mass"))
+    n, lo, hi = group_extents(points).get(0, (0, 0, 0))
+    # Each draw is in a range [lo, hi] with so many rows, and so much mass lies before it.
+    at = dict.fromkeys(range(len(us)) if n else (), (lo, hi, 0.0, n))
+    total, shift = None, None
+    while at and max(n for *_, n in at.values()) > pick_rows:
+        ranges = sorted({(lo, hi) for lo, hi, *_ in at.values()})
+        rows_in = rows if shift is None else _inside(rows, {lo >> shift for lo, _ in ranges}, shift)
+        if max(hi - lo for lo, hi in ranges) == 0:
+            raise ValueError("ids are not unique")
+        width = sum(hi - lo + 1 for lo, hi in ranges)
+        most = PICK_RANGES + RANGES_PER_DRAW * len(ranges)
+        shift = min(max(0, (width - 1).bit_length() - most.bit_length() + 1), max(hi - lo for lo, hi in ranges).bit_length() - 1)
+        key = F.expr(f"shiftright(pick_id, {shift})").alias("pick_key")
+        found = rows_in.groupBy(key).agg(F.sum("pick_mass").alias("mass"), F.count("*").alias("n")).orderBy("pick_key").collect()
+        keys, sums, counts = (np.array([row[i] for row in found]) for i in range(3))
+        total = float(sums.sum()) if total is None else total
+        for draw, (lo, hi, before, _) in list(at.items()):
+            a, b = np.searchsorted(keys, [lo >> shift, (hi >> shift) + 1])
+            ahead = before + np.concatenate([[0.0], np.cumsum(sums[a:b])])
+            chosen = _reached(ahead[:-1], sums[a:b], us[draw] * total)
+            if chosen is None:
+                del at[draw]
+                continue
+            start, own = int(keys[a + chosen]) << shift, int(counts[a + chosen])
+            at[draw] = max(lo, start), min(hi, start + (1 << shift) - 1), float(ahead[chosen]), own
+    picks = _picks_in_ranges(rows, at, us, total, shift)
+    columns = [F.col("pick_draw").alias("draw"), *(F.col(c) for c in points.columns)]
+    return points.join(F.broadcast(picks), F.col("id") == F.col("pick_id")).select(*columns)
+
+
+def _reached(ahead: np.ndarray, mass: np.ndarray, goal: float) -> int | None:
+    """The first place with mass at which the running sum reaches the goal; the last one with mass if none does."""
+    massive = np.flatnonzero(mass > 0)
+    if not len(massive):
+        return None
+    reached = massive[ahead[massive] + mass[massive] >= goal]
+    return int(reached[0] if len(reached) else massive[-1])
+
+
+def _inside(rows: DataFrame, keys: set[int], shift: int) -> DataFrame:
+    """The rows whose ids lie in ranges of ``2 ** shift`` ids with these numbers."""
+    wanted = rows.sparkSession.createDataFrame([(key,) for key in sorted(keys)], "pick_range long")
+    return rows.join(F.broadcast(wanted), F.expr(f"shiftright(pick_id, {shift}) = pick_range"))
+
+
+def _picks_in_ranges(rows: DataFrame, at: dict[int, tuple], us: Sequence[float], total: float | None, shift: int | None) -> DataFrame:
+    """``(pick_draw, pick_id)``; every range is put in order by a task, for all draws in it."""
+    draws: dict[int, list[tuple[int, float]]] = {}
+    for draw, (lo, _, before, _) in at.items():
+        draws.setdefault(lo >> shift if shift is not None else 0, []).append((draw, before))
+    if shift is None:
+        inside = rows.withColumn("pick_range", F.lit(0).cast("long"))
+    else:
+        inside = _inside(rows, set(draws), shift)
+
+    def pick(group: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("pick_id")
+        mass, found = table["pick_mass"].to_numpy(), []
+        for draw, before in draws[group[0].as_py()]:
+            ahead = before + np.concatenate([[0.0], np.cumsum(mass)])
+            chosen = _reached(ahead[:-1], mass, us[draw] * (mass.sum() if total is None else total))
+            if chosen is not None:
+                found.append((draw, table["pick_id"][chosen].as_py()))
+        return pa.table({"pick_draw": pa.array([d for d, _ in found], pa.int32()), "pick_id": pa.array([i for _, i in found], pa.int64())})
+
+    picks = inside.groupBy("pick_range").applyInArrow(pick, "pick_draw int, pick_id long") if at else None
+    found = picks.collect() if at else []
+    return rows.sparkSession.createDataFrame(found, "pick_draw int, pick_id long")
+
+
 def _shift(width: int) -> int:
     """How many low bits of an id a range spans, so that there are at most ``PICK_RANGES`` of them."""
     if width == 0:
