@@ -10,7 +10,8 @@ Every vector is indexed. Equal vectors are one point, which carries its ``k + 1`
 be among the k nearest of any query, in the order of ties. Queries are dealt out in blocks, against all shards, and
 scores are computed anew in double precision. Shards have a bounded size, so only their number grows.
 
-Defined results: vectors that are NULL, zero or hold NULL, NaN or infinity take no part, as candidate or as query.
+Defined results: vectors that are NULL, zero or hold NULL, NaN or infinity take no part, as candidate or as query, nor
+do those of another length than most (of equally many, the longest), as there is no product of different lengths.
 Repeated rows of an id count once if their vector is the same too. Rows without an id take no part. Extra columns are
 ignored. With fewer than ``k`` candidates all found ones are returned.
 """
@@ -31,6 +32,9 @@ K = 20
 SHARD = 8192
 QUERIES_AT_ONCE = 256
 
+# Queries that are sent to a shard together. A shard is sent once per block, a block once per shard.
+BLOCK_QUERIES = 4096
+
 # Edges of a point, relaxation of pruning, beams of building and of searching, points that a search expands at once.
 DEGREE, ALPHA = 32, 1.2
 BUILD_BEAM, SEARCH_BEAM, WIDTH = 48, 96, 4
@@ -137,6 +141,8 @@ def build_shards(vectors: DataFrame, k: int = K, shard: int = SHARD) -> DataFram
     rows = vectors.where(F.col("vec_id").isNotNull() & usable("embedding")).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")
     )
+    sizes = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    rows = rows.where(F.size("v") == (sizes.size if sizes else 0))
     # Equal vectors are a group; the limit to the first ids is applied before the shuffle as well.
     order = Window.partitionBy("v").orderBy("vec_id")
     first = rows.select("v", "vec_id", F.dense_rank().over(order).alias("rank")).where(F.col("rank") <= k + 1)
@@ -170,9 +176,10 @@ def search_shards(shards: DataFrame, queries: DataFrame, k: int = K, beam: int =
     queries = queries.where(F.col("vec_id").isNotNull() & usable("embedding")).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")
     )
-    queries = queries.dropDuplicates(["vec_id", "v"])
-    n, last = queries.count(), shards.agg(F.max("shard")).first()[0] or 0
-    blocks = max(1, -(-n // QUERIES_AT_ONCE))
+    last, dims = shards.agg(F.max("shard"), F.max("dims")).first()
+    queries = queries.where(F.size("v") == (dims or 0)).dropDuplicates(["vec_id", "v"])
+    n, last = queries.count(), last or 0
+    blocks = max(1, -(-n // BLOCK_QUERIES))
     packed = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(
         F.collect_list("vec_id").alias("query_ids"), F.flatten(F.collect_list("v")).alias("queries")
     )

@@ -43,3 +43,13 @@ def test_few_candidates_and_none(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in vector_graph.nearest_neighbours(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1, 4.0)]
     none = df.where("vec_id < 0")
     assert vector_graph.nearest_neighbours(none, none).collect() == []
+
+
+def test_vectors_of_other_lengths_take_no_part(spark):
+    rows = [(i, [float(i + 1), 1.0]) for i in range(30)] + [(40, [9.0]), (41, [9.0, 9.0, 9.0]), (42, [])]
+    vectors = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "vec_id long, embedding array<double>, rank int, score double")
+    found = vector_graph.nearest_neighbours(vectors, vectors.where("vec_id in (0, 20, 40, 41)"), 3)
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found.collect()) == [
+        (0, 1, 29), (0, 2, 28), (0, 3, 27), (20, 1, 29), (20, 2, 28), (20, 3, 27)
+    ]
+    assert vector_graph.nearest_neighbours(vectors.where("vec_id > 99"), vectors).collect() == []
