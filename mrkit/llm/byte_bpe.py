@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections.abc import Iterator
 
 import duckdb
 import numpy as np
@@ -30,6 +31,7 @@ from mrkit.llm.common import chunked, kept_in_process, texts
 # Longest piece, in bytes, that goes through the recursion; pieces in one query; what a worker remembers.
 LONG = 64
 PIECES_AT_ONCE = 1 << 16
+STATES_AT_ONCE = 1 << 22
 PIECES_KEPT = 1 << 19
 WORDS_KEPT = 1 << 19
 
@@ -70,6 +72,21 @@ FROM ids JOIN vocabulary ON ids.token = vocabulary.token GROUP BY doc
 """
 
 
+def bounded(pieces: list[str]) -> Iterator[list[str]]:
+    """Pieces that go into one query. It keeps what each round makes of a piece, so that grows with the square of its
+    length."""
+    chunk, held = [], 0
+    for piece in pieces:
+        cost = len(piece.encode()) ** 2
+        if chunk and (held + cost > STATES_AT_ONCE or len(chunk) >= PIECES_AT_ONCE):
+            yield chunk
+            chunk, held = [], 0
+        chunk.append(piece)
+        held += cost
+    if chunk:
+        yield chunk
+
+
 class ByteBpe:
     """Encoder and decoder for a file of base64 tokens and their ranks."""
 
@@ -89,7 +106,8 @@ class ByteBpe:
         self.merges = {(a, b): rank for a, b, rank in merges}
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes | None] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        # No folder to spill to, as that would be one of the worker's machine; queries are bounded instead.
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         a, b, rank = np.array(merges, dtype=np.int32).T
         merges = pa.table({"first": a, "second": b, "merged": rank})
         vocabulary = pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "piece": [t.hex() for t in self.ranks]})
@@ -141,7 +159,7 @@ class ByteBpe:
                 self.pieces[piece] = self.contract(data)
             else:
                 short.append(piece)
-        for chunk in chunked(short, PIECES_AT_ONCE):
+        for chunk in bounded(short):
             self.pieces.update(zip(chunk, self.contract_in_rounds([piece.encode() for piece in chunk])))
         ids = self.pieces.__getitem__
         return [b"".join(map(ids, pieces)) for pieces in split]

@@ -143,3 +143,14 @@ def test_language_model_against_plain_counts(docs, table, remainder, monkeypatch
 
 def test_language_model_of_nothing(no_docs):
     assert lm_scoring.lm_scores(no_docs).collect() == []
+
+
+def test_queries_leave_no_files(bpe, reference, tmp_path, monkeypatch):
+    """Very many pieces that take many rounds; they are encoded in queries that fit into memory."""
+    monkeypatch.chdir(tmp_path)
+    words = ["".join(chr(97 + (i * 7 + j * j * 3 + i * j) % 26) for j in range(60)) for i in range(4000)]
+    fresh = byte_bpe.ByteBpe(RANKS, P.PATTERN)
+    assert fresh.encode([" ".join(words).encode()]) == [reference(" ".join(words))]
+    assert list(tmp_path.rglob("*")) == []
+    chunks = list(byte_bpe.bounded(words))
+    assert sum(chunks, []) == words and len(chunks) == 4 and list(byte_bpe.bounded([])) == []
