@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from mrkit.llm.common import texts
 from mrkit.llm.components import connected_components
-from mrkit.session import checkpoint
+from mrkit.session import checkpoint, written
 
 BANDS, ROWS = 32, 5
 SIMILARITY = 80
@@ -206,8 +206,9 @@ def _tiled(large: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """
     edges = large.select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     groups = connected_components(edges).toDF("rep", "grp")
-    nodes = large.select("rep", "component").distinct().join(groups, "rep")
-    nodes = nodes.join(sets, "rep").withColumn("n", F.length("set") / 8)
+    # Tiles are dealt out without the sets; these are joined last, by the class, so that no group of classes is one key.
+    counted = sets.select("rep", (F.length("set") / 8).alias("n"))
+    nodes = checkpoint(large.select("rep", "component").distinct().join(groups, "rep").join(counted, "rep"))
     sizes = nodes.groupBy("grp", "component").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
     most = F.max(F.struct("k", "component")).alias("most")
     groups = sizes.groupBy("grp").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), most)
@@ -216,13 +217,14 @@ def _tiled(large: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     rest = rest.groupBy("grp").agg(F.sum("k").alias("rest_k"), F.sum("n").alias("rest_n"))
     tiles = lambda k, n: F.ceil(F.greatest(F.col(k) / TILE_CLASSES, F.col(n) / TILE_SHINGLES)).cast("int")
     grid = groups.join(rest, "grp").select("grp", "main", tiles("rest_k", "rest_n").alias("down"), tiles("k", "n").alias("across"))
-    placed = nodes.join(checkpoint(grid), "grp")
+    placed = nodes.join(written(grid), "grp")
     block = lambda count: F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     left = placed.where(F.col("component") != F.col("main")).withColumn("i", block("down"))
-    left = left.select("grp", "i", every("across").alias("j"), F.lit(0).alias("side"), "rep", "component", "set")
+    left = left.select("grp", "i", every("across").alias("j"), F.lit(0).alias("side"), "rep", "component")
     right = placed.withColumn("j", block("across"))
-    right = right.select("grp", every("down").alias("i"), "j", F.lit(1).alias("side"), "rep", "component", "set")
+    right = right.select("grp", every("down").alias("i"), "j", F.lit(1).alias("side"), "rep", "component")
+    dealt = checkpoint(left.union(right)).join(sets, "rep")
 
     def compare(tile: pa.Table) -> pa.Table:
         side, rep, component = (tile[c].to_numpy() for c in ("side", "rep", "component"))
@@ -231,8 +233,7 @@ def _tiled(large: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    both = left.union(right)
-    return both.groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long")
+    return dealt.groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def tile_links(arrays, rep, component, left, right, similarity: int) -> list[tuple[int, int]]:
