@@ -12,7 +12,9 @@ A shard keeps three levels: tokens, the tokens in front of them, and pairs of th
 counts are quantised to eight bits per level. Pairs are found by successor search within the token's range.
 
 A frequent token would overload a shard. The ``HEAVY`` most frequent ones are counted beforehand and, if they exceed a
-share of a shard, spread over shards by the token in front, which keeps the counts of pairs whole.
+share of a shard, spread over shards by the token in front, which keeps the counts of pairs whole. Pairs of such a token
+that still exceed a share of a shard are counted beforehand too, in a pass of their own, and their occurrences are scored
+where they are read. They are not sent, so no shard holds more of one pair than that.
 
 Tokens are words in lower case (A-Z only) and one end token per text, and stand as 64-bit hashes, those in front as 48
 of the bits.
@@ -47,12 +49,15 @@ CHUNK_TOKENS = 2 << 20
 HEAVY = 1 << 16
 HEAVY_PART = 8
 
+# Pairs with more than this part of a shard are scored where they are read.
+HOT_PART = 4
+
 # The hash of the end token is that of an empty word, which no word is. No token stands in front of the first one.
 END = xxhash.xxh3_64_intdigest(b"")
 FRONT_BITS = np.uint64((1 << 48) - 1)
 
-OCCURRENCES = "shard int, chunk long, docs binary, words binary, at binary, fronts binary, meta binary"
-SCORES = "chunk long, docs binary, scores binary, base binary, known binary, meta binary"
+OCCURRENCES = "shard int, chunk long, docs binary, words binary, at binary, fronts binary, meta binary, done binary"
+SCORES = "chunk long, docs binary, scores binary, base binary, known binary, meta binary, done binary"
 
 
 def tokens(text: bytes) -> list[int]:
@@ -77,6 +82,35 @@ def count_tokens(documents: DataFrame) -> DataFrame:
     return counted.groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def _occurrences(some: list) -> tuple[np.ndarray, ...]:
+    """Of documents ``(id, tokens)``: their sizes, whether each trains, and words, fronts and document of all occurrences."""
+    sizes = np.array([len(t) for _, t in some])
+    words = np.concatenate([np.array(t, dtype=np.uint64) for _, t in some])
+    fronts = np.concatenate([[np.uint64(0)], words[:-1] & FRONT_BITS])
+    fronts[np.cumsum(sizes)[:-1]] = 0
+    training = np.array([is_training(doc_id) for doc_id, _ in some])
+    return sizes, training, words, fronts, np.repeat(np.arange(len(some), dtype=np.uint32), sizes)
+
+
+def count_pairs(documents: DataFrame, totals: Totals) -> DataFrame:
+    """``(pair, n, trained)`` of the pairs whose word is a heavy one, by the number ``Totals.pairs`` gives them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")))
+            for some in _chunks(((doc_id, tokens(text)) for doc_id, text in rows), lambda row: len(row[1])):
+                _, training, words, fronts, docs = _occurrences(some)
+                heavy, pairs = totals.pairs(words, fronts)
+                found, at = np.unique(pairs[heavy], return_inverse=True)
+                n = np.bincount(at, minlength=len(found))
+                trained = np.bincount(at, training[docs[heavy]], len(found)).astype(np.int64)
+                columns = [pa.array(c) for c in (found.view(np.int64), n, trained)]
+                yield pa.RecordBatch.from_arrays(columns, ["pair", "n", "trained"])
+
+    counted = documents.select("doc_id", "text").mapInArrow(count, "pair long, n long, trained long")
+    return counted.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
+
+
 def _chunks(items, size) -> Iterator[list]:
     """Lists of items of about ``CHUNK_TOKENS`` tokens."""
     chunk, held = [], 0
@@ -104,6 +138,35 @@ class Totals:
         self.heavy = np.array([token for token, _ in heavy], dtype=np.uint64)
         self.heavy_n = np.array([n for _, n in heavy], dtype=np.int64)
         self.parts = np.minimum(self.shards, -(-self.heavy_n * HEAVY_PART // shard_tokens))
+        self.hot, self.hot_n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+
+    def find_hot(self, documents: DataFrame, shard_tokens: int) -> None:
+        """Takes in the pairs that occur more than a share of a shard; there are few of them for each shard."""
+        limit = shard_tokens // HOT_PART
+        # A pair occurs no more often than its word; training texts are about four of five.
+        if not (self.heavy_n * 5 > limit * 4).any():
+            return
+        hot = sorted((int(np.array(row.pair).view(np.uint64)), row.trained) for row in count_pairs(documents, self).where(F.col("n") > limit).collect())
+        self.hot = np.array([pair for pair, _ in hot], dtype=np.uint64)
+        self.hot_n = np.array([n for _, n in hot], dtype=np.int64)
+
+    def pairs(self, words: np.ndarray, fronts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are heavy, and the pairs as the place of the word among these (16 bits) and the front (48)."""
+        heavy, at = self.known_heavy(words)
+        return heavy, (at.astype(np.uint64) << np.uint64(48)) | fronts
+
+    def hot_scores(self, words: np.ndarray, fronts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Which occurrences are of hot pairs, and score, base score and knowledge of these."""
+        if not len(self.hot):
+            return np.zeros(len(words), dtype=bool), *(np.zeros(0) for _ in range(3))
+        heavy, pairs = self.pairs(words, fronts)
+        at = np.minimum(np.searchsorted(self.hot, pairs), len(self.hot) - 1)
+        hot = heavy & (self.hot[at] == pairs)
+        word = (self.hot >> np.uint64(48)).astype(np.int64)
+        n = self.heavy_n[word]
+        alone = np.where(self.heavy[word] == np.uint64(END), 0.0, np.log10(n + MASS))
+        score = np.log10(self.hot_n + MASS * self.unigram(n)) - alone
+        return hot, score[at[hot]], np.log10(self.unigram(n))[at[hot]], (n > 0)[at[hot]]
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         return (c + 0.5) / (self.n + 0.5 * (self.v + 1))
@@ -134,17 +197,16 @@ def send_occurrences(documents: DataFrame, totals: Totals) -> DataFrame:
                 chunk += 1
 
     def pieces(some: list, chunk: int) -> Iterator[dict]:
-        sizes = np.array([len(t) for _, t in some])
-        words = np.concatenate([np.array(t, dtype=np.uint64) for _, t in some])
-        fronts = np.concatenate([[np.uint64(0)], words[:-1] & FRONT_BITS])
-        fronts[np.cumsum(sizes)[:-1]] = 0
-        docs = np.repeat(np.arange(len(some), dtype=np.uint32), sizes)
-        training = np.array([is_training(doc_id) for doc_id, _ in some])
+        sizes, training, words, fronts, docs = _occurrences(some)
+        hot, *scored = totals.hot_scores(words, fronts)
+        done = np.concatenate([np.bincount(docs[hot], values, len(some)) for values in scored])
+        words, fronts, docs = words[~hot], fronts[~hot], docs[~hot]
         shard = totals.shard(words, fronts)
         order = np.argsort(shard, kind="stable")
         names, starts = np.unique(shard[order], return_index=True)
+        split = np.split(order, starts[1:]) if len(names) else [order]
         ids = pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array(sizes)], ["doc_id", "n"])
-        for k, (name, mine) in enumerate(zip(names.tolist(), np.split(order, starts[1:]))):
+        for k, (name, mine) in enumerate(zip(names.tolist() or [0], split)):
             own, at = np.unique(words[mine], return_inverse=True)
             doc, n = np.unique(docs[mine], return_counts=True)
             # Number of the document, its occurrences here, and whether it trains.
@@ -157,6 +219,7 @@ def send_occurrences(documents: DataFrame, totals: Totals) -> DataFrame:
                 "at": zlib.compress(at.astype("<u2" if len(own) <= 1 << 16 else "<u4").tobytes(), 1),
                 "fronts": fronts[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
                 "meta": ids.serialize().to_pybytes() if k == 0 else None,
+                "done": zlib.compress(done.tobytes(), 1) if k == 0 and hot.any() else None,
             }
 
     return documents.select("doc_id", "text").mapInArrow(send, OCCURRENCES)
@@ -268,6 +331,7 @@ def score_shard(rows: pa.Table, totals: Totals) -> pa.Table:
                 "base": b.tobytes(),
                 "known": zlib.compress(k.tobytes(), 1),
                 "meta": row["meta"],
+                "done": row["done"],
             }
             for row, d, s, b, k in parts
         ],
@@ -285,6 +349,11 @@ def add_up(rows: pa.Table, totals: Totals) -> pa.Table:
     # The first token of a text has no token in front, which happened as often as there are training texts.
     scores = total([np.frombuffer(row["scores"]) for row in rows]) - np.log10(totals.docs + MASS)
     known = total([np.frombuffer(zlib.decompress(row["known"]), dtype="<u4") for row in rows])
+    base = total([np.frombuffer(row["base"]) for row in rows])
+    done = next((row["done"] for row in rows if row["done"]), None)
+    if done:
+        here = np.frombuffer(zlib.decompress(done)).reshape(3, n)
+        scores, base, known = scores + here[0], base + here[1], known + here[2]
     doc_ids = ids.column("doc_id")
     return pa.table(
         {
@@ -293,7 +362,7 @@ def add_up(rows: pa.Table, totals: Totals) -> pa.Table:
             "n_tokens": ids.column("n"),
             "n_known": known.astype(np.int64),
             "train_tokens": np.full(n, totals.n, dtype=np.int64),
-            "base_score": total([np.frombuffer(row["base"]) for row in rows]),
+            "base_score": base,
             "score": scores,
         }
     )
@@ -305,6 +374,7 @@ def lm_scores(documents: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFra
     ``base_score`` is that of single tokens, ``score`` that of the model, both as log10 of a probability.
     """
     totals = Totals(checkpoint(count_tokens(documents)), shard_tokens)
+    totals.find_hot(documents, shard_tokens)
     sent = send_occurrences(documents, totals)
     by_shard = sent.repartition(totals.shards, "shard").groupBy("shard")
     scored = by_shard.applyInArrow(lambda rows: score_shard(rows, totals), SCORES)

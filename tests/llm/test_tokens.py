@@ -119,6 +119,9 @@ def test_language_model_against_plain_counts(docs, table, remainder, monkeypatch
     """In one shard, and in many with frequent tokens spread over them."""
     monkeypatch.setattr(lm_scoring, "HEAVY_PART", 100)
     given_ = docs.select("doc_id", "text").union(table("documents").select("doc_id", "text").where("doc_id < 90 and doc_id > 20"))
+    # One pair in a third of all occurrences, and texts of nothing else.
+    given_ = given_.union(given_.sparkSession.createDataFrame([(i, "hot pair " * 900) for i in range(200, 230)], "doc_id long, text string"))
+    given_ = given_.repartition(3)
     rows = [(r.doc_id, r.text) for r in given_.collect()]
     tokens = lambda t: [*(t or "").encode().lower().split(), b""]
     c, pairs, texts = collections.Counter(), collections.Counter(), 0
@@ -141,6 +144,19 @@ def test_language_model_against_plain_counts(docs, table, remainder, monkeypatch
         assert r.score == pytest.approx(exact, rel=0.02, abs=0.1)  # eight bits for a logarithm
 
 
+def test_no_shard_holds_a_hot_pair(spark):
+    """Thirty in a hundred tokens are one pair; a shard gets its share of all others."""
+    rows = [(i, "the end " * 300 + " ".join(f"w{i * 37 + j}" for j in range(400))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    totals = lm_scoring.Totals(lm_scoring.checkpoint(lm_scoring.count_tokens(docs)), 4000)
+    totals.find_hot(docs, 4000)
+    assert len(totals.hot) == 2 and totals.shards > 8
+    held = collections.Counter()
+    for row in lm_scoring.send_occurrences(docs, totals).collect():
+        held[row.shard] += len(row.fronts) // 6
+    assert sum(held.values()) < 60 * 500 and max(held.values()) < 2 * 4000
+
+
 def test_language_model_of_nothing(no_docs):
     assert lm_scoring.lm_scores(no_docs).collect() == []
 
