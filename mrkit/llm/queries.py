@@ -32,6 +32,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for work that is done row by row, over all cores also where they are one small file."""
+    return spread_scan(_table(spark, sf_dir, "documents"))
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
@@ -56,20 +61,20 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.round_trip(_spread(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer)
+    return packing.pack_documents(_spread(spark, sf_dir), tokenizer)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogate_documents(_table(spark, sf_dir, "documents"), KEY)
+    return pii.surrogate_documents(_spread(spark, sf_dir), KEY)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.lm_scores(_table(spark, sf_dir, "documents"))
+    return lm_scoring.lm_scores(_spread(spark, sf_dir))
 
 
 def op10_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +83,7 @@ def op10_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spread_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return lexical_search.search(documents, _table(spark, sf_dir, "benchmark"))
+    return lexical_search.search(_spread(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
