@@ -1,11 +1,14 @@
 """Quality rules and the classifier."""
 
+import math
+import re
 from collections import Counter
 from fractions import Fraction
 from math import comb
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from mrkit.llm import quality_classifier, quality_rules
@@ -112,3 +115,48 @@ def test_without_labels_scores_are_even(docs, no_docs):
     labels = docs.select("doc_id", F.lit(None).cast("int").alias("quality"))
     assert {r.score for r in quality_classifier.quality_classifier(docs, labels).collect()} == {0.5}
     assert quality_classifier.quality_classifier(no_docs, labels).collect() == []
+
+
+def _plain_learner(rows, epochs):
+    """Follow-the-regularised-leader with a dictionary per coordinate, one coordinate after the other."""
+    z, n = {}, {}
+
+    def weight(i):
+        s = z.get(i, 0.0)
+        if abs(s) <= quality_classifier.L1:
+            return 0.0
+        step = (quality_classifier.BETA + math.sqrt(n.get(i, 0.0))) / quality_classifier.ALPHA + quality_classifier.L2
+        return -(s - math.copysign(quality_classifier.L1, s)) / step
+
+    for _ in range(epochs):
+        for x, label in rows:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g, before = (p - label) * v, n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / quality_classifier.ALPHA * w[i]
+                n[i] = before + g * g
+    return weight
+
+
+def _plain_features(text):
+    words = re.findall(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\x00-\x20]+", (text or "").encode().lower())
+    hashed = [xxhash.xxh3_64_intdigest(w) for w in words]
+    mask, shift = (1 << 64) - 1, 64 - quality_classifier.BITS
+    every = [h >> shift for h in hashed]
+    every += [(((a * 0x9E3779B97F4A7C15 & mask) ^ b) * 0xC2B2AE3D27D4EB4F & mask) >> shift for a, b in zip(hashed, hashed[1:])]
+    every.append(xxhash.xxh3_64_intdigest(b" length %d" % len(words).bit_length()) >> shift)
+    return {i: math.sqrt(c / len(every)) for i, c in Counter(every).items()} | {"bias": 1.0}
+
+
+def test_classifier_equals_a_plain_learner(table, remainder):
+    """Scores of the whole table, learnt from its labels."""
+    texts = {r.doc_id: r.text for r in table("documents").collect()}
+    labels = {r.doc_id: r.quality for r in table("labels").collect() if remainder(r.doc_id) != 0 and r.doc_id in texts}
+    order = sorted(labels, key=lambda i: xxhash.xxh3_64_intdigest(str(i)))
+    weight = _plain_learner([(_plain_features(texts[i]), labels[i]) for i in order], quality_classifier.EPOCHS)
+    found = quality_classifier.quality_classifier(table("documents"), table("labels")).collect()
+    assert len(labels) > 200 and len(found) == len(texts)
+    for r in found:
+        x = _plain_features(texts[r.doc_id])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items()))), abs=1e-4)
