@@ -21,9 +21,6 @@ from mrkit.operators import tasks
 from mrkit.operators.centers import PARTIAL_SUMS, Centers, total_sums
 from mrkit.operators.reduce import FAN_IN
 
-# Centres of a group from which on carrying bounds takes less time than all distances.
-BOUNDS_FROM = 512
-
 BOUNDS = "struct<c: long, upper: double, lower: double, computed: long>"
 
 
@@ -36,14 +33,14 @@ class Clustered(NamedTuple):
 
 
 def lloyd_iterations(
-    points: DataFrame, centers: Centers, iters: int, n_tasks: int, bounds: bool | None = None, fan_in: int = FAN_IN
+    points: DataFrame, centers: Centers, iters: int, n_tasks: int, bounds: bool = False, fan_in: int = FAN_IN
 ) -> Clustered:
     """``iters`` steps from ``centers`` over ``points(g, v, w)``, which are read in ``n_tasks`` tasks.
 
     Every group of the points must be one of the centres'. With ``bounds`` the points are cached once more, with what is
-    known of each; by default that depends on the number of centres.
+    known of each. That pays where distances cost more than reading the points, so with very many centres, and where clusters
+    are well apart.
     """
-    bounds = centers.count.max() >= BOUNDS_FROM if bounds is None else bounds
     run = _with_bounds if bounds else _plain
     return run(points, centers, iters, n_tasks, fan_in)
 
