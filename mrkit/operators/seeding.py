@@ -289,9 +289,19 @@ def weighted_seeding(
             if i - written == block:
                 state = generations.keep(state.withColumn("known", _improved(chosen, written, i)(group, "v", "known")))
                 written = i
-            near = F.col("known") if i == written else _improved(chosen, written, i)(group, "v", "known")
-            mass = F.lit(1.0) if i == 0 else F.col("w") * near["d"]
-            rows = state.select(group.alias("pick_group"), F.col("id").cast("long").alias("pick_id"), mass.alias("pick_mass"), "v")
+            ids = group.alias("pick_group"), F.col("id").cast("long").alias("pick_id")
+            massive = lambda df, d: df.select(*ids, (F.lit(1.0) if i == 0 else F.col("w") * d).alias("pick_mass"), "v")
+            if i == written:
+                rows = massive(state, F.col("known.d"))
+            else:
+                improve = _improved(chosen, written, i)
+                touched, others = state, None
+                if written and len(extents) == 1:
+                    # What no new centre can be nearer to does not go to Python, nor are its vectors read for that.
+                    near = _may_be_nearer(next(iter(chosen.values())), written, i)
+                    touched, others = state.where(near), massive(state.where(~near), F.col("known.d"))
+                rows = massive(touched, improve(group, "v", "known")["d"])
+                rows = rows if others is None else rows.unionByName(others)
             turn = {g: draws[g][i] for g in active if i < len(draws[g])}
             picks = _picks(rows, turn, extents, pick_rows, "v")
             if picks and "v" not in picks[0]:
@@ -308,6 +318,14 @@ def weighted_seeding(
 NEAREST = "struct<c: long, d: double>"
 
 
+def _may_be_nearer(chosen: Mapping[int, np.ndarray], since: int, until: int) -> Column:
+    """Whether a centre of the draws from ``since`` on can be nearer than the one in ``known``, by the triangle inequality."""
+    coords = np.array([chosen[i] for i in range(until)])
+    gaps = np.min([tasks.distance(coords[:since].T, new) for new in coords[since:]], axis=0)
+    gap = F.element_at(F.expr(f"array({', '.join(f'{g!r}D' for g in gaps.tolist())})"), (F.col("known.c") + 1).cast("int"))
+    return gap < 2 * tasks.SLACK * F.col("known.d")
+
+
 def _improved(chosen: Mapping[int, Mapping[int, np.ndarray]], since: int, until: int):
     """A function of group, vector and ``NEAREST`` so far that takes in the centres of the draws from ``since`` on.
 

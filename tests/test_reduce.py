@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from mrkit.operators import lloyd, tasks
+from mrkit.operators import lloyd, seeding, tasks
 from mrkit.operators.centers import Centers, lloyd_step
 from mrkit.operators.reduce import MOST_TASKS, TASK, best_row, levels_of, merge_partials, reduce_columns, tasks_of
 
@@ -160,3 +160,25 @@ def test_iterations_with_bounds_give_the_same_centres(spark):
     all_distances = sum(5 + g for g, *_ in rows)
     assert carried.computed[0] == all_distances and carried.computed[-1] < all_distances / 2
     points.unpersist()
+
+
+def test_seeding_leaves_far_points_alone(spark, monkeypatch):
+    """Far clusters: once distances are written down, a new centre only goes to the points of its own cluster."""
+    rng = np.random.default_rng(9)
+    means = np.array([[0.0, 0.0], [1000.0, 0.0], [0.0, 1000.0], [1000.0, 1000.0]])
+    rows = [(i, (means[i % 4] + rng.normal(size=2)).tolist(), 1.0) for i in range(400)]
+    points = spark.createDataFrame(rows, "id long, v array<double>, w double").repartition(4).persist()
+    draws = rng.random(9).tolist()
+    whole = seeding.weighted_seeding(points, draws)
+    conditions, may_be_nearer = [], seeding._may_be_nearer
+    monkeypatch.setattr(seeding, "_may_be_nearer", lambda *a: conditions.append(may_be_nearer(*a)) or conditions[-1])
+    blocks = seeding.weighted_seeding(points, draws, block=3)
+    points.unpersist()
+    assert (whole.coords == blocks.coords).all() and len(conditions) == 4
+    x = np.array([v for _, v, _ in rows]).T
+    chosen = dict(enumerate(whole.coords))
+    index, d = tasks.nearest(x, whole.coords[:6])
+    known = spark.createDataFrame([(int(c), float(b)) for c, b in zip(index, d)], "c long, d double").select(F.struct("c", "d").alias("known"))
+    touched = known.where(may_be_nearer(chosen, 6, 7)).count()
+    _, after = tasks.nearest(x, whole.coords[:7])
+    assert (after < d).sum() <= touched <= 200
