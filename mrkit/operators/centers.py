@@ -85,11 +85,11 @@ class Centers(NamedTuple):
         names, first, count, cids, coords = self
         dims, columns = coords.shape[1], coords.T.copy()
         balls = tasks.BallIndex(coords) if group is None and len(coords) >= BALLS_FROM else None
+        search = tasks.AdaptiveSearch(coords, balls)
 
         @F.arrow_udf("struct<cid:long,d:double>")
         def single(v: pa.Array) -> pa.Array:
-            x = tasks.coordinates(v, dims)
-            index, d = tasks.nearest(x, coords) if balls is None else balls.nearest(x)[:2]
+            index, d = search.nearest(tasks.coordinates(v, dims))
             return pa.StructArray.from_arrays([pa.array(cids[index]), pa.array(d)], ["cid", "d"])
 
         @F.arrow_udf("struct<cid:long,d:double>")

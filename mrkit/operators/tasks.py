@@ -98,6 +98,27 @@ class BallIndex:
         return len(rows) * int(self.bounds[ball + 1] - self.bounds[ball])
 
 
+class AdaptiveSearch:
+    """Nearest centres by an index while it saves enough distances, and by a scan once it does not.
+
+    Both find the same. Balls save next to nothing where distances are much alike, as among many coordinates without
+    clusters, and then cost more than they save.
+    """
+
+    SAVING = 0.4
+
+    def __init__(self, centers: np.ndarray, balls: BallIndex | None):
+        self.centers, self.balls = centers, balls
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.balls is None:
+            return nearest(x, self.centers)
+        index, best, computed = self.balls.nearest(x)
+        if computed > self.SAVING * x.shape[1] * len(self.centers):
+            self.balls = None
+        return index, best
+
+
 def nearest_of_own(x: np.ndarray, coords: np.ndarray, first: np.ndarray, count: np.ndarray):
     """As ``nearest``, where column ``i`` of ``x`` may only choose from ``count[i]`` columns of ``coords`` on from
     ``first[i]``. Columns without a choice get an infinite distance."""

@@ -38,6 +38,16 @@ def test_balls_save_distances():
     assert (found == index).all() and (d == best).all() and computed < 500 * 10_000 / 5
 
 
+def test_balls_are_given_up_where_they_do_not_save():
+    rng = np.random.default_rng(3)
+    at, x = rng.normal(size=(2000, 64)), rng.normal(size=(64, 50))
+    search = tasks.AdaptiveSearch(at, tasks.BallIndex(at))
+    for _ in range(2):
+        index, best = search.nearest(x)
+        assert (index == tasks.nearest(x, at)[0]).all() and (best == tasks.nearest(x, at)[1]).all()
+    assert search.balls is None
+
+
 def test_many_centres_on_spark(spark, monkeypatch):
     rng = np.random.default_rng(4)
     at = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 3)).round(1))], "cid int, c array<double>")
