@@ -363,8 +363,8 @@ def without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 def repeated_bytes(documents: DataFrame, length: int = LENGTH, word_bytes: int = 1) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages)`` per document.
 
-    ``n_passages`` says how many different strings of ``PASSAGE_SEED`` words, one or more out of each string of
-    ``PASSAGE_WORDS`` words, also occur elsewhere. So it is above 0 wherever more than fifty words are repeated, also if
+    ``n_passages`` says how many strings of ``PASSAGE_SEED`` words, one or more out of each string of ``PASSAGE_WORDS``
+    words, also occur elsewhere. So it is above 0 wherever more than fifty words are repeated, also if
     they have less than ``length`` bytes and stay.
     """
     scanned, repeats = _repeats(documents, length, word_bytes, passages=True)
@@ -381,8 +381,9 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH, word_bytes: int =
 
     changed = texts_again.select("doc", "hash", removed.asNondeterministic()("text", "marks").alias("r"))
     changed = changed.groupBy("doc", "hash").agg(F.first("r").alias("r"))
-    rows = scanned.drop("spans", "anchors").join(changed, ["doc", "hash"], "left")
-    rows = rows.join(_passages(scanned), ["doc", "hash"], "left")
+    # Numbers of rows of a written table are the same whenever it is read.
+    scanned = scanned.withColumn("row", F.monotonically_increasing_id())
+    rows = scanned.drop("spans", "anchors").join(changed, ["doc", "hash"], "left").join(_passages(scanned), "row", "left")
     return rows.select(
         "doc_id",
         "n_bytes",
@@ -394,11 +395,10 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH, word_bytes: int =
 
 
 def _passages(scanned: DataFrame) -> DataFrame:
-    """``(doc, hash, n_passages)`` of the texts with anchors of words that occur more than once."""
-    anchors = scanned.select("doc", "hash", F.explode("anchors").alias("anchor"))
+    """``(row, n_passages)`` of the rows with anchors of words that occur more than once."""
+    anchors = scanned.select("row", F.explode("anchors").alias("anchor"))
     often = checkpoint(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    again = checkpoint(anchors.join(often, "anchor", "left_semi"))
-    return again.distinct().groupBy("doc", "hash").agg(F.count("*").alias("n_passages"))
+    return anchors.join(often, "anchor", "left_semi").groupBy("row").agg(F.count("*").alias("n_passages"))
 
 
 def remove_repeated(
