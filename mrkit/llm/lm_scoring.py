@@ -303,12 +303,19 @@ def score_shard(rows: pa.Table, totals: Totals) -> pa.Table:
     fronts = np.zeros((len(words), 8), dtype=np.uint8)
     fronts[:, :6] = np.frombuffer(b"".join(row["fronts"] for row in rows), dtype=np.uint8).reshape(-1, 6)
     fronts = fronts.reshape(-1).view("<u8")
+    for row in rows:
+        row["words"] = row["at"] = row["fronts"] = None
     n = np.concatenate([d[1] for d in docs])
-    owner = np.repeat(np.arange(len(n)), n >> 1)
+    owner = np.repeat(np.arange(len(n), dtype=np.int32), n >> 1)
     training = (n & 1).astype(bool)[owner]
-    # Every pair is looked up once, in order, however often it occurs.
+    # Every pair is looked up once, in order, however often it occurs. What is as long as the shard goes as soon as it can.
     front_names, front = np.unique(fronts, return_inverse=True)
-    pairs, pair = np.unique(words.astype(np.int64) * len(front_names) + front, return_inverse=True)
+    del fronts, own, at, place
+    words = words.astype(np.int64) * len(front_names)
+    words += front
+    del front
+    pairs, pair = np.unique(words, return_inverse=True)
+    pair = pair.astype(np.int32)
     words, fronts = names[pairs // len(front_names)], front_names[pairs % len(front_names)]
     trie = Trie(words, fronts, np.bincount(pair[training], minlength=len(pairs)), totals)
     value, log_base, counted = np.empty(len(pairs)), np.empty(len(pairs)), np.empty(len(pairs), dtype=bool)
