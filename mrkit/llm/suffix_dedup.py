@@ -39,13 +39,13 @@ from pyspark.sql import functions as F
 
 from mrkit.llm.common import SPACES, free_name, texts
 from mrkit.llm.run_index import RunIndex
-from mrkit.session import checkpoint
+from mrkit.session import checkpoint, written
 
 LENGTH = 400
 SEED = 128
 
 # Words of a passage whose repeats are told although they may be shorter, and of what stands for it.
-PASSAGE_WORDS, PASSAGE_SEED = 51, 34
+PASSAGE_WORDS, PASSAGE_SEED = 51, 26
 
 # Ranges of windows that are counted one after another for hot anchors; each divides the one before.
 RANGES = (100, 25, 5, 1)
@@ -228,11 +228,16 @@ MARKS = "array<struct<lo: int, hi: int>>"
 def _repeats(
     documents: DataFrame, length: int, word_bytes: int, passages: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """The scanned documents ``(doc_id, doc, hash, n_bytes, sha256, anchors)`` and ``(doc, hash, marks)`` of those with repeats."""
+    """The scanned documents ``(doc_id, doc, hash, n_bytes, sha256[, n_passages])`` and ``(doc, hash, marks)`` of those with repeats."""
     documents = _named(documents).select("doc_id", "doc", "hash", "text")
     scanned = documents.select("doc_id", "doc", "hash", _scan(F.col("text"), length, word_bytes, passages).alias("s"))
     scanned = scanned.select("doc_id", "doc", "hash", "s.*")
     scanned = checkpoint(scanned)
+    whole_scan = scanned.drop("spans", "anchors")
+    if passages:
+        # Numbers of rows of a written table are the same whenever it is read.
+        scanned = scanned.withColumn("row", F.monotonically_increasing_id())
+        whole_scan = written(scanned.drop("spans", "anchors").join(_passages(scanned), "row", "left"))
     occurrences = scanned.select("doc", "hash", F.inline("spans"))
     # Written down, so that both sides of the join are plain shuffles and a hot key can be split.
     shared = checkpoint(occurrences.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
@@ -248,7 +253,7 @@ def _repeats(
     absolute = F.transform("marks", lambda m: _interval(m["lo"] + F.col("lo"), m["hi"] + F.col("lo")))
     per_text = marked.select("doc", "hash", F.inline(absolute)).toDF("doc", "hash", "a", "b").distinct()
     per_text = per_text.groupBy("doc", "hash").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
-    return scanned, checkpoint(per_text)
+    return whole_scan, checkpoint(per_text)
 
 
 def _named(documents: DataFrame, doc: str = "doc", hash_: str = "hash") -> DataFrame:
@@ -381,9 +386,7 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH, word_bytes: int =
 
     changed = texts_again.select("doc", "hash", removed.asNondeterministic()("text", "marks").alias("r"))
     changed = changed.groupBy("doc", "hash").agg(F.first("r").alias("r"))
-    # Numbers of rows of a written table are the same whenever it is read.
-    scanned = scanned.withColumn("row", F.monotonically_increasing_id())
-    rows = scanned.drop("spans", "anchors").join(changed, ["doc", "hash"], "left").join(_passages(scanned), "row", "left")
+    rows = scanned.join(changed, ["doc", "hash"], "left")
     return rows.select(
         "doc_id",
         "n_bytes",
