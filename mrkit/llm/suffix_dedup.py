@@ -232,12 +232,13 @@ def _repeats(
     documents = _named(documents).select("doc_id", "doc", "hash", "text")
     scanned = documents.select("doc_id", "doc", "hash", _scan(F.col("text"), length, word_bytes, passages).alias("s"))
     scanned = scanned.select("doc_id", "doc", "hash", "s.*")
-    scanned = checkpoint(scanned)
-    whole_scan = scanned.drop("spans", "anchors")
     if passages:
-        # Numbers of rows of a written table are the same whenever it is read.
-        scanned = scanned.withColumn("row", F.monotonically_increasing_id())
+        # Parquet, as a checkpoint keeps spans and anchors uncompressed; the numbers of rows are written with them.
+        scanned = written(scanned.withColumn("row", F.monotonically_increasing_id()))
         whole_scan = written(scanned.drop("spans", "anchors").join(_passages(scanned), "row", "left"))
+    else:
+        scanned = checkpoint(scanned)
+        whole_scan = scanned.drop("spans", "anchors")
     occurrences = scanned.select("doc", "hash", F.inline("spans"))
     # Written down, so that both sides of the join are plain shuffles and a hot key can be split.
     shared = checkpoint(occurrences.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
