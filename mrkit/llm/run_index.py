@@ -45,22 +45,47 @@ class RunIndex:
         return np.maximum(sampled[last] - (np.arange(self.n) - last), 0)
 
 
+# Symbols of a suffix that are sorted together at first.
+PACKED = 4
+
+
 def _suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffixes in order, by prefix doubling, and the ranks of the prefixes of each length."""
-    n, rank, length, levels = len(symbols), symbols.astype(np.int64), 1, []
+    """Suffixes in order, by prefix doubling, and the ranks of the prefixes of each length.
+
+    A rank is the place of the first suffix with that prefix, so suffixes that differ from all others keep theirs and are
+    not sorted again. Those still equal have no separator among the symbols compared, so none of them ends there. The
+    ranks of one length may be given several times, as ``_shared`` uses each once.
+    """
+    n, base = len(symbols), int(symbols.max()) + 2
+    packed = PACKED if base**PACKED < 1 << 63 else 1
+    # A symbol of 0 stands behind the end.
+    following = np.append(symbols + 1, np.zeros(packed - 1, dtype=np.int64))
+    key = following[:n].copy()
+    for i in range(1, packed):
+        key *= base
+        key += following[i : i + n]
+    order = np.argsort(key)
+    new = _changes(key[order])
+    rank = np.empty(n, dtype=np.int32)
+    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    levels = [(1, symbols.astype(np.int32))] * (packed - 1)
+    places, length = np.flatnonzero(~(new & np.append(new[1:], True))), packed
+    del following, key, new
     while True:
-        levels.append((length, rank.astype(np.int32)))
-        following = np.zeros(n, dtype=np.int64)
-        following[: n - length] = rank[length:] + 1
-        key = rank * (int(rank.max()) + 2) + following
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = new
-        length *= 2
-        if new[-1] == n - 1 or length >= n:
+        levels.append((length, rank.copy()))
+        if not len(places):
             return order, levels
+        suffixes = order[places]
+        key = rank[suffixes].astype(np.int64) * n + rank[suffixes + length]
+        by_key = np.argsort(key)
+        suffixes, new = suffixes[by_key], _changes(key[by_key])
+        order[places] = suffixes
+        rank[suffixes] = places[np.flatnonzero(new)][np.cumsum(new) - 1]
+        places, length = places[~(new & np.append(new[1:], True))], length * 2
+
+
+def _changes(ordered: np.ndarray) -> np.ndarray:
+    return np.append(True, ordered[1:] != ordered[:-1])
 
 
 def _shared(levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -7,7 +7,9 @@ index of everything in one place:
    are a span of less than twice their length. Equal windows have equal anchors at the same place in them.
 2. Anchors that occur once hold no repeated window. For all others, equal spans become one class with a count.
 3. A class of two or more is repeated as a whole: equal texts lie side by side in the transform, in the same runs.
-4. Classes whose anchor has several different spans are dealt out by the anchor. Each bucket, of bounded size, gets a run-length compressed
+4. Classes whose anchor has several different spans are dealt out by the anchor. Spans of which no range of windows can
+   occur in another span of the anchor, as told by fingerprints, hold no repeated window. From the others each bucket,
+   of bounded size, gets a run-length compressed
    Burrows-Wheeler index with sampled run ends, and the matching statistics streamed from it say which windows
    start elsewhere too. Spans of one text that overlap are joined first, so no position meets itself.
 5. An anchor with more than ``HOT_SPANS`` different spans, such as a passage that much of the corpus quotes in different
@@ -30,6 +32,9 @@ enough. Rows without ``doc_id`` take part. Extra columns are ignored by ``repeat
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -198,6 +203,31 @@ def covered(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
     return [*zip(starts[np.append(0, gaps + 1)].tolist(), (starts[np.append(gaps, len(starts) - 1)] + length).tolist())]
 
 
+def range_prints(
+    data: bytes, place: int, numbers: Iterable[int], size: int, length: int = LENGTH
+) -> Iterator[tuple[int, bytes]]:
+    """Those of the numbered ranges in which a span has windows, with a fingerprint of what the windows of each have in common.
+
+    Ranges are ``size`` windows wide and numbered by the place of their windows relative to the anchor. Windows start
+    less than ``length`` bytes in front of it.
+    """
+    for number in numbers:
+        start = number * size - length + 1 + place
+        if start + size > 0 and start <= len(data) - length:
+            yield number, xxhash.xxh3_128_digest(data[start + size - 1 : max(0, start + length)])
+
+
+def may_repeat(rows: list[dict], length: int = LENGTH, size: int = RANGES[1]) -> list[bool]:
+    """For every span ``(key, place, data)`` whether a range of its windows may occur in another span of its anchor.
+
+    Equal windows lie at the same place relative to equal anchors, so they have the same fingerprint in both spans.
+    """
+    numbers = range(-(-length // size))
+    prints = [[(r["key"], *p) for p in range_prints(r["data"], r["place"], numbers, size, length)] for r in rows]
+    counts = Counter(chain.from_iterable(prints))
+    return [any(counts[p] > 1 for p in own) for own in prints]
+
+
 def repeated_windows(rows: list[dict], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """For every span ``(doc, hash, lo, hi, data)`` the places, from its start, of bytes in windows that are also elsewhere."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i]["doc"], rows[i]["hash"], rows[i]["lo"], rows[i]["hi"]))
@@ -288,10 +318,12 @@ def _marked(documents: DataFrame, classes: DataFrame, length: int, word_bytes: i
     cold = cold.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
 
     def mark(bucket: pa.Table) -> pa.Table:
-        rows = bucket.select(["doc", "hash", "lo", "hi", "data"]).to_pylist()
-        found = [[{"lo": a, "hi": b} for a, b in places] for places in repeated_windows(rows, length)]
+        rows = bucket.select(["key", "place", "doc", "hash", "lo", "hi", "data"]).to_pylist()
+        bucket = bucket.select(["key", "span", "n"]).filter(pa.array(likely := may_repeat(rows, length), pa.bool_()))
+        rows = [row for row, may in zip(rows, likely) if may]
+        found = [[{"lo": a, "hi": b} for a, b in places] for places in (repeated_windows(rows, length) if rows else [])]
         marks = pa.array(found, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
-        return pa.table({"key": bucket["key"], "span": bucket["span"], "n": bucket["n"], "marks": marks})
+        return bucket.append_column("marks", marks)
 
     schema = f"key long, span long, n long, marks {MARKS}"
     marked = cold.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(mark, schema)
@@ -309,14 +341,9 @@ def _prints(size: int, smaller: int, length: int) -> Column:
     def prints(data: pa.Array, place: pa.Array, ranges: pa.Array) -> pa.Array:
         rows = []
         for text, anchor, alive in zip(texts(data), place.to_pylist(), ranges.to_pylist()):
-            row = []
-            for number in sorted({r * size // smaller + i for r in alive for i in range(size // smaller)}):
-                # Windows start less than ``length`` bytes in front of their anchor.
-                start = number * smaller - length + 1 + anchor
-                if start + smaller > 0 and start <= len(text) - length:
-                    common = text[start + smaller - 1 : max(0, start + length)]
-                    row.append({"range": number, "print": xxhash.xxh3_128_digest(common)})
-            rows.append(row)
+            numbers = sorted({r * size // smaller + i for r in alive for i in range(size // smaller)})
+            found = range_prints(text, anchor, numbers, smaller, length)
+            rows.append([{"range": number, "print": common} for number, common in found])
         return pa.array(rows, pa.list_(pa.struct([("range", pa.int32()), ("print", pa.binary())])))
 
     return prints.asNondeterministic()("data", "place", "ranges")

@@ -55,6 +55,46 @@ def test_passages_in_other_surroundings(spark, monkeypatch, hot):
     assert _found(found) == _expected(rows)
 
 
+def test_spans_without_a_common_window_stay_out_of_the_index(spark, monkeypatch):
+    """An anchor of 128 bytes that many texts share in different surroundings, and one passage that two of them repeat."""
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    shared, passage = word(350), word(420)
+    rows = [(i, word(300) + shared + word(300)) for i in range(40)]
+    rows += [(i, word(300) + passage + word(200)) for i in (50, 51)] + [(52, word(200) + passage[5:407] + word(90))]
+    documents = [{"doc": i, "hash": 0, "data": t.encode()} for i, t in rows]
+    given = []
+    for document in documents:
+        for key, lo, last, anchor in zip(*(column.tolist() for column in suffix_dedup.spans(document["data"]))):
+            data = document["data"][lo : last + L]
+            given.append(document | {"key": key, "place": anchor - lo, "lo": lo, "hi": last + L, "data": data})
+    keys = Counter(row["key"] for row in given)
+    given = [row for row in given if keys[row["key"]] > 1]
+    likely = suffix_dedup.may_repeat(given)
+    found = suffix_dedup.repeated_windows(given)
+    assert {row["doc"] for row in given} > set(range(40))
+    assert {row["doc"] for row, may in zip(given, likely) if may} == {50, 51, 52}
+    assert all(may for may, places in zip(likely, found) if places)
+    few = iter(suffix_dedup.repeated_windows([row for row, may in zip(given, likely) if may]))
+    assert [next(few) if may else [] for may in likely] == found
+    assert _found(suffix_dedup.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"))) == _expected(rows)
+
+
+def test_equal_prefixes_are_sorted_together_and_others_once():
+    """Suffixes that differ early on do not take part in later rounds, whatever a repeat elsewhere needs."""
+    rng = np.random.default_rng(7)
+    repeat = bytes(rng.integers(97, 123, 600).astype(np.uint8))
+    texts = [bytes(rng.integers(97, 123, 20_000).astype(np.uint8)) + repeat, repeat + b"more", b"", b"\xff" * 3]
+    symbols, sorted_ = RunIndex(texts), []
+    argsort = np.argsort
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(np, "argsort", lambda key, *a, **k: sorted_.append(len(key)) or argsort(key, *a, **k))
+        RunIndex(texts)
+    assert sorted_[0] == symbols.n and all(n < 3_000 for n in sorted_[2:]) and len(sorted_) < 12
+    found = symbols.matching_statistics()
+    assert found[symbols.starts[0] + 20_000] == found[symbols.starts[1]] == 600
+
+
 def test_whole_table(table):
     documents = table("documents")
     rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
