@@ -62,7 +62,9 @@ HOT_SPANS = 1024
 # Windows that are looked at together; a place in them must fit into the low bits of a hash.
 PART, PLACE = 1 << 22, np.uint64((1 << 24) - 1)
 
+# An odd number and its inverse, modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 SPANS = "array<struct<key: long, span: long, place: int, lo: int, hi: int>>"
 
@@ -120,12 +122,21 @@ def seed_hashes(data: np.ndarray, seed: int = SEED) -> np.ndarray:
     n = len(data)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers_up_to(BASE, n), out=sums[1:])
-    hashed = (sums[seed:] - sums[:-seed]) * _powers_up_to(pow(BASE, -1, 1 << 64), n - seed + 1)
+    hashed = (sums[seed:] - sums[:-seed]) * _powers_up_to(INVERSE, n - seed + 1)
     hashed ^= hashed >> np.uint64(32)
     hashed *= np.uint64(0xD6E8FEB86659FD93)
     return hashed ^ (hashed >> np.uint64(29))
 
 
+def _steps(width: int) -> list[int]:
+    """Distances at which minima of windows are joined, one after another, for windows ``width`` wide."""
+    steps, wide = [], 1
+    while wide < width:
+        steps.append(min(wide, width - wide))
+        wide += steps[-1]
+    return steps
+
+
 def spans(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Key of the anchor, first window, last window and place of the anchor, for every span of a text."""
     found = [np.zeros((0, 4), dtype=np.int64)]
@@ -134,15 +145,12 @@ def spans(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     for start in range(0, len(text) - length + 1, PART):
         data = np.frombuffer(text, dtype=np.uint8)[start : start + PART + length - 1]
         hashed = seed_hashes(data, seed)
-        # The smallest of each window, the leftmost of equals: prefix and suffix minima of blocks as wide as a window.
-        n = len(hashed)
-        blocks = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, dtype=np.uint64)
-        blocks[:n] = (hashed & ~PLACE) | np.arange(n, dtype=np.uint64)
-        blocks = blocks.reshape(-1, width)
-        ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
-        behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-        windows = n - width + 1
-        place = (np.minimum(behind[:windows], ahead[width - 1 : width - 1 + windows]) & PLACE).astype(np.int64)
+        # The smallest of each window, the leftmost of equals.
+        smallest = (hashed & ~PLACE) | np.arange(len(hashed), dtype=np.uint64)
+        for step in _steps(width):
+            smallest = np.minimum(smallest[:-step], smallest[step:])
+        place = (smallest & PLACE).astype(np.int64)
+        windows = len(place)
         first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         last = np.append(first[1:], windows) - 1
         anchor = place[first]
@@ -156,8 +164,12 @@ def word_anchors(text: bytes, words: int = PASSAGE_WORDS, seed: int = PASSAGE_SE
     if len(split) < words:
         return np.zeros(0, dtype=np.int64)
     hashed = seed_hashes(np.fromiter(map(xxhash.xxh3_64_intdigest, split), dtype=np.uint64, count=len(split)), seed)
-    windows = np.lib.stride_tricks.sliding_window_view(hashed, words - seed + 1)
-    return hashed[np.unique(windows.argmin(axis=1) + np.arange(len(windows)))].view(np.int64)
+    # The place of the smallest of each window, the leftmost of equals; it never falls from one window to the next.
+    smallest, place = hashed, np.arange(len(hashed))
+    for step in _steps(words - seed + 1):
+        place = np.where(smallest[step:] < smallest[:-step], place[step:], place[:-step])
+        smallest = np.minimum(smallest[:-step], smallest[step:])
+    return hashed[place[np.append(True, place[1:] != place[:-1])]].view(np.int64)
 
 
 def _scan(text: Column, length: int, word_bytes: int, passages: bool) -> Column:
