@@ -8,12 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from mrkit.llm import queries
+from mrkit.session import written
 
 
 def test_queries_are_registered():
     names = spark_entry.queries()
     assert set(queries.queries()) | {"pipeline"} <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +45,7 @@ def test_stages(spark, corpus):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = []
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.written(stage(spark, docs, folder))
+        docs = written(stage(spark, docs, folder))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         kept.append({r.doc_id: (r.text, r.n_chars) for r in docs.collect()})
     assert set(kept[0]) == {1, 2, 3, 4, 8} and set(kept[1]) == {1, 3, 4, 8} == set(kept[2]) == set(kept[3])
