@@ -36,6 +36,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
+def without_estimate(df: DataFrame) -> DataFrame:
+    """``df``, a checkpoint, as rows of which Spark's optimizer knows no size.
+
+    A checkpoint carries the estimate of the plan it cuts, and a join multiplies those of its sides. A loop that joins its
+    own state so gets numbers with more than twice the digits in every round, which every node of a plan holds on the
+    driver. Adaptive execution still sees the true sizes after a shuffle, and broadcasts by those only.
+    """
+    spark = df.sparkSession
+    rows = df._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), spark)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as Parquet in a new subfolder of the checkpoint folder, read again. The files stay until ``Generations``
     or the user deletes them."""

@@ -4,9 +4,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from mrkit.llm import minhash
+from mrkit.llm import components, minhash
 from mrkit.llm.components import connected_components
+from mrkit.session import checkpoint
 
 
 def _sets(rows, words):
@@ -98,6 +100,32 @@ def test_components_of_a_long_path(spark):
     assert found == {**dict.fromkeys(range(70), 0), 100: 100, 101: 100}
 
 
+def test_rounds_grow_with_the_logarithm_of_a_path(spark, monkeypatch):
+    written = []
+
+    def counted(df):
+        written.append(df)
+        assert len(written) <= 14
+        return checkpoint(df)
+
+    monkeypatch.setattr(components, "checkpoint", counted)
+    order = np.random.default_rng(3).permutation(200).tolist()
+    links = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    assert {(r.node, r.component) for r in connected_components(links).collect()} == {(i, 0) for i in range(200)}
+
+
+def test_estimates_of_components_do_not_grow_with_the_rounds(spark):
+    """The optimizer's size of the result, which joins multiply, has as many digits after many rounds as after one."""
+    estimate = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    found = spark.createDataFrame([(0, 1)], "a long, b long")
+    for length in (2, 70, 70):
+        path = spark.createDataFrame([(i, i + 1) for i in range(length)], "node long, other long")
+        links = path.join(found.toDF("node", "component"), "node", "left").select(F.col("node").alias("a"), F.col("other").alias("b"))
+        found = connected_components(links)
+        assert estimate(found) < 2**64
+        assert {(r.node, r.component) for r in found.collect()} == {(i, 0) for i in range(length + 1)}
+
+
 def test_stage_keeps_one_of_each_group_and_all_columns(docs):
     kept = minhash.keep_one_of_each(docs)
     assert kept.columns == docs.columns
